@@ -36,3 +36,14 @@ def let_go(spark: SparkSession) -> None:
     """Free shuffle files of frames that nothing refers to any more; Spark's cleaner acts on the driver's collections."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: A frame is broadcast only if its counted rows fit in this many bytes; beyond it Spark shuffles both sides.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a frame that is already written or checkpointed for broadcasting, if rows times row_bytes stay within the limit."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
