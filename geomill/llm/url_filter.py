@@ -12,8 +12,8 @@ ranks are checkpointed to the shared folder every few rounds.
 
 Defined results: a null url or one without :// has empty host and path and no rule,
 and is allowed; null or empty html has no links; repeated rows each give a row and
-count their links each; hosts without outgoing links give their rank back to the
-seeds; without seeds of a kind that rank is 0 everywhere; extra columns are not read.
+count their links each; a host without outgoing
+links keeps its rank; without seeds of a kind that rank is 0 everywhere; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -76,16 +76,19 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
     """(walk, host, rank): personalised PageRank of several walks at once, along edges (walk, src, dst, n) from seeds (walk, host, weight); the ranks of a walk with a seed sum to 1."""
-    total = edges.groupBy("walk", "src").agg(F.sum("n").alias("total"))
-    share = checkpointed(edges.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")))
     weight = seeds.groupBy("walk").agg(F.sum("weight").alias("all"))
     start = checkpointed(seeds.filter("weight > 0").join(weight, "walk").select("walk", "host", (F.col("weight") / F.col("all")).alias("start")))
+    # A host without outgoing links gets one to itself, so no rank is lost on the way.
+    reached = edges.select("walk", F.col("dst").alias("src")).unionByName(start.select("walk", F.col("host").alias("src"))).distinct()
+    ends = reached.join(edges.select("walk", "src").distinct(), ["walk", "src"], "left_anti").select("walk", "src", F.col("src").alias("dst"), F.lit(1).alias("n"))
+    edges = edges.select("walk", "src", "dst", "n").unionByName(ends)
+    total = edges.groupBy("walk", "src").agg(F.sum("n").alias("total"))
+    share = checkpointed(edges.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")))
+    back = start.select("walk", "host", (F.col("start") * (1 - damping)).alias("part"))
     rank = start.withColumnRenamed("start", "rank")
     for i in range(rounds):
-        flow = rank.join(share, ["walk", "host"]).groupBy("walk", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        # What flows nowhere (hosts without links) goes back to the seeds with the rest of 1 - damping.
-        moved = start.select("walk").distinct().join(flow.groupBy("walk").agg(F.sum("flow").alias("moved")), "walk", "left")
-        rank = start.join(flow, ["walk", "host"], "full_outer").join(F.broadcast(moved), "walk").select("walk", "host", (F.coalesce("flow", F.lit(0.0)) * damping + F.coalesce("start", F.lit(0.0)) * (1 - damping * F.coalesce("moved", F.lit(0.0)))).alias("rank"))
+        flow = rank.join(share, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
+        rank = flow.unionByName(back).groupBy("walk", "host").agg(F.sum("part").alias("rank"))
         if i % every == every - 1 or i == rounds - 1:
             rank = checkpointed(rank)
     return rank
