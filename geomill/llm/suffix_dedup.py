@@ -38,7 +38,8 @@ from geomill.llm.workspace import broadcast_if_small, let_go, written
 LENGTH, GRAM = 200, 64
 #: Bytes of text in one bucket, about; numpy needs some 60 times as much.
 BUCKET_BYTES = 1 << 20
-MOST_RUNS = 1000
+#: Differing runs of one anchor that a bucket may hold, about 2 MB of text on top of its own.
+MOST_RUNS = 8000
 
 
 def text_key(text: str) -> Column:
