@@ -237,7 +237,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     spark = docs.sparkSession
     texts = written(all_runs(docs, text_col, length, gram).withColumn("uid", F.monotonically_increasing_id()))
     every = texts.select("uid", F.inline(F.arrays_zip("anchors", "names", "firsts", "counts"))).toDF("uid", "anchor", "name", "first", "count")
-    hot = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written, so that the join has a shuffle of its own on both sides and Spark can split an anchor that is in very many runs.
+    hot = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     shared = written(every.join(hot, "anchor"))
     let_go(spark)
     kinds = shared.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.first("uid").alias("uid"), F.first("first").alias("first"), F.first("count").alias("count"))
