@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomill.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_cnn, suffix_dedup, token_count, url_filter
+from geomill.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_cnn, suffix_dedup, token_count, toxicity, url_filter
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels, folds=5, held=0), folds=5, held=0)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -50,5 +55,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_decontamination, op4_byte_bpe, op5_quality_classifier, op7_url_filter, op8_ngram_join, op9_line_dedup, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_byte_bpe, op5_quality_classifier, op7_url_filter, op8_ngram_join, op9_line_dedup, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE_SQL}
