@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.text import pieces
-from geomill.llm.workspace import written
+from geomill.llm.suffix_dedup import text_key
+from geomill.llm.workspace import broadcast_if_small, written
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of text that one index segment covers, unless a single document is longer.
@@ -220,3 +221,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts and the digest of the items of each document."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["first"]).cast("long"))
     return found.select(id_col, F.col("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", **names) -> DataFrame:
+    """The rows whose text holds no window of an item, with all their columns. Texts are known by their digest, so ids may be null or repeated."""
+    keyed = docs.withColumn("__key", text_key(text_col))
+    found = find_items(keyed.select("__key", F.col(text_col).alias("text")), items, size, id_col="__key", **names)
+    hit = written(found.filter(F.size("items") > 0).select("__key").distinct())
+    return keyed.join(broadcast_if_small(hit, 48), "__key", "left_anti").select(docs.columns)
