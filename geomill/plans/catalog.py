@@ -1,7 +1,10 @@
-"""Registered queries and the SQL that states the same results."""
+"""All registered queries and the SQL that states the same results."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from geomill.plans import clouds, meshes, streams, vectors, volumes
+
+_PARTS = (volumes, clouds, meshes, vectors, streams)
+QUERIES = {k: f for p in _PARTS for k, f in p.query.queries.items()}
+ORACLE_SQL = {k: s for p in _PARTS for k, s in p.query.sql.items()}
+FLAGSHIP = volumes.centre_of_gravity
