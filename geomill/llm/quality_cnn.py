@@ -37,12 +37,12 @@ TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 1600, 16_000, 14
 
 
 def symbols(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts laid end to end, each padded with zeros to whole blocks, and the bounds of the texts in blocks."""
+    """Symbols of texts laid end to end, and their bounds in blocks. Zeros on both sides fill whole blocks, so no filter reaches a neighbour."""
     blocks = np.array([(len(t) + PAD + BLOCK - 1) // BLOCK for t in texts])
     bounds = np.append(0, np.cumsum(blocks))
     data = np.zeros(int(bounds[-1]) * BLOCK + WIDTH, np.uint8)
     for t, b in zip(texts, bounds[:-1].tolist()):
-        data[b * BLOCK : b * BLOCK + len(t)] = t
+        data[b * BLOCK + WIDTH : b * BLOCK + WIDTH + len(t)] = t
     gram = data[:-3].astype(np.uint32)
     for j in (1, 2, 3):
         gram |= data[j : len(data) - 3 + j].astype(np.uint32) << np.uint32(8 * j)
