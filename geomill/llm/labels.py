@@ -20,5 +20,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     """
     label_of = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label"))
     own = label_of.filter(fold(id_col, folds) != held).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(rows)
-    few = docs.join(F.broadcast(own), id_col).filter(F.length(text_col) <= most_bytes)
+    few = docs.select(id_col, text_col).join(F.broadcast(own), id_col).filter(F.length(text_col) <= most_bytes)
     return few.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("label").cast("int").alias("label")).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text").limit(rows)

@@ -74,7 +74,7 @@ def describe(piece: Piece) -> dict[str, np.ndarray]:
     begin, stop, owner, first, count = begin[some], stop[some], owner[some], first[some], count[some]
     line = rolling.spans(begin, stop)
     order = np.lexsort((np.arange(len(line)), line, owner))
-    equal = np.append(False, (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+    equal = np.append(False, (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1]))[: len(line)]
     again = np.zeros(len(line), bool)
     again[order[equal]] = True
     n_dup = np.bincount(owner, weights=again, minlength=n).astype(np.int64)
@@ -84,7 +84,7 @@ def describe(piece: Piece) -> dict[str, np.ndarray]:
     upper, digit = total(UPPER[data]), total(DIGIT[data])
     lower = total((data >= 97) & (data <= 122))
     sym = symbols[stop] - symbols[begin]
-    follows = np.append(False, (word[1:] == word[:-1]) & (row[1:] == row[:-1]))
+    follows = np.append(False, (word[1:] == word[:-1]) & (row[1:] == row[:-1]))[: len(word)]
     fsum = np.append(0, np.cumsum(follows))
     doubled = fsum[first + count] - fsum[first]
     line_of = np.repeat(np.arange(len(count)), count)
