@@ -59,7 +59,8 @@ def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
     docs = docs.select(id_col, text_col)
     units = written(_units(docs, id_col, text_col, mark, min_words))
     every = units.select("key", "id", F.inline(F.arrays_zip("numbers", "digests"))).toDF("key", "id", "number", "digest")
-    first = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1")
+    # Written, so that the join shuffles both sides on its own and Spark can split a digest with very many units.
+    first = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1"))
     later = every.join(first, "digest").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("number") == F.col("first.number"))))
     gone = later.groupBy("key", "id").agg(F.collect_set("number").alias("gone"))
     keyed = docs.withColumn("key", text_key(text_col))
