@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geomill.llm.workspace import checkpointed, written
+from geomill.llm.workspace import broadcast_if_small, checkpointed, written
 
 
 @dataclass(frozen=True)
@@ -105,9 +105,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, factor: float = FAC
     both = edges.withColumn("walk", F.lit("trust")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("walk")))
     ranks = propagate(both, checkpointed(seeds), **walk)
     of = lambda name: F.coalesce(F.sum(F.when(F.col("walk") == name, F.col("rank"))), F.lit(0.0)).alias(name)
-    ranks = ranks.groupBy("host").agg(of("trust"), of("distrust"))
-    # A page's host meets its rank by a shuffle join that Spark may split or broadcast by its measured size.
-    out = judged.join(ranks, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    ranks = checkpointed(ranks.groupBy("host").agg(of("trust"), of("distrust")))
+    # The hosts' ranks are broadcast if their number allows; beyond that Spark shuffles the pages by host.
+    out = judged.join(broadcast_if_small(ranks, 120), "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     blocked = (F.col("distrust") > factor * F.col("trust")) & (F.col("distrust") >= floor)
     verdict = F.when(F.coalesce("allow", ~blocked), "allow").otherwise("block")
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
