@@ -89,3 +89,34 @@ def fitted_sphere(points: DataFrame) -> DataFrame:
     a = np.linalg.solve(m, v)
     centre = a[:3] / 2
     return points.sparkSession.createDataFrame([(*map(float, centre), float(np.sqrt(a[3] + centre @ centre)))], "cx double, cy double, cz double, r double")
+
+
+def lmeds(points: DataFrame, models: DataFrame, residual: Column, most: int = 4096) -> DataFrame:
+    """(model_id, penalty): median of the root of |residual| for each candidate of a bounded set; an even count averages two."""
+    if models.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidate models")
+    return points.join(F.broadcast(models)).groupBy("model_id").agg(F.median(F.sqrt(F.abs(residual))).alias("penalty"))
+
+
+def projected(points: DataFrame, plane: tuple[float, float, float, float]) -> DataFrame:
+    """Points moved along the unit normal onto the plane."""
+    d = sum(F.col(c) * float(n) for c, n in zip(AXES, plane)) + float(plane[3])
+    return points.withColumns({c: F.col(c) - d * float(n) for c, n in zip(AXES, plane)})
+
+
+def near_plane(points: DataFrame, plane: tuple[float, float, float, float], threshold: float, negative: bool = False) -> DataFrame:
+    """Finite points with |residual| <= threshold, or the others."""
+    from geomill.operators.filters import finite
+
+    r = F.abs(sum(F.col(c) * float(n) for c, n in zip(AXES, plane)) + float(plane[3]))
+    return points.filter(finite(*AXES) & ((r > threshold) if negative else (r <= threshold)))
+
+
+def correspondences(source: DataFrame, target: DataFrame, radius: float, point_id: str = "point_id") -> DataFrame:
+    """(a, b, d2): pairs within the radius that are each other's nearest; ties by id."""
+    from geomill.operators.neighbors import radius_join
+
+    near = radius_join(target, source.withColumnRenamed(point_id, "query_id"), radius, point_id=point_id)
+    to = near.groupBy("query_id").agg(F.min(F.struct("d2", point_id)).alias("m")).select("query_id", F.col(f"m.{point_id}").alias(point_id), F.col("m.d2").alias("d2"))
+    back = near.groupBy(point_id).agg(F.min(F.struct("d2", "query_id")).alias("m")).select(point_id, F.col("m.query_id").alias("query_id"))
+    return to.join(back, ["query_id", point_id]).select(F.col("query_id").alias("a"), F.col(point_id).alias("b"), "d2")

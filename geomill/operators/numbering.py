@@ -17,3 +17,12 @@ def numbered(df: DataFrame, key: str, name: str, width: int = 1 << 16) -> DataFr
     before = before.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
     return ranged.join(before, "_range").withColumn(name, F.col("_before") + place - 1).drop("_range", "_before")
+
+
+def exclusive_scan(df: DataFrame, key: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
+    """Sum of `value` over all rows with a smaller unique key, by sums of ranges of keys (one row a range) and windows inside them."""
+    ranged = df.withColumn("_range", F.floor(F.col(key) / width))
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("s"))
+    sums = sums.select("_range", (F.sum("s").over(Window.orderBy("_range")) - F.col("s")).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(key)) - F.col(value)
+    return ranged.join(sums, "_range").withColumn(name, F.col("_before") + own).drop("_range", "_before")

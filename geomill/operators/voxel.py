@@ -201,3 +201,43 @@ def morton(x: str | Column, y: str | Column, z: str | Column, bits: int = 10) ->
     """Interleaved bits of three non-negative whole numbers, x lowest."""
     axes = [(F.col(c) if isinstance(c, str) else c).cast("long") for c in (x, y, z)]
     return sum(F.shiftleft(F.shiftright(a, b).bitwiseAND(F.lit(1).cast("long")), 3 * b + i) for b in range(bits) for i, a in enumerate(axes))
+
+
+def uniform_sample(points: DataFrame, leaf: float, point_id: str = "point_id") -> DataFrame:
+    """The point nearest to the middle of each cell; ties by id."""
+    mid = {c: (F.floor(F.col(c) / leaf) + 0.5) * leaf for c in AXES}
+    d2 = sum((F.col(c) - m) * (F.col(c) - m) for c, m in mid.items())
+    return points.groupBy(*(F.floor(F.col(c) / leaf).alias(f"c{c}") for c in AXES)).agg(F.min(F.struct(d2.alias("d2"), point_id)).alias("b")).select("cx", "cy", "cz", F.col(f"b.{point_id}").alias(point_id))
+
+
+def occupied(points: DataFrame, leaf: float) -> DataFrame:
+    return points.select(*(F.floor(F.col(c) / leaf).alias(f"c{c}") for c in AXES)).distinct()
+
+
+def octree_tiles(volume: DataFrame, size: int, levels: int) -> DataFrame:
+    """(level, tx, ty, tz, lo, hi, file_id): tiles of every level with their zone map, file ids dense from 0 in each level by (tz, ty, tx).
+
+    Levels above the first are rolled up from tiles, not from voxels, and a level's tiles
+    are numbered through counts of its rows of tiles.
+    """
+    base = tile_stats(volume, size).select(F.lit(0).alias("level"), "tx", "ty", "tz", "lo", "hi")
+    every, last = base, base
+    for level in range(1, levels):
+        last = last.groupBy(*(F.shiftright(f"t{c}", 1).alias(f"t{c}") for c in AXES)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(F.lit(level).alias("level"), "tx", "ty", "tz", "lo", "hi")
+        every = every.unionByName(last)
+    rows = every.groupBy("level", "tz").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("level", "tz", (F.sum("n").over(Window.partitionBy("level").orderBy("tz")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("level", "tz").orderBy("ty", "tx"))
+    return every.join(rows, ["level", "tz"]).select("level", "tx", "ty", "tz", "lo", "hi", (F.col("before") + place - 1).cast("long").alias("file_id"))
+
+
+def pores(volume: DataFrame, threshold: int, width: int, height: int) -> DataFrame:
+    """(pore, voxels, min/max of x, y, z): components of voxels under the threshold that share a face, named by their least raster index."""
+    from geomill.operators.graph import components
+
+    low = volume.filter(F.col("gray") < threshold).select(*AXES, (F.col("x") + width * (F.col("y") + height * F.col("z").cast("long"))).cast("long").alias("id"))
+    steps = F.array(*(F.struct(*(F.lit(int(c == a)).alias(f"d{a}") for a in AXES)) for c in AXES))
+    ahead = low.select(F.col("id").alias("a"), *AXES, F.inline(steps)).select("a", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in AXES))
+    pairs = ahead.join(low, list(AXES)).select("a", F.col("id").alias("b"))
+    label = components(low.select("id"), pairs)
+    return low.join(label, "id").groupBy(F.col("component").alias("pore")).agg(F.count(F.lit(1)).alias("voxels"), *(f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))))
