@@ -14,32 +14,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomill.llm import byte_bpe, decontaminate, ngram_join, quality_cnn, suffix_dedup
-from geomill.llm.workspace import written
+from geomill.llm.workspace import small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the byte-level convolutional classifier takes for good; it learns from labelled rows of this stage's input."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_cnn.accepted(docs, quality_cnn.fit(docs, labels, folds=3, held=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of texts that links of Jaccard similarity 0.8 connect: the one with the least id."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 200 bytes that start more than once out of all texts."""
+    small_batches(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold ten consecutive words of a benchmark item."""
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with the digests of the ids and of what they decode to."""
+    small_batches(spark)
     return byte_bpe.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -30,7 +30,7 @@ from geomill.llm.text import pieces
 class TreeCodec:
     """Encoder and decoder for one table of ranks; memo tables are emptied at `limit` entries."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 1_200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 250_000):
         import regex
 
         self.ranks, self.limit = ranks, limit

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from geomill.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from geomill.llm.workspace import small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -192,7 +192,7 @@ def load(path: str) -> PieceModel:
 class Counter:
     """Counts texts; the dictionary of known pre-tokens is emptied when it reaches `limit` entries."""
 
-    def __init__(self, model: PieceModel, limit: int = 1_000_000):
+    def __init__(self, model: PieceModel, limit: int = 400_000):
         self.model, self.limit, self.seen = model, limit, {}
 
     def __call__(self, texts: Iterable[str]) -> list[int]:

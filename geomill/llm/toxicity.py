@@ -189,7 +189,7 @@ class Index:
         return float(1 / (1 + np.exp(-(a * self.vote(found) + b)))), found[0][1]
 
 
-def find_terms(text: str, words: dict[str, int], seen: dict[str, tuple[str, ...]], limit: int = 500_000) -> tuple[tuple[int, ...], tuple[int, ...]]:
+def find_terms(text: str, words: dict[str, int], seen: dict[str, tuple[str, ...]], limit: int = 200_000) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Sorted terms of the vocabulary and their counts; `seen` remembers which bases of a word matter."""
     matter = _base_set(tuple(words))
     n: Counter[str] = Counter()

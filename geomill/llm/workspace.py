@@ -18,6 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of whole texts in one Arrow batch.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Keep Arrow batches of whole texts small in this session; Spark's default of 10,000 rows suits narrow rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -47,3 +58,14 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that `written` left in the shared folder, once no frame needs them; returns their number. For the end of a job."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("geomill-")] if fs.exists(path) else []
+    for p in found:
+        fs.delete(p, True)
+    return len(found)
