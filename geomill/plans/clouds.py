@@ -253,7 +253,7 @@ def difference_of_normals(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def point_pair_features(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
-    return features.pair_features(c, features.normals(c, 40), 25)
+    return features.pair_features(c, features.normals(c, 60), 60)
 
 
 @query()
