@@ -243,7 +243,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     let_go(spark)
     kinds = shared.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.first("uid").alias("uid"), F.first("first").alias("first"), F.first("count").alias("count"))
     kinds = written(kinds)
-    variants = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1")
+    variants = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"))
     contested = kinds.join(variants, "anchor").select("uid", "variants", F.struct("anchor", "name", "first", "count").alias("run"))
     listed = written(
         contested.groupBy("uid")
@@ -265,6 +265,7 @@ def _cut(docs: DataFrame, marks: DataFrame, text_col: str, schema: T.StructType,
     """Join the marks to the rows and hand each batch's rows, merged ranges and kept bytes to `shape`."""
     names = docs.columns
     key = "__key"
+    marks = written(marks)  # so that Spark can split the copies of one text
     joined = docs.withColumn(key, text_key(text_col)).join(marks.toDF(key, "__begins", "__ends"), key, "left").select(*[docs[c] for c in names], "__begins", "__ends")
     at = names.index(text_col)
 
