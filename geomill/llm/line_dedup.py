@@ -62,7 +62,7 @@ def without_repeated_units(docs: DataFrame, unit: str = "line", min_words: int =
     # Written, so that the join shuffles both sides on its own and Spark can split a digest with very many units.
     first = written(every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "number")).alias("first")).filter("n > 1"))
     later = every.join(first, "digest").filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("number") == F.col("first.number"))))
-    gone = later.groupBy("key", "id").agg(F.collect_set("number").alias("gone"))
+    gone = written(later.groupBy("key", "id").agg(F.collect_set("number").alias("gone")))
     keyed = docs.withColumn("key", text_key(text_col))
     rows = keyed.join(gone.toDF("k", "i", "gone"), (keyed["key"] == F.col("k")) & keyed[id_col].eqNullSafe(F.col("i")), "left").select(id_col, text_col, "gone")
     span = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))

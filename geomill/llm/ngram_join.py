@@ -218,7 +218,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, rows: i
     signed = written(signatures(docs, text_col, k, rows, bands).filter("n_shingles > 0"))
     sets = written(signed.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.min("key").alias("key")))
     met = sets.select("set_id", F.posexplode("bands").alias("band", "hash"))
-    hubs = met.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("hub")).filter("n > 1")
+    hubs = written(met.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("hub")).filter("n > 1"))
     meeting = written(met.join(hubs, ["band", "hash"]).filter("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct())
     let_go(spark)
     placed = components(meeting)
