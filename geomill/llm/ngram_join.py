@@ -300,7 +300,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_key, _ = links(docs, text_col=text_col, **options)
     keyed = docs.withColumn("__key", text_key(text_col))
     rows = written(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key")).join(by_key.select("key", "class_id"), "key"))
-    best = rows.groupBy("class_id").agg(F.min(F.struct("id", "key")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    best = written(rows.groupBy("class_id").agg(F.min(F.struct("id", "key")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     grouped = rows.join(best, "class_id")
     is_best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     beaten = grouped.filter(~is_best).select("id", "key").distinct()
