@@ -1,14 +1,14 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are TF-IDF vectors over a vocabulary of terms that are tied to the label in the
-training sample (chi-squared with 1 degree of freedom, `min_df` texts at least). Terms
+Texts are TF-IDF vectors over all terms of the training sample, each weighted by how it
+is tied to label 1 there (the root of chi-squared with 1 degree of freedom). Only terms
+that don't speak for label 1 weigh nothing; no count or rank keeps a term out, so a kind
+of toxicity with one example has its terms, whatever the size of the sample. Terms
 are words, their stems (first 5, 6 and 7 letters), and marks that a word or stem comes
-at least 2, 4 or 8 times, so that the amount counts and not only the direction. The
-examples' inverted index stores each word's postings in blocks of `BLOCK` examples with
-the block's largest weight. A query bounds each block's cosine by the sum of query
-weight times block maximum, visits blocks from the highest bound on, scores a block
-exactly, and stops when no bound reaches the k-th best cosine: the neighbours are the
-exact ones (ties: the example first in the sample's order).
+at least 2, 4 or 8 times, so that the amount counts and not only the direction. A query
+reads the postings of all its terms in the examples' inverted index, so the neighbours are
+the exact ones (ties: the example first in the sample's order). Block maxima are not kept:
+with all terms their bounds let a query skip next to no block.
 
 The neighbours vote with their cosine; the vote is calibrated by a logistic curve fitted
 to leave-one-out votes of the sample, and texts without a word of the vocabulary get
@@ -23,11 +23,11 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,11 @@ from geomill.llm.workspace import written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS, LEVELS = (5, 6, 7), (2, 4, 8)
-BLOCK, NEIGHBOURS = 64, 15
-#: Labelled texts learnt from, the longest of them, the size of the vocabulary, and the texts of label 1 that a term of it needs.
-TRAIN_ROWS, TRAIN_BYTES, MOST_WORDS, MIN_DF = 8_000, 32_000, 300, 12
-#: Least chi-squared of a word (1 degree of freedom).
-MIN_CHI2 = 40.0
+NEIGHBOURS = 15
+#: Labelled texts learnt from, and the longest of them.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 32_000
+#: Texts whose scores a task remembers, for copies.
+REMEMBERED = 10_000
 
 
 def bases(word: str) -> list[str]:
@@ -71,14 +71,14 @@ def select_words(n1: np.ndarray, n0: np.ndarray, pos: int, neg: int) -> np.ndarr
     return np.where((a * neg > b * pos) & np.isfinite(chi), chi, 0.0)
 
 
-def vocabulary(rows: DataFrame, pos: int, neg: int, min_df: int = MIN_DF, min_chi2: float = MIN_CHI2, most: int = MOST_WORDS) -> list[tuple[str, int]]:
-    """Terms of (text, label) rows with the texts they are in, best first.
+def vocabulary(rows: DataFrame, pos: int, neg: int) -> list[tuple[str, int, float]]:
+    """(term, texts it is in, tie to label 1) for each term of (text, label) rows that speaks for label 1.
 
-    Only terms of enough texts of label 1 are counted among the others. Counts are
+    Only terms of texts of label 1 are counted among the others. Counts are
     combined in each task before the shuffle; the sample bounds what reaches the driver.
     """
 
-    def counted(label: int, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
+    def counted(label: int, wanted: frozenset[str] | None) -> dict[str, int]:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: Counter[str] = Counter()
             for batch in batches:
@@ -88,71 +88,66 @@ def vocabulary(rows: DataFrame, pos: int, neg: int, min_df: int = MIN_DF, min_ch
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
         found = rows.filter(F.col("label") == label).select("text").mapInArrow(count, "term string, n long")
-        return {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()}
+        return {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
-    n1 = counted(1, None, min_df)
+    n1 = counted(1, None)
     if not n1:
         return []
-    n0 = counted(0, frozenset(n1), 1)
+    n0 = counted(0, frozenset(n1))
     names = sorted(n1)
     chi = select_words(np.array([n1[t] for t in names]), np.array([n0.get(t, 0) for t in names]), pos, neg)
-    best = sorted((-c, t) for c, t in zip(chi, names) if c >= min_chi2)[:most]
-    return [(t, n1[t] + n0.get(t, 0)) for _, t in best]
+    return [(t, n1[t] + n0.get(t, 0), float(c) ** 0.5) for t, c in zip(names, chi) if c > 0]
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples, and the calibration of its votes."""
+    """Inverted index of the examples, and the calibration of its votes."""
 
     words: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's tie to label 1
     labels: np.ndarray
     ids: list[str]
-    postings: list[tuple[np.ndarray, np.ndarray]]  # for each word: examples ascending, weights
-    bounds: np.ndarray  # for each word and block: first posting
-    peaks: np.ndarray  # for each word and block: largest weight
+    example: np.ndarray  # postings by term and example
+    value: np.ndarray
+    first: np.ndarray  # for each term: first posting
     curve: tuple[float, float] = (0.0, 0.0)
     bare: float = 0.5
 
     @classmethod
-    def build(cls, words: list[tuple[str, int]], n: int, examples: list[tuple[str, int, list[int], list[int]]]) -> Index:
-        """From (id, label, words, counts) of the examples with a word of the vocabulary."""
-        idf = np.log((1 + n) / (1 + np.array([df for _, df in words], float))) + 1
-        blocks = (len(examples) + BLOCK - 1) // BLOCK
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in words]
-        for e, (_, _, ws, counts) in enumerate(examples):
-            v = (1 + np.log(np.array(counts, float))) * idf[ws]
-            for w, x in zip(ws, v / np.sqrt((v**2).sum())):
-                lists[w][0].append(e)
-                lists[w][1].append(x)
-        postings = [(np.array(e, np.int64), np.array(x)) for e, x in lists]
-        bounds = np.stack([np.searchsorted(e, np.arange(blocks + 1) * BLOCK) for e, _ in postings]) if words else np.zeros((0, blocks + 1), np.int64)
-        peaks = np.zeros((len(words), blocks))
-        for w, (_, x) in enumerate(postings):
-            for b in np.flatnonzero(np.diff(bounds[w])):
-                peaks[w, b] = x[bounds[w, b] : bounds[w, b + 1]].max()
-        return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], postings, bounds, peaks)
-
-    def nearest(self, ws: tuple[int, ...], counts: tuple[int, ...], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
+    def build(cls, words: list[tuple[str, int]], n: int, examples: list[tuple[str, int, list[int], list[int]]], ties: list[float] | None = None) -> Index:
+        """From (id, label, words, counts) of the examples with a word of the vocabulary; `ties` are further weights of the words."""
+        idf = (np.log((1 + n) / (1 + np.array([df for _, df in words], float))) + 1) * (1.0 if ties is None else np.array(ties, float))
+        sizes = np.array([len(e[2]) for e in examples], np.int64)
+        owner = np.repeat(np.arange(len(examples)), sizes)
+        term = np.array([w for e in examples for w in e[2]], np.int64)
+        v = (1 + np.log(np.array([c for e in examples for c in e[3]], float))) * idf[term]
+        v /= np.sqrt(np.bincount(owner, v**2, len(examples)))[owner]
+        order = np.argsort(term, kind="stable")
+        term, owner, v = term[order], owner[order], v[order]
+        first = np.searchsorted(term, np.arange(len(words) + 1))
+        return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], owner, v, first)
+
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each term: examples ascending, weights."""
+        return [(self.example[a:b], self.value[a:b]) for a, b in zip(self.first[:-1], self.first[1:])]
+
+    def nearest(self, ws: Sequence[int], counts: Sequence[int], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k best examples with a word in common, best first; `leave` is left out."""
-        own = list(ws)
-        q = (1 + np.log(np.array(counts, float))) * self.idf[own]
+        own = np.asarray(ws, np.int64)
+        q = (1 + np.log(np.asarray(counts, float))) * self.idf[own]
         q /= np.sqrt((q**2).sum())
-        bound = q @ self.peaks[own]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for w, x in zip(own, q):
-                lo, hi = self.bounds[w, b], self.bounds[w, b + 1]
-                if hi > lo:
-                    e, v = self.postings[w]
-                    score[e[lo:hi] - b * BLOCK] += x * v[lo:hi]
-            for e in np.flatnonzero(score > 0).tolist():
-                if b * BLOCK + e != leave:
-                    best.append((-round(float(score[e]), 12), b * BLOCK + e))
-            best = sorted(best)[:k]
+        begin, end = self.first[own], self.first[own + 1]
+        spans = list(zip(begin.tolist(), end.tolist()))
+        value = np.concatenate([self.value[a:b] for a, b in spans])
+        value *= np.repeat(q, end - begin)
+        score = np.round(np.bincount(np.concatenate([self.example[a:b] for a, b in spans]), value), 12)
+        if 0 <= leave < len(score):
+            score[leave] = 0
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        best = sorted(zip((-score[found]).tolist(), found.tolist()))[:k]
         return [(-s, e) for s, e in best]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -164,7 +159,7 @@ class Index:
         self.bare = (bare[1] + 0.5) / (bare[0] + bare[1] + 1)
         votes = []
         for e, (_, _, ws, counts) in enumerate(examples):
-            found = self.nearest(tuple(ws), tuple(counts), leave=e)
+            found = self.nearest(ws, counts, leave=e)
             votes.append(self.vote(found) if found else np.nan)
         v, y = np.array(votes), self.labels.astype(float)
         v, y = v[~np.isnan(v)], y[~np.isnan(v)]
@@ -180,59 +175,57 @@ class Index:
             a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
         self.curve = (float(a), float(b))
 
-    def score(self, ws: tuple[int, ...], counts: tuple[int, ...]) -> tuple[float, int]:
+    def score(self, ws: Sequence[int], counts: Sequence[int]) -> tuple[float, int]:
         """Calibrated score, and the nearest example or -1."""
-        found = self.nearest(ws, counts) if ws else []
+        found = self.nearest(ws, counts) if len(ws) else []
         if not found:
             return self.bare, -1
         a, b = self.curve
         return float(1 / (1 + np.exp(-(a * self.vote(found) + b)))), found[0][1]
 
 
-def find_terms(text: str, words: dict[str, int], seen: dict[str, tuple[str, ...]], limit: int = 200_000) -> tuple[tuple[int, ...], tuple[int, ...]]:
+def base_levels(words: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """For each base of a term: (least amount, term)."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, i in words.items():
+        base, _, least = t.partition("#")
+        out.setdefault(base, []).append((int(least or 1), i))
+    return out
+
+
+def find_terms(text: str, levels: dict[str, list[tuple[int, int]]], seen: dict[str, tuple[str, ...]], limit: int = 200_000) -> tuple[list[int], list[int]]:
     """Sorted terms of the vocabulary and their counts; `seen` remembers which bases of a word matter."""
-    matter = _base_set(tuple(words))
-    n: Counter[str] = Counter()
-    for w in WORD.findall(text.lower()):
+    n: dict[str, int] = {}
+    for w, k in Counter(WORD.findall(text.lower())).items():
         own = seen.get(w)
         if own is None:
             if len(seen) > limit:
                 seen.clear()
-            own = seen[w] = tuple(b for b in bases(w) if b in matter)
+            own = seen[w] = tuple(b for b in bases(w) if b in levels)
         for b in own:
-            n[b] += 1
-    found = {}
-    for b, k in n.items():
-        for t in (b, *(f"{b}#{v}" for v in LEVELS if k >= v)):
-            if (i := words.get(t)) is not None:
-                found[i] = k
-    order = sorted(found)
-    return tuple(order), tuple(found[i] for i in order)
-
-
-@lru_cache(maxsize=4)
-def _base_set(names: tuple[str, ...]) -> frozenset[str]:
-    return frozenset(t.split("#")[0] for t in names)
+            n[b] = n.get(b, 0) + k
+    found = sorted((i, k) for b, k in n.items() for least, i in levels[b] if k >= least)
+    return [i for i, _ in found], [k for _, k in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Vocabulary, index and calibration from the bounded sample; only vectors of few words reach the driver."""
+    """Vocabulary, index and calibration from the bounded sample; its counts and vectors reach the driver."""
     rows = written(sample(docs, labels, label, folds, held, train_rows, train_bytes, id_col, text_col).dropDuplicates(["text"]))
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = by.get(1, 0), by.get(0, 0)
     words = vocabulary(rows, pos, neg) if pos and neg else []
-    at = {w: i for i, (w, _) in enumerate(words)}
+    levels = base_levels({w: i for i, (w, _, _) in enumerate(words)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            found = [find_terms(t, at, seen) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([list(f[j]) for f in found], pa.list_(pa.int32())) for j in (0, 1))], names=["id", "label", "words", "counts"])
+            found = [find_terms(t, levels, seen) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[j] for f in found], pa.list_(pa.int32())) for j in (0, 1))], names=["id", "label", "words", "counts"])
 
     made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(vectors, "id string, label int, words array<int>, counts array<int>"))
     bare = {r["label"]: r["count"] for r in made.filter(F.size("words") == 0).groupBy("label").count().collect()}
     examples = sorted((r["id"], r["label"], r["words"], r["counts"]) for r in made.filter(F.size("words") > 0).collect())
-    index = Index.build(words, pos + neg, examples)
+    index = Index.build([w[:2] for w in words], pos + neg, examples, [w[2] for w in words])
     index.calibrate(examples, (bare.get(0, 0), bare.get(1, 0)))
     return index
 
@@ -244,21 +237,25 @@ def score(docs: DataFrame, index: Index, folds: int, held: int, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        names = list(ix.words)
+        names, levels = pa.array(list(ix.words), pa.string()), base_levels(ix.words)
         seen: dict[str, tuple[str, ...]] = {}
-        known: dict[tuple, tuple[float, int]] = {}
+        known: dict[bytes, tuple[float, int, np.ndarray]] = {}
         for batch in batches:
             for piece in pieces(batch.column(2)):
                 out = []
                 for i in range(len(piece)):
-                    v = find_terms(piece.text(i).decode(), ix.words, seen)
-                    if v not in known:
-                        if len(known) > 50_000:
+                    text = piece.text(i)
+                    key = hashlib.blake2b(text, digest_size=16).digest()
+                    if key not in known:
+                        if len(known) >= REMEMBERED:
                             known.clear()
-                        known[v] = ix.score(*v)
-                    out.append((*known[v], [names[w] for w in v[0]]))
+                        ws, counts = find_terms(text.decode(), levels, seen)
+                        known[key] = (*ix.score(ws, counts), np.array(ws, np.int32))
+                    out.append(known[key])
                 p = np.array([o[0] for o in out])
+                ends = np.cumsum([0, *(len(o[2]) for o in out)]).astype(np.int32)
+                evidence = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.concatenate([o[2] for o in out]))))
                 part = batch.slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([ix.ids[o[1]] if o[1] >= 0 else None for o in out], pa.string()), pa.array([o[2] for o in out], pa.list_(pa.string()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([ix.ids[o[1]] if o[1] >= 0 else None for o in out], pa.string()), evidence], names=schema.names)
 
     return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(run, schema)

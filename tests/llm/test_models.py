@@ -54,6 +54,23 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.score(none, index, 5, 0).count() == 0
 
 
+def test_toxicity_learns_from_few_examples(spark):
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(docs.join(labels, "doc_id", "left_semi"), toxicity.fit(docs, labels, 5, 0), 5, 0).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert len(toxic) == 6 and {r.lang for r in toxic if r.predicted} == {r.lang for r in toxic} == {"en", "es", "fr"}
+    assert sum(r.predicted for r in toxic) >= 5 and not any(r.predicted for r in rows if r.toxic == 0)
+
+
+def test_every_term_of_label_1_counts(spark):
+    texts = [f"common words of text {'a' * (i % 7 + 1)} and {'b' * (i % 11 + 1)}" + (" vile filth" if i % 20 == 0 else "") for i in range(200)]
+    rows = spark.createDataFrame([(t + " " + "c" * i, int("vile" in t)) for i, t in enumerate(texts)], "text string, label int")
+    words = {w: n for w, n, _ in toxicity.vocabulary(rows, 10, 190)}
+    assert words["vile"] == words["filth"] == 10 and "common" not in words
+    few = rows.filter("label = 0").unionByName(rows.filter("label = 1").limit(1))
+    assert {"vile", "filth"} <= {w for w, _, _ in toxicity.vocabulary(few, 1, 190)}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     words = [(f"w{i}", 5 + i) for i in range(30)]
