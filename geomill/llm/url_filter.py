@@ -4,11 +4,12 @@ Rules name a host (which covers its subdomains) and a path prefix; the longest r
 that fits decides. All other urls are judged by their host: trust is personalised
 PageRank from hosts whose pages the rules allow, along links; distrust is the same
 walk from hosts whose pages they block, against the links. A host is blocked if its
-distrust exceeds its trust by the factor `factor` and the least amount `floor`.
+distrust exceeds its trust by the factor `factor`, however small both are, so a verdict
+doesn't depend on the number of seeds elsewhere. Walks go on until the ranks are settled.
 
 Only DataFrame functions are used. Links are counted per pair of hosts before they
 are shuffled, so a host with a third of all pages is one row of each iteration; the
-ranks are checkpointed to the shared folder every few rounds.
+ranks are checkpointed to the shared folder every few rounds, and compared there.
 
 Defined results: a null url or one without :// has empty host and path and no rule,
 and is allowed; null or empty html has no links; repeated rows each give a row and
@@ -38,7 +39,9 @@ class Rule:
 
 
 RULES = (Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False), Rule("com", "/fr/", True), Rule("com", "/de/", False))
-DAMPING, ROUNDS, EVERY, FACTOR, FLOOR = 0.85, 20, 5, 1.0, 1e-9
+DAMPING, EVERY, FACTOR = 0.85, 5, 1.0
+#: Ranks are settled if no host is new and all together changed by no more than this; rounds after which less than a double can tell is still on its way.
+SETTLED, ROUNDS = 1e-13, 227
 
 
 def _lower(c: Column) -> Column:
@@ -74,8 +77,8 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return own.unionByName(other).groupBy("src", "dst").agg(F.sum("k").alias("n")).filter("n > 0")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = EVERY) -> DataFrame:
-    """(walk, host, rank): personalised PageRank of several walks at once, along edges (walk, src, dst, n) from seeds (walk, host, weight); the ranks of a walk with a seed sum to 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = EVERY, settled: float = SETTLED) -> DataFrame:
+    """(walk, host, rank): personalised PageRank of several walks at once, along edges (walk, src, dst, n) from seeds (walk, host, weight), once it is settled; the ranks of a walk with a seed sum to 1."""
     weight = seeds.groupBy("walk").agg(F.sum("weight").alias("all"))
     start = checkpointed(seeds.filter("weight > 0").join(weight, "walk").select("walk", "host", (F.col("weight") / F.col("all")).alias("start")))
     # A host without outgoing links gets one to itself, so no rank is lost on the way.
@@ -85,16 +88,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     total = edges.groupBy("walk", "src").agg(F.sum("n").alias("total"))
     share = checkpointed(edges.join(total, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share")))
     back = start.select("walk", "host", (F.col("start") * (1 - damping)).alias("part"))
-    rank = start.withColumnRenamed("start", "rank")
+    before = rank = start.withColumnRenamed("start", "rank")
     for i in range(rounds):
         flow = rank.join(share, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
         rank = flow.unionByName(back).groupBy("walk", "host").agg(F.sum("part").alias("rank"))
         if i % every == every - 1 or i == rounds - 1:
             rank = checkpointed(rank)
+            old = before.select("walk", "host", F.col("rank").alias("old"))
+            moved = rank.join(old, ["walk", "host"], "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("by"), F.count_if(F.col("old").isNull()).alias("new")).first()
+            if not moved["new"] and (moved["by"] or 0.0) <= settled:
+                break
+            before = rank
     return rank
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, factor: float = FACTOR, floor: float = FLOOR, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **walk) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, factor: float = FACTOR, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **walk) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for each row."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     name, allow = rule_of(F.col("host"), F.col("path"), rules)
@@ -108,6 +116,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, factor: float = FAC
     ranks = checkpointed(ranks.groupBy("host").agg(of("trust"), of("distrust")))
     # The hosts' ranks are broadcast if their number allows; beyond that Spark shuffles the pages by host.
     out = judged.join(broadcast_if_small(ranks, 120), "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    blocked = (F.col("distrust") > factor * F.col("trust")) & (F.col("distrust") >= floor)
+    blocked = F.col("distrust") > factor * F.col("trust")
     verdict = F.when(F.coalesce("allow", ~blocked), "allow").otherwise("block")
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

@@ -183,6 +183,19 @@ def test_links_and_ranks(spark):
     assert rows["e.net"].verdict == "block" and rows["b.net"].verdict == "allow"
 
 
+def test_far_hosts_and_many_seeds(spark):
+    chain = [(i, f"http://h{i}.net", f'<a href="http://h{i + 1}.net">') for i in range(30)] + [(30, "http://h30.net", '<a href="http://bad.com">'), (31, "http://bad.com/de/", "")]
+    seeds = spark.range(100, 100_100).selectExpr("id AS page_id", "concat('http://s', id, '.com/de/') AS url", "'' AS html")
+    df = spark.createDataFrame(chain, "page_id long, url string, html string").unionByName(seeds).coalesce(4)
+    rows = {r.host: r for r in url_filter.judge(df).filter("page_id < 100").collect()}
+    assert all(r.verdict == "block" for r in rows.values())
+    # The walk's fixed point: a host n links before the blocked one has 0.85^n of its rank; the last of the chain keeps what comes.
+    bad = 0.15 / 100_001
+    for i in range(31):
+        want = bad * 0.85 ** (31 - i) / (0.15 if i == 0 else 1)
+        assert abs(rows[f"h{i}.net"].distrust - want) <= 1e-6 * want
+
+
 def test_url_filter_is_native(spark, sf_dir):
     df = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rounds=1)
     plan = df._jdf.queryExecution().toString()
