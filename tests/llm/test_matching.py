@@ -171,16 +171,40 @@ def test_suffix_array_of_small_alphabets():
 def test_line_dedup_keeps_the_first(odd, spark, none):
     line = "this line of more than five words repeats"
     df = spark.createDataFrame([(2, f"{line}\nshort\nother words are here and stay"), (1, f"short\n  This LINE of more than  five words repeats\n{line}"), (3, None), (None, f"{line}\nx")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in line_dedup.without_repeated_units(df).collect()}
-    assert rows[None].kept == f"{line}\nx"
-    assert rows[1].kept == "short" and len(rows[1].removed) == 2
-    assert rows[2].kept == "short\nother words are here and stay"
-    assert [(s.begin, s.end) for s in rows[2].kept_units] == [(len(line) + 1, len(line) + 6), (len(line) + 7, len(line) + 36)]
-    assert rows[3].kept == "" and rows[3].n_units == 1
+    for name in ("line", "sentence"):
+        rows = {r.doc_id: r for r in line_dedup.without_repeated_units(df, name, 5).collect()}
+        assert rows[None].kept == f"{line}\nx"
+        assert rows[1].kept == "short" and len(rows[1].removed) == (2 if name == "line" else 3)
+        assert rows[2].kept == "short\nother words are here and stay"
+        assert [(s.begin, s.end) for s in rows[2].kept_units] == [(len(line) + 1, len(line) + 6), (len(line) + 7, len(line) + 36)]
+        assert rows[3].kept == "" and rows[3].n_units == 0
+    # One word is enough where the caller says so.
+    rows = {r.doc_id: r for r in line_dedup.without_repeated_units(df, "line", 1).collect()}
+    assert rows[1].kept == "short" and rows[2].kept == "other words are here and stay"
     assert line_dedup.without_repeated_units(none).count() == 0
     assert line_dedup.without_repeated_units(odd, unit="paragraph").count() == odd.count()
 
 
+def test_passages_inside_lines_go_and_short_sentences_stay(spark):
+    passage = " ".join("These are %s words of a passage that is longer than one sentence." % w for w in ("the first", "some more", "other", "yet other", "the last"))
+    wide = "".join(f"これは{i}番目の長い文章です。" for i in range(40))
+    common = "All rights reserved. Les. He went."
+    texts = [f"{common}\nsome words before {passage} and some behind\n{common}", f"Another start with that {passage}\n{common}", f"{common} Nothing else is in here.", wide, "前書き。" + wide + "後書き。"]
+    long = "".join(f"Sentence {i} of a very long text stands here once. " for i in range(60_000))
+    texts += [long + passage + " \n", long[: 2 << 20] + "tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in line_dedup.without_repeated_units(df).collect()}
+    assert rows[0].kept == texts[0] and rows[2].kept == texts[2]
+    assert rows[1].kept == f"Another start with that\n{common}"
+    assert rows[3].kept == wide and rows[4].kept == "前書き。後書き。"
+    assert rows[5].kept == long.rstrip() and len(rows[6].kept) < 200
+    for i, r in rows.items():
+        data = texts[i].encode()
+        spans = sorted([*r.removed, *r.kept_units])
+        assert len(spans) == r.n_units and b"".join(b"".join(data[a:b].split()) for a, b in spans) == b"".join(data.split())
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_line_dedup_sql(spark, sf_dir):
     import duckdb
 
