@@ -1,23 +1,30 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are TF-IDF vectors over all terms of the training sample, each weighted by how it
-is tied to label 1 there (the root of chi-squared with 1 degree of freedom). Only terms
-that don't speak for label 1 weigh nothing; no count or rank keeps a term out, so a kind
-of toxicity with one example has its terms, whatever the size of the sample. Terms
+Texts are TF-IDF vectors over all terms of the training sample. Each term is also weighted
+by how it is tied to label 1 there (the root of chi-squared with 1 degree of freedom).
+Only terms that don't speak for label 1 weigh nothing; no count or rank keeps a term out,
+so a kind of toxicity with one example has its terms, whatever the size of the sample. Terms
 are words, their stems (first 5, 6 and 7 letters), and marks that a word or stem comes
-at least 2, 4 or 8 times, so that the amount counts and not only the direction. A query
-reads the postings of all its terms in the examples' inverted index, so the neighbours are
-the exact ones (ties: the example first in the sample's order). Block maxima are not kept:
-with all terms their bounds let a query skip next to no block.
+at least 2, 4 or 8 times, so that the amount counts and not only the direction.
+
+The examples' inverted index stores the postings of frequent terms in blocks of `BLOCK`
+examples, with each block's largest weight; rare terms have plain postings, which are
+added up first. A query bounds every block's cosine by its rare terms' best sum there and
+the sum of its other weights times the maxima, visits the blocks with the highest bounds
+first, and skips those whose bound doesn't reach the k-th best cosine so far. Many queries
+go through a block at once in single precision; all examples within its error of the k-th
+best are scored again in double, so the neighbours are the exact ones (ties: the example
+first in the sample's order).
 
 The neighbours vote with their cosine; the vote is calibrated by a logistic curve fitted
 to leave-one-out votes of the sample, and texts without a word of the vocabulary get
-the rate of label 1 among such texts. Evidence: the nearest example and the terms found.
+the rate of label 1 among such texts. Evidence: the voters and the terms found.
 
 Words are runs of letters, lower-cased. Exact copies count once in the training sample.
 
-Defined results: null and empty texts are texts without words; repeated rows each give
-a row; null ids count as fold 0; without labels every score is 0.5; extra columns are
+Defined results: null and empty texts are texts without words; texts of any length are
+scored whole; repeated rows each give a row; null ids count as fold 0; without labels every
+score is 0.5; an empty table gives an empty table; extra columns, whatever their names, are
 not read.
 """
 
@@ -28,6 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +49,9 @@ from geomill.llm.workspace import written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS, LEVELS = (5, 6, 7), (2, 4, 8)
-NEIGHBOURS = 15
+BLOCK, NEIGHBOURS = 64, 15
+#: Terms in more than one of RARE examples have blocks; more than the error of a cosine in single precision; queries that go together.
+RARE, ERROR, TOGETHER = 16, 1e-5, 128
 #: Labelled texts learnt from, and the longest of them.
 TRAIN_ROWS, TRAIN_BYTES = 8_000, 32_000
 #: Texts whose scores a task remembers, for copies.
@@ -95,21 +105,21 @@ def vocabulary(rows: DataFrame, pos: int, neg: int) -> list[tuple[str, int, floa
         return []
     n0 = counted(0, frozenset(n1))
     names = sorted(n1)
-    chi = select_words(np.array([n1[t] for t in names]), np.array([n0.get(t, 0) for t in names]), pos, neg)
-    return [(t, n1[t] + n0.get(t, 0), float(c) ** 0.5) for t, c in zip(names, chi) if c > 0]
+    tie = np.sqrt(select_words(np.array([n1[t] for t in names]), np.array([n0.get(t, 0) for t in names]), pos, neg))
+    return [(t, n1[t] + n0.get(t, 0), float(x)) for t, x in zip(names, tie) if x > 0]
 
 
 @dataclass
 class Index:
-    """Inverted index of the examples, and the calibration of its votes."""
+    """Block-max inverted index of the examples, and the calibration of its votes."""
 
     words: dict[str, int]
     idf: np.ndarray  # times the term's tie to label 1
     labels: np.ndarray
     ids: list[str]
-    example: np.ndarray  # postings by term and example
-    value: np.ndarray
-    first: np.ndarray  # for each term: first posting
+    term: np.ndarray  # vectors, by example and term
+    weight: np.ndarray
+    begin: np.ndarray
     curve: tuple[float, float] = (0.0, 0.0)
     bare: float = 0.5
 
@@ -119,36 +129,84 @@ class Index:
         idf = (np.log((1 + n) / (1 + np.array([df for _, df in words], float))) + 1) * (1.0 if ties is None else np.array(ties, float))
         sizes = np.array([len(e[2]) for e in examples], np.int64)
         owner = np.repeat(np.arange(len(examples)), sizes)
-        term = np.array([w for e in examples for w in e[2]], np.int64)
+        term = np.array([w for e in examples for w in e[2]], np.int32)
         v = (1 + np.log(np.array([c for e in examples for c in e[3]], float))) * idf[term]
         v /= np.sqrt(np.bincount(owner, v**2, len(examples)))[owner]
-        order = np.argsort(term, kind="stable")
-        term, owner, v = term[order], owner[order], v[order]
-        first = np.searchsorted(term, np.arange(len(words) + 1))
-        return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], owner, v, first)
+        return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], term, v, np.append(0, np.cumsum(sizes)))
+
+    def __post_init__(self) -> None:
+        """Invert the vectors: `example` and `value` by term from `first` on; `blocks` (block, row, place) and their largest weights `most` (row, block) for the frequent terms, whose rows are in `dense`."""
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
+        order = np.argsort(self.term, kind="stable")
+        self.example, self.value = owner[order], self.weight[order]
+        self.first = np.searchsorted(self.term[order], np.arange(len(self.words) + 1))
+        frequent = np.flatnonzero(np.diff(self.first) * RARE > len(self.ids))
+        self.dense = np.full(len(self.words), -1)
+        self.dense[frequent] = np.arange(len(frequent))
+        self.blocks = np.zeros((-(-len(self.ids) // BLOCK), len(frequent), BLOCK), np.float32)
+        at = np.flatnonzero(self.dense[self.term] >= 0)
+        self.blocks[owner[at] // BLOCK, self.dense[self.term[at]], owner[at] % BLOCK] = self.weight[at]
+        self.most = self.blocks.max(axis=2).T.copy()
+
+    def __reduce__(self):
+        """Only the vectors are sent; tasks invert them again."""
+        return Index, (self.words, self.idf, self.labels, self.ids, self.term, self.weight, self.begin, self.curve, self.bare)
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each term: examples ascending, weights."""
         return [(self.example[a:b], self.value[a:b]) for a, b in zip(self.first[:-1], self.first[1:])]
 
-    def nearest(self, ws: Sequence[int], counts: Sequence[int], k: int = NEIGHBOURS, leave: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k best examples with a word in common, best first; `leave` is left out."""
-        own = np.asarray(ws, np.int64)
-        q = (1 + np.log(np.asarray(counts, float))) * self.idf[own]
-        q /= np.sqrt((q**2).sum())
-        begin, end = self.first[own], self.first[own + 1]
-        spans = list(zip(begin.tolist(), end.tolist()))
-        value = np.concatenate([self.value[a:b] for a, b in spans])
-        value *= np.repeat(q, end - begin)
-        score = np.round(np.bincount(np.concatenate([self.example[a:b] for a, b in spans]), value), 12)
-        if 0 <= leave < len(score):
-            score[leave] = 0
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], -k)[-k]]
-        best = sorted(zip((-score[found]).tolist(), found.tolist()))[:k]
-        return [(-s, e) for s, e in best]
+    def search(self, bounds: np.ndarray, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each query, given by its terms and counts within the bounds, (cosine, example) of the k best examples with a word in common, best first; `leave` has an example for each to leave out."""
+        if len(bounds) - 1 > TOGETHER:
+            out = []
+            for a in range(0, len(bounds) - 1, TOGETHER):
+                own = bounds[a : a + TOGETHER + 1]
+                out += self.search(own - own[0], term[own[0] : own[-1]], count[own[0] : own[-1]], k, None if leave is None else leave[a : a + TOGETHER])
+            return out
+        n, n_blocks = len(bounds) - 1, len(self.blocks)
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        w = (1 + np.log(count.astype(float))) * self.idf[term]
+        w /= np.sqrt(np.bincount(row, w**2, n))[row]
+        dense = self.dense[term]
+        q = np.zeros((n, self.blocks.shape[1]), np.float32)
+        some = dense >= 0
+        q[row[some], dense[some]] = w[some]
+        low, high = self.first[term[~some]], self.first[term[~some] + 1]
+        posting, size = _ranges(low, high), high - low
+        width = n_blocks * BLOCK
+        rare = np.bincount(np.repeat(row[~some] * width, size) + self.example[posting], np.repeat(w[~some], size) * self.value[posting], n * width).astype(np.float32).reshape(n, n_blocks, BLOCK)
+        bound = q @ self.most + rare.max(axis=2, initial=0)
+        score = np.zeros((n, n_blocks, BLOCK), np.float32)
+        best = np.zeros((n, k), np.float32)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+            own = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best.min(axis=1) - ERROR))
+            if not len(own):
+                continue
+            s = q[own] @ self.blocks[b] + rare[own, b]
+            if leave is not None:
+                out = np.flatnonzero(leave[own] // BLOCK == b)
+                s[out, leave[own[out]] % BLOCK] = 0
+            score[own, b] = s
+            best[own] = np.partition(np.concatenate([best[own], s], axis=1), -k, axis=1)[:, -k:]
+        score = score.reshape(n, width)
+        near = (score > 0) & (score >= best.min(axis=1)[:, None] - 2 * ERROR)
+        weight, found = np.zeros(len(self.idf)), []
+        for i in range(n):
+            e = np.flatnonzero(near[i])
+            own = slice(bounds[i], bounds[i + 1])
+            weight[term[own]] = w[own]
+            size = self.begin[e + 1] - self.begin[e]
+            at = _ranges(self.begin[e], self.begin[e + 1])
+            cosine = np.round(np.bincount(np.repeat(np.arange(len(e)), size), weight[self.term[at]] * self.weight[at], len(e)), 12)
+            weight[term[own]] = 0
+            found.append([(-c, x) for c, x in sorted(zip((-cosine).tolist(), e.tolist()))[:k] if c])
+        return found
+
+    def nearest(self, ws: Sequence[int], counts: Sequence[int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        """The same for one query."""
+        return self.search(np.array([0, len(ws)]), np.asarray(ws, np.int64), np.asarray(counts, np.int64), k)[0]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         weight = sum(s for s, _ in found)
@@ -157,11 +215,9 @@ class Index:
     def calibrate(self, examples: list[tuple[str, int, list[int], list[int]]], bare: tuple[int, int]) -> None:
         """Logistic curve of the leave-one-out votes; `bare` counts the sample's texts of either label without words."""
         self.bare = (bare[1] + 0.5) / (bare[0] + bare[1] + 1)
-        votes = []
-        for e, (_, _, ws, counts) in enumerate(examples):
-            found = self.nearest(ws, counts, leave=e)
-            votes.append(self.vote(found) if found else np.nan)
-        v, y = np.array(votes), self.labels.astype(float)
+        ws, counts = (np.array([x for e in examples for x in e[j]], np.int64) for j in (2, 3))
+        votes = [self.vote(found) if found else np.nan for found in self.search(self.begin, ws, counts, leave=np.arange(len(examples)))]
+        v, y = np.array(votes, float), self.labels.astype(float)
         v, y = v[~np.isnan(v)], y[~np.isnan(v)]
         a, b = 4.0, -2.0
         for _ in range(50):  # Newton steps with a small ridge
@@ -175,37 +231,60 @@ class Index:
             a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
         self.curve = (float(a), float(b))
 
-    def score(self, ws: Sequence[int], counts: Sequence[int]) -> tuple[float, int]:
-        """Calibrated score, and the nearest example or -1."""
-        found = self.nearest(ws, counts) if len(ws) else []
-        if not found:
-            return self.bare, -1
+    def score(self, bounds: np.ndarray, term: np.ndarray, count: np.ndarray) -> list[tuple[float, list[tuple[float, int]]]]:
+        """For each query its calibrated score, and the voters as (cosine, example), nearest first."""
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * self.vote(found) + b)))), found[0][1]
+        return [(float(1 / (1 + np.exp(-(a * self.vote(found) + b)))) if found else self.bare, found) for found in self.search(bounds, term, count)]
 
 
-def base_levels(words: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """For each base of a term: (least amount, term)."""
-    out: dict[str, list[tuple[int, int]]] = {}
-    for t, i in words.items():
-        base, _, least = t.partition("#")
-        out.setdefault(base, []).append((int(least or 1), i))
-    return out
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [low, high), one after the other."""
+    size = high - low
+    return np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
 
 
-def find_terms(text: str, levels: dict[str, list[tuple[int, int]]], seen: dict[str, tuple[str, ...]], limit: int = 200_000) -> tuple[list[int], list[int]]:
-    """Sorted terms of the vocabulary and their counts; `seen` remembers which bases of a word matter."""
-    n: dict[str, int] = {}
-    for w, k in Counter(WORD.findall(text.lower())).items():
-        own = seen.get(w)
+class Finder:
+    """Finds the terms of a vocabulary in many texts at once; which bases of a word matter is remembered."""
+
+    def __init__(self, words: dict[str, int], limit: int = 200_000):
+        self.n, self.limit = len(words), limit
+        levels: dict[str, list[tuple[int, int]]] = {}
+        for t, i in words.items():
+            base, _, least = t.partition("#")
+            levels.setdefault(base, []).append((int(least or 1), i))
+        self.base = {b: i for i, b in enumerate(levels)}
+        self.first = np.cumsum([0, *map(len, levels.values())])
+        self.least, self.term = (np.array([x[j] for own in levels.values() for x in own], np.int64) for j in (0, 1))
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def _bases(self, word: str) -> tuple[int, ...]:
+        own = self.seen.get(word)
         if own is None:
-            if len(seen) > limit:
-                seen.clear()
-            own = seen[w] = tuple(b for b in bases(w) if b in levels)
-        for b in own:
-            n[b] = n.get(b, 0) + k
-    found = sorted((i, k) for b, k in n.items() for least, i in levels[b] if k >= least)
-    return [i for i, _ in found], [k for _, k in found]
+            if len(self.seen) > self.limit:
+                self.seen.clear()
+            own = self.seen[word] = tuple(self.base[b] for b in bases(word) if b in self.base)
+        return own
+
+    def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of each text, its terms in ascending order, and their counts."""
+        found = [WORD.findall(t.lower()) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        coded = pa.array(chain.from_iterable(found), pa.string(), size=len(row)).dictionary_encode()
+        own = [self._bases(w) for w in coded.dictionary.to_pylist()]
+        lead = np.cumsum([0, *map(len, own)])
+        base = np.array([b for o in own for b in o], np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = _ranges(lead[code], lead[code + 1])
+        m = max(1, len(self.base))
+        pair, count = np.unique(np.repeat(row, lead[code + 1] - lead[code]) * m + base[at], return_counts=True)
+        row, b = pair // m, pair % m
+        size = self.first[b + 1] - self.first[b]
+        level = _ranges(self.first[b], self.first[b + 1])
+        row, count = np.repeat(row, size), np.repeat(count, size)
+        enough = count >= self.least[level]
+        row, count, term = row[enough], count[enough], self.term[level[enough]]
+        order = np.argsort(row * max(1, self.n) + term, kind="stable")
+        return np.searchsorted(row, np.arange(len(texts) + 1)), term[order], count[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Index:
@@ -214,48 +293,51 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str =
     by = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     pos, neg = by.get(1, 0), by.get(0, 0)
     words = vocabulary(rows, pos, neg) if pos and neg else []
-    levels = base_levels({w: i for i, (w, _, _) in enumerate(words)})
+    places = {w: i for i, (w, _, _) in enumerate(words)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[str, ...]] = {}
+        finder = Finder(places)
         for batch in batches:
-            found = [find_terms(t, levels, seen) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([f[j] for f in found], pa.list_(pa.int32())) for j in (0, 1))], names=["id", "label", "words", "counts"])
+            bounds, term, count = finder(batch.column(1).to_pylist())
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, pa.int32())) for v in (term, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["id", "label", "words", "counts"])
 
     made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(vectors, "id string, label int, words array<int>, counts array<int>"))
     bare = {r["label"]: r["count"] for r in made.filter(F.size("words") == 0).groupBy("label").count().collect()}
-    examples = sorted((r["id"], r["label"], r["words"], r["counts"]) for r in made.filter(F.size("words") > 0).collect())
+    # By label, so that a block's largest weights are near those of its examples.
+    examples = sorted(((r["id"], r["label"], r["words"], r["counts"]) for r in made.filter(F.size("words") > 0).collect()), key=lambda e: (e[1], *e))
     index = Index.build([w[:2] for w in words], pos + neg, examples, [w[2] for w in words])
     index.calibrate(examples, (bare.get(0, 0), bare.get(1, 0)))
     return index
 
 
 def score(docs: DataFrame, index: Index, folds: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted, nearest, shared) for each row; `nearest` is the id of the nearest example, `shared` the words of the vocabulary that the text has."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("nearest", T.StringType()), T.StructField("shared", T.ArrayType(T.StringType()))])
+    """(id, held_out, score, predicted, nearest, shared, voters) for each row: `nearest` is the id of the nearest example, `shared` the words of the vocabulary that the text has, `voters` the examples that vote, nearest first."""
+    voter = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("nearest", T.StringType()), T.StructField("shared", T.ArrayType(T.StringType())), T.StructField("voters", T.ArrayType(voter))])
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        names, levels = pa.array(list(ix.words), pa.string()), base_levels(ix.words)
-        seen: dict[str, tuple[str, ...]] = {}
-        known: dict[bytes, tuple[float, int, np.ndarray]] = {}
+        names, ids, finder = pa.array(list(ix.words), pa.string()), pa.array(ix.ids, pa.string()), Finder(ix.words)
+        known: dict[bytes, tuple[float, list[tuple[float, int]], np.ndarray]] = {}
         for batch in batches:
             for piece in pieces(batch.column(2)):
-                out = []
-                for i in range(len(piece)):
-                    text = piece.text(i)
-                    key = hashlib.blake2b(text, digest_size=16).digest()
-                    if key not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        ws, counts = find_terms(text.decode(), levels, seen)
-                        known[key] = (*ix.score(ws, counts), np.array(ws, np.int32))
-                    out.append(known[key])
+                keys = [hashlib.blake2b(piece.text(i), digest_size=16).digest() for i in range(len(piece))]
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                new = {k: i for i, k in enumerate(keys) if k not in known}
+                bounds, term, count = finder([piece.text(i).decode() for i in new.values()])
+                for k, a, b, own in zip(new, bounds[:-1].tolist(), bounds[1:].tolist(), ix.score(bounds, term, count)):
+                    known[k] = (*own, term[a:b].astype(np.int32))
+                out = [known[k] for k in keys]
                 p = np.array([o[0] for o in out])
-                ends = np.cumsum([0, *(len(o[2]) for o in out)]).astype(np.int32)
-                evidence = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(np.concatenate([o[2] for o in out]))))
+                ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+                terms = pa.ListArray.from_arrays(ends(len(o[2]) for o in out), names.take(pa.array(np.concatenate([o[2] for o in out]))))
+                example = np.array([e for o in out for _, e in o[1]], np.int64)
+                votes = pa.StructArray.from_arrays([ids.take(pa.array(example)), pa.array(ix.labels[example], pa.int32()), pa.array([c for o in out for c, _ in o[1]], pa.float64())], names=["id", "label", "cosine"])
+                voters = pa.ListArray.from_arrays(ends(len(o[1]) for o in out), votes)
                 part = batch.slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([ix.ids[o[1]] if o[1] >= 0 else None for o in out], pa.string()), evidence], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([ix.ids[o[1][0][1]] if o[1] else None for o in out], pa.string()), terms, voters], names=schema.names)
 
     return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(run, schema)

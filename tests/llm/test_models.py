@@ -1,6 +1,8 @@
 import collections
 import itertools
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -95,6 +97,78 @@ def test_block_max_search_is_exact():
         assert np.allclose([s for s, _ in got], [-c for c, _ in want])
 
 
+def test_rare_and_frequent_terms_search_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [(f"w{i}", 2 + i % 50) for i in range(300)]
+    examples = []
+    for e in range(900):
+        own = np.unique((300 * rng.random(12) ** 3).astype(int)).tolist()
+        examples.append((str(e), int(e >= 700), own, rng.integers(1, 5, len(own)).tolist()))
+    bounds = np.cumsum([0, *(len(e[2]) for e in examples)])
+    ws, counts = (np.concatenate([e[j] for e in examples]) for j in (2, 3))
+    results = []
+    for rare in (0, 16, 10**6):  # none, some and all terms in blocks
+        monkeypatch.setattr(toxicity, "RARE", rare)
+        ix = toxicity.Index.build(words, 1000, examples)
+        results.append(ix.search(bounds, ws, counts, leave=np.arange(900)))
+    assert results[0] == results[1] == results[2]
+    dense = np.zeros((900, 300))
+    np.add.at(dense, (np.repeat(np.arange(900), np.diff(ix.begin)), ix.term), ix.weight)
+    cosine = np.round(dense @ dense.T, 12)
+    np.fill_diagonal(cosine, 0)
+    for e, found in enumerate(results[1]):
+        want = sorted((-c, x) for x, c in enumerate(cosine[e].tolist()) if c > 0)[:15]
+        assert np.allclose([-c for c, _ in want], [c for c, _ in found], atol=1e-9) and sum(x != y for (_, x), (_, y) in zip(want, found)) <= 2
+
+
+def test_toxicity_is_brute_force(spark, docs, labels, odd):
+    """Terms, ties, weights, cosines and votes in plain loops over the sample."""
+    index = toxicity.fit(docs, labels, 5, 0)
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    sample = {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        if r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 5:
+            sample[r.text or ""] = (r.doc_id, label[r.doc_id])
+
+    def amounts(text):
+        n = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            n.update([w, *("^" + w[:k] for k in (5, 6, 7) if len(w) > k)])
+        return {b + mark: k for b, k in n.items() for mark, least in (("", 1), ("#2", 2), ("#4", 4), ("#8", 8)) if k >= least}
+
+    own = {t: amounts(t) for t in sample}
+    pos, total = sum(y for _, y in sample.values()), len(sample)
+    n1, n0 = collections.Counter(), collections.Counter()
+    for t, (_, y) in sample.items():
+        (n1 if y else n0).update(own[t].keys())
+    weight = {}
+    for w, a in n1.items():
+        b, c, d = n0[w], pos - a, total - pos - n0[w]
+        if a * (total - pos) > b * pos:
+            tie = (total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))) ** 0.5 if c + d else 0
+            weight[w] = (math.log((1 + total) / (1 + a + b)) + 1) * tie
+
+    def vector(text):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in amounts(text).items() if weight.get(w)}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {t: vector(t) for t in sample}
+    for df in (docs, odd):
+        for r, text in ((r, r.text or "") for r in toxicity.score(df, index, 5, 0).join(df.select("doc_id", "text"), "doc_id").collect()):
+            v = vector(text)
+            cosine = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), *sample[t]) for t, u in vectors.items()), reverse=True)
+            found = [c for c in cosine if c[0] > 0][:15]
+            if not found:
+                assert not r.voters and r.score == index.bare
+                continue
+            assert np.allclose([c for c, *_ in found], [x.cosine for x in r.voters], atol=1e-9)
+            if len(found) < 15 or found[-1][0] > cosine[15][0] + 1e-9:
+                vote = sum(c for c, _, y in found if y) / sum(c for c, *_ in found)
+                a, b = index.curve
+                assert r.score == pytest.approx(1 / (1 + math.exp(-(a * vote + b)))) and r.voters[0].id == r.nearest
+
+
 def test_rules_are_brute_force(docs, labels, odd, none):
     field = quality_rules.fit(docs, labels)
     for df in (docs, odd):
