@@ -7,6 +7,7 @@ offsets, so hashes of words, lines and windows are array expressions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -79,7 +80,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hash of any byte span of a buffer, from one prefix sum; equal spans hash alike wherever they stand."""
+    """Hash of any byte span of a buffer, from one prefix sum; equal spans hash alike wherever they stand.
+
+    Long spans can be built to collide (it is a polynomial modulo 2^64), so it only deals
+    bytes to groups and never decides that two spans are equal.
+    """
 
     def __init__(self, data: np.ndarray):
         n = 1 << max(20, int(len(data)).bit_length())
@@ -112,6 +117,39 @@ def word_spans(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, row
 
 
+def ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [low, high), one after the other."""
+    size = high - low
+    return np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span of the buffer, alike for spans of equal bytes only, and the spans by number."""
+    ends = np.append(0, np.cumsum(end - start))
+    kind, width = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    spans = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(ends.astype(width)), pa.py_buffer(data[ranges(start, end)])])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 for each span of the buffer."""
+    code, spans = codes(data, start, end)
+    return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=8).digest() for s in spans.to_pylist()]), np.uint64)[code]
+
+
+def run_codes(code: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of k codes, alike for equal runs only."""
+    out, width = code, 1
+    while width < k:
+        step = min(width, k - width)
+        right = run_codes(code, step) if step < width else out
+        n = max(0, len(code) - width - step + 1)
+        pair = out[:n] * (int(right.max(initial=0)) + 1) + right[width : width + n]
+        out, width = np.unique(pair, return_inverse=True)[1], width + step
+    return out
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of k words of one row, with the index of its first word."""
     n = len(hashes) - k + 1

@@ -39,19 +39,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.labels import fold, sample
-from geomill.llm.text import pieces
+from geomill.llm.text import pieces, ranges
 from geomill.llm.workspace import written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS, LEVELS = (5, 6, 7), (2, 4, 8)
 BLOCK, NEIGHBOURS = 64, 15
 #: Terms in more than one of RARE examples have blocks; more than the error of a cosine in single precision; queries that go together.
-RARE, ERROR, TOGETHER = 16, 1e-5, 128
+RARE, ERROR, TOGETHER = 16, 1e-5, 64
 #: Labelled texts learnt from, and the longest of them.
 TRAIN_ROWS, TRAIN_BYTES = 8_000, 32_000
 #: Texts whose scores a task remembers, for copies.
@@ -98,7 +98,8 @@ def vocabulary(rows: DataFrame, pos: int, neg: int) -> list[tuple[str, int, floa
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
         found = rows.filter(F.col("label") == label).select("text").mapInArrow(count, "term string, n long")
-        return {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        table = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        return dict(zip(table.column("term").to_pylist(), table.column("n").to_pylist()))
 
     n1 = counted(1, None)
     if not n1:
@@ -124,13 +125,13 @@ class Index:
     bare: float = 0.5
 
     @classmethod
-    def build(cls, words: list[tuple[str, int]], n: int, examples: list[tuple[str, int, list[int], list[int]]], ties: list[float] | None = None) -> Index:
+    def build(cls, words: list[tuple[str, int]], n: int, examples: list[tuple[str, int, Sequence[int], Sequence[int]]], ties: list[float] | None = None) -> Index:
         """From (id, label, words, counts) of the examples with a word of the vocabulary; `ties` are further weights of the words."""
         idf = (np.log((1 + n) / (1 + np.array([df for _, df in words], float))) + 1) * (1.0 if ties is None else np.array(ties, float))
         sizes = np.array([len(e[2]) for e in examples], np.int64)
         owner = np.repeat(np.arange(len(examples)), sizes)
-        term = np.array([w for e in examples for w in e[2]], np.int32)
-        v = (1 + np.log(np.array([c for e in examples for c in e[3]], float))) * idf[term]
+        term, count = (np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[j], np.int32) for e in examples)]) for j in (2, 3))
+        v = (1 + np.log(count)) * idf[term]
         v /= np.sqrt(np.bincount(owner, v**2, len(examples)))[owner]
         return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], term, v, np.append(0, np.cumsum(sizes)))
 
@@ -157,24 +158,33 @@ class Index:
         """For each term: examples ascending, weights."""
         return [(self.example[a:b], self.value[a:b]) for a, b in zip(self.first[:-1], self.first[1:])]
 
-    def search(self, bounds: np.ndarray, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
-        """For each query, given by its terms and counts within the bounds, (cosine, example) of the k best examples with a word in common, best first; `leave` has an example for each to leave out."""
+    def search(self, bounds: np.ndarray, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """For each query, given by its terms and counts within the bounds, (cosine, example) of the k best examples with a word in common, best first."""
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        w = (1 + np.log(count.astype(float))) * self.idf[term]
+        w /= np.sqrt(np.bincount(row, w**2, len(bounds) - 1))[row]
+        return self._search(bounds, term, w, k, None)
+
+    def others(self, low: int, high: int, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """The same for the examples from low to high, each but for itself."""
+        own = slice(self.begin[low], self.begin[high])
+        return self._search(self.begin[low : high + 1] - self.begin[low], self.term[own], self.weight[own], k, np.arange(low, high))
+
+    def _search(self, bounds: np.ndarray, term: np.ndarray, w: np.ndarray, k: int, leave: np.ndarray | None) -> list[list[tuple[float, int]]]:
         if len(bounds) - 1 > TOGETHER:
             out = []
             for a in range(0, len(bounds) - 1, TOGETHER):
                 own = bounds[a : a + TOGETHER + 1]
-                out += self.search(own - own[0], term[own[0] : own[-1]], count[own[0] : own[-1]], k, None if leave is None else leave[a : a + TOGETHER])
+                out += self._search(own - own[0], term[own[0] : own[-1]], w[own[0] : own[-1]], k, None if leave is None else leave[a : a + TOGETHER])
             return out
         n, n_blocks = len(bounds) - 1, len(self.blocks)
         row = np.repeat(np.arange(n), np.diff(bounds))
-        w = (1 + np.log(count.astype(float))) * self.idf[term]
-        w /= np.sqrt(np.bincount(row, w**2, n))[row]
         dense = self.dense[term]
         q = np.zeros((n, self.blocks.shape[1]), np.float32)
         some = dense >= 0
         q[row[some], dense[some]] = w[some]
         low, high = self.first[term[~some]], self.first[term[~some] + 1]
-        posting, size = _ranges(low, high), high - low
+        posting, size = ranges(low, high), high - low
         width = n_blocks * BLOCK
         rare = np.bincount(np.repeat(row[~some] * width, size) + self.example[posting], np.repeat(w[~some], size) * self.value[posting], n * width).astype(np.float32).reshape(n, n_blocks, BLOCK)
         bound = q @ self.most + rare.max(axis=2, initial=0)
@@ -198,7 +208,7 @@ class Index:
             own = slice(bounds[i], bounds[i + 1])
             weight[term[own]] = w[own]
             size = self.begin[e + 1] - self.begin[e]
-            at = _ranges(self.begin[e], self.begin[e + 1])
+            at = ranges(self.begin[e], self.begin[e + 1])
             cosine = np.round(np.bincount(np.repeat(np.arange(len(e)), size), weight[self.term[at]] * self.weight[at], len(e)), 12)
             weight[term[own]] = 0
             found.append([(-c, x) for c, x in sorted(zip((-cosine).tolist(), e.tolist()))[:k] if c])
@@ -212,11 +222,9 @@ class Index:
         weight = sum(s for s, _ in found)
         return sum(s for s, e in found if self.labels[e]) / weight if weight else 0.0
 
-    def calibrate(self, examples: list[tuple[str, int, list[int], list[int]]], bare: tuple[int, int]) -> None:
-        """Logistic curve of the leave-one-out votes; `bare` counts the sample's texts of either label without words."""
+    def calibrate(self, votes: Sequence[float | None], bare: tuple[int, int]) -> None:
+        """Logistic curve of the leave-one-out votes, null for none; `bare` counts the sample's texts of either label without words."""
         self.bare = (bare[1] + 0.5) / (bare[0] + bare[1] + 1)
-        ws, counts = (np.array([x for e in examples for x in e[j]], np.int64) for j in (2, 3))
-        votes = [self.vote(found) if found else np.nan for found in self.search(self.begin, ws, counts, leave=np.arange(len(examples)))]
         v, y = np.array(votes, float), self.labels.astype(float)
         v, y = v[~np.isnan(v)], y[~np.isnan(v)]
         a, b = 4.0, -2.0
@@ -237,12 +245,6 @@ class Index:
         return [(float(1 / (1 + np.exp(-(a * self.vote(found) + b)))) if found else self.bare, found) for found in self.search(bounds, term, count)]
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges [low, high), one after the other."""
-    size = high - low
-    return np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
-
-
 class Finder:
     """Finds the terms of a vocabulary in many texts at once; which bases of a word matter is remembered."""
 
@@ -274,12 +276,12 @@ class Finder:
         lead = np.cumsum([0, *map(len, own)])
         base = np.array([b for o in own for b in o], np.int64)
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = _ranges(lead[code], lead[code + 1])
+        at = ranges(lead[code], lead[code + 1])
         m = max(1, len(self.base))
         pair, count = np.unique(np.repeat(row, lead[code + 1] - lead[code]) * m + base[at], return_counts=True)
         row, b = pair // m, pair % m
         size = self.first[b + 1] - self.first[b]
-        level = _ranges(self.first[b], self.first[b + 1])
+        level = ranges(self.first[b], self.first[b + 1])
         row, count = np.repeat(row, size), np.repeat(count, size)
         enough = count >= self.least[level]
         row, count, term = row[enough], count[enough], self.term[level[enough]]
@@ -299,18 +301,39 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str =
         finder = Finder(places)
         for batch in batches:
             bounds, term, count = finder(batch.column(1).to_pylist())
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, pa.int32())) for v in (term, count)]
+            lists = [pa.array([v[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()) for v in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["id", "label", "words", "counts"])
 
-    made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(vectors, "id string, label int, words array<int>, counts array<int>"))
-    bare = {r["label"]: r["count"] for r in made.filter(F.size("words") == 0).groupBy("label").count().collect()}
+    made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(vectors, "id string, label int, words binary, counts binary"))
+    bare = {r["label"]: r["count"] for r in made.filter(F.octet_length("words") == 0).groupBy("label").count().collect()}
     # By label, so that a block's largest weights are near those of its examples.
-    examples = sorted(((r["id"], r["label"], r["words"], r["counts"]) for r in made.filter(F.size("words") > 0).collect()), key=lambda e: (e[1], *e))
+    found = made.filter(F.octet_length("words") > 0).toArrow()
+    examples = sorted(zip(*(found.column(c).to_pylist() for c in found.column_names)), key=lambda e: (e[1], *e))
+    examples = [(i, y, *(np.frombuffer(v, np.int32) for v in own)) for i, y, *own in examples]
     index = Index.build([w[:2] for w in words], pos + neg, examples, [w[2] for w in words])
-    index.calibrate(examples, (bare.get(0, 0), bare.get(1, 0)))
+    index.calibrate(_votes(docs.sparkSession, index), (bare.get(0, 0), bare.get(1, 0)))
     return index
 
 
+def _votes(spark: SparkSession, index: Index) -> list[float | None]:
+    """The vote on each example by the others."""
+    n = len(index.ids)
+    if not n:
+        return []
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            votes = [ix.vote(found) if found else None for found in ix.others(int(own[0]), int(own[-1]) + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["example", "vote"])
+
+    found = spark.range(0, n, 1, max(1, min(spark.sparkContext.defaultParallelism, n // TOGETHER))).mapInArrow(run, "example long, vote double").toArrow().sort_by("example")
+    shared.unpersist()
+    return found.column("vote").to_pylist()
+
+
 def score(docs: DataFrame, index: Index, folds: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted, nearest, shared, voters) for each row: `nearest` is the id of the nearest example, `shared` the words of the vocabulary that the text has, `voters` the examples that vote, nearest first."""
     voter = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])

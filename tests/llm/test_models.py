@@ -104,13 +104,11 @@ def test_rare_and_frequent_terms_search_alike(monkeypatch):
     for e in range(900):
         own = np.unique((300 * rng.random(12) ** 3).astype(int)).tolist()
         examples.append((str(e), int(e >= 700), own, rng.integers(1, 5, len(own)).tolist()))
-    bounds = np.cumsum([0, *(len(e[2]) for e in examples)])
-    ws, counts = (np.concatenate([e[j] for e in examples]) for j in (2, 3))
     results = []
     for rare in (0, 16, 10**6):  # none, some and all terms in blocks
         monkeypatch.setattr(toxicity, "RARE", rare)
         ix = toxicity.Index.build(words, 1000, examples)
-        results.append(ix.search(bounds, ws, counts, leave=np.arange(900)))
+        results.append(ix.others(0, 900))
     assert results[0] == results[1] == results[2]
     dense = np.zeros((900, 300))
     np.add.at(dense, (np.repeat(np.arange(900), np.diff(ix.begin)), ix.term), ix.weight)
