@@ -10,10 +10,12 @@ The field's weights are trained here by maximum likelihood (forward-backward in
 on a bounded sample of labelled documents, whose lines take their document's label.
 Without labels the weights are 0 and every line counts as content.
 
-Words are runs of characters outside [\\x20\\x09-\\x0D]; lines end at \\n.
+Words are runs of characters outside [\\x20\\x09-\\x0D]; lines end at \\n. Words, lines and
+windows are equal if all their bytes are.
 
-Defined results: null and empty texts have no words and fail the base rule; repeated
-rows each give a row; null ids are kept; extra columns are not read.
+Defined results: null and empty texts have no words and fail the base rule; texts of any
+length are judged whole; repeated rows each give a row; null ids are kept; an empty table
+gives an empty table; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from geomill.llm.labels import sample
-from geomill.llm.text import Piece, Rolling, pieces, shingles, word_spans
+from geomill.llm.text import Piece, codes, pieces, run_codes, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -42,16 +44,16 @@ def describe(piece: Piece) -> dict[str, np.ndarray]:
     """Counts of each row, and features, owner and words of each line with a word."""
     data, n = piece.data, len(piece)
     start, end, row = word_spans(piece)
-    rolling = Rolling(data)
-    word = rolling.spans(start, end)
+    word, _ = codes(data, start, end)
     chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
     symbols = np.append(0, np.cumsum(SYMBOLS[data]))
     n_words = np.bincount(row, minlength=n)
     word_chars = np.bincount(row, weights=chars[end] - chars[start], minlength=n).astype(np.int64)
     n_symbols = symbols[piece.offsets[1:]] - symbols[piece.offsets[:-1]]
     # Five-word windows that their text has twice cover words.
-    h, at = shingles(word, row, 5)
-    own = row[at]
+    window = run_codes(word, 5)
+    at = np.flatnonzero(row[: len(window)] == row[len(row) - len(window) :])
+    h, own = window[at], row[at]
     order = np.lexsort((h, own))
     same = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
     twice = np.zeros(len(h), bool)
@@ -72,7 +74,7 @@ def describe(piece: Piece) -> dict[str, np.ndarray]:
     count = np.searchsorted(start, stop) - first
     some = count > 0
     begin, stop, owner, first, count = begin[some], stop[some], owner[some], first[some], count[some]
-    line = rolling.spans(begin, stop)
+    line, _ = codes(data, begin, stop)
     order = np.lexsort((np.arange(len(line)), line, owner))
     equal = np.append(False, (line[order][1:] == line[order][:-1]) & (owner[order][1:] == owner[order][:-1]))[: len(line)]
     again = np.zeros(len(line), bool)
