@@ -7,12 +7,14 @@ all sequences at once, until no pair merges; surviving symbols are counted, and
 symbol outside the vocabulary counts its UTF-8 bytes (byte fallback). Counts of
 distinct pre-tokens are kept in a bounded dictionary of the Python worker.
 
-Defined results: null and empty texts have 0 tokens; repeated rows each give a
-row; null ids are kept; extra columns are not carried.
+Defined results: null and empty texts have 0 tokens; texts of any length are counted whole;
+repeated rows each give a row; null ids are kept; an empty table gives an empty table; extra
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,7 +28,7 @@ from geomill.llm.text import pieces
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
-#: Sequences longer than this are merged with a heap, in the same order, so that one long run stays n log n.
+#: Sequences longer than this keep their pairs by rank, so that a round touches only the pairs it merges.
 LONG = 512
 
 
@@ -99,7 +101,7 @@ class PieceModel:
         out = np.zeros(len(tokens), np.int64)
         for i, t in enumerate(tokens):
             if len(t) > LONG:
-                out[i] = self._one(t)
+                out[i] = self._long(t)
         batch = [i for i, t in enumerate(tokens) if 0 < len(t) <= LONG]
         if not batch:
             return out
@@ -157,31 +159,61 @@ class PieceModel:
             out[rare] = [len(self.names[s].encode()) for s in sym[rare]]
         return out
 
-    def _one(self, token: str) -> int:
-        import heapq
-
-        sym = [self.ids.get(c, -len(c.encode("utf-8", "surrogatepass"))) for c in token]
+    def _long(self, token: str) -> int:
+        """Tokens of one long pre-token: the same rounds, over linked symbols and lists of places by rank."""
+        sym = self.of_code[np.frombuffer(token.encode("utf-32-le", "surrogatepass"), np.uint32)]
         n = len(sym)
-        nxt, prev, live = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = []
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        rank, made, live = np.full(n, NONE), np.full(n, -1), np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def push(r: int, at: np.ndarray) -> None:
+            if r not in places:
+                heapq.heappush(heap, r)
+            places.setdefault(r, []).append(at)
 
-        def push(i: int) -> None:
-            if i >= 0 and nxt[i] >= 0 and (m := self.pairs.get((sym[i], sym[nxt[i]]))):
-                heapq.heappush(heap, (m[0], i, sym[i], sym[nxt[i]], m[1]))
+        def look(at: np.ndarray) -> None:
+            rank[at], made[at] = NONE, -1
+            at = at[after[at] >= 0]
+            r, m = self._look(sym[at], sym[after[at]])
+            at, r, m = (v[r != NONE] for v in (at, r, m))
+            rank[at], made[at] = r, m
+            by = np.argsort(r, kind="stable")
+            turn = np.flatnonzero(np.append(True, np.diff(r[by]) != 0))[: len(by)]
+            for own in np.split(at[by], turn[1:]) if len(by) else ():
+                push(int(rank[own[0]]), own)
 
-        for i in range(n):
-            push(i)
+        look(np.arange(n))
+        waiting: dict[int, list[int]] = {}  # places of ranks that go one by one, as heaps
         while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            if not live[i] or sym[i] != a or nxt[i] < 0 or sym[nxt[i]] != b:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if r not in waiting and self.calm[made[at]].all():
+                # Pairs that overlap merge from the left, every other one of a run.
+                run = np.append(True, after[at[:-1]] != at[1:])[: len(at)]
+                start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]
+            else:
+                own = waiting.setdefault(r, [])
+                for x in at.tolist():
+                    heapq.heappush(own, x)
+                while own and not (live[own[0]] and rank[own[0]] == r):
+                    heapq.heappop(own)
+                at = np.array([heapq.heappop(own)] if own else [], np.int64)
+                if own:
+                    push(r, at[:0])
+            if not len(at):
                 continue
-            j = nxt[i]
-            sym[i], live[j], nxt[i] = m, False, nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            push(i)
-            push(prev[i])
-        return int(self._weight(np.array([s for s, on in zip(sym, live) if on], np.int64)).sum())
+            right = after[at]
+            sym[at], live[right] = made[at], False
+            after[at] = after[right]
+            behind = after[at]
+            before[behind[behind >= 0]] = at[behind >= 0]
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        return int(self._weight(sym[live]).sum())
 
 
 @lru_cache(maxsize=2)
