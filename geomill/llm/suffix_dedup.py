@@ -7,7 +7,7 @@ first dealt so that equal strings meet:
 1. Each window of `length` bytes has an anchor, the gram with the least hash inside
    it. Windows with one anchor form a run; equal windows have equal anchors, so a
    window can repeat only among runs whose anchor occurs twice. The others are done.
-2. Equal runs are counted by name (a hash of their bytes) with map-side combining:
+2. Equal runs are counted by name (a BLAKE2 hash of their bytes) with map-side combining:
    a run that occurs twice repeats as a whole, however many copies there are.
 3. Anchors with differing runs go to buckets of bounded bytes. A bucket's suffix
    array is built by difference cover modulo 3: triples of the sampled positions
@@ -15,15 +15,20 @@ first dealt so that equal strings meet:
    length or are unique, the remaining suffixes are sorted by one byte and the next
    name and merged in; neighbours in the array that share `length` bytes repeat.
 4. Anchors with more than `most_runs` differing runs would make a bucket as large as
-   the corpus allows; their windows are counted one by one in a shuffle instead.
+   the corpus allows. Their runs are split and dealt by longer anchors: each window holds
+   half of its other bytes before the anchor or behind it, and this half and the anchor
+   name it from now on. Equal windows still meet, by step 2 or in a bucket of step 3. An
+   anchor that is still too frequent is made longer again, until it is the window.
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` keep
-all bytes; repeated rows each give a row and remove each other; null ids are kept;
-extra columns are not read. Ties need no rule, as all occurrences are removed.
+all bytes; texts of any length are read whole; repeated rows each give a row and remove each
+other; null ids are kept; an empty table gives an empty table; extra columns are not read,
+or stay as they are, whatever their names. Ties need no rule, as all occurrences are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomill.llm.text import Rolling, mix, pieces
+from geomill.llm.text import Rolling, pieces
 from geomill.llm.workspace import broadcast_if_small, let_go, written
 
 LENGTH, GRAM = 200, 64
@@ -47,6 +52,12 @@ def text_key(text: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 1, 16)
 
 
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 for each span."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist())]), np.int64)
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Row, anchor, name, first byte and number of windows of each run of windows with one anchor."""
     n = len(data) - length + 1
@@ -70,8 +81,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     anchor, row = anchor[at], row[at]
     turn = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
     first, count = at[turn], np.diff(np.append(turn, len(at)))
-    name = rolling.spans(first, first + count + length - 1)
-    return row[turn], h[anchor[turn]].view(np.int64), name.view(np.int64), first - offsets[row[turn]], count
+    name = span_names(data, first, first + count + length - 1)
+    return row[turn], h[anchor[turn]].view(np.int64), name, first - offsets[row[turn]], count
 
 
 def all_runs(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
@@ -159,9 +170,9 @@ RUN = "struct<anchor:bigint,name:bigint,first:int,count:int>"
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, fields: T.StructType, emit) -> DataFrame:
-    """Call `emit(anchor, name, bytes)` for the runs listed in `wanted` (key, runs), each taken from one text with that key."""
+    """Call `emit(anchor, name, bytes)` for the runs listed in `wanted` (key, runs), each taken from one text with that key, of whatever copies."""
     keys = wanted.select("key")
-    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(broadcast_if_small(keys, 48), "key", "left_semi")
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(broadcast_if_small(keys, 48), "key", "left_semi").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,32 +187,35 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, fie
     return texts.join(wanted, "key").select(F.col("text").cast("binary"), "runs").mapInArrow(run, fields)
 
 
-def _by_array(docs: DataFrame, wanted: DataFrame, buckets: int, text_col: str, length: int) -> DataFrame:
-    """(anchor, name, lows, highs): ranges of windows of a run that repeat, from the buckets' suffix arrays."""
-    held = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bytes", T.BinaryType())])
-    one = lambda a, m, b: (pa.array([a], pa.int64()), pa.array([m], pa.int64()), pa.array([bytes(b)], pa.binary()))
+HELD = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bytes", T.BinaryType())])
+
+
+def _one(anchor: int, name: int, data: memoryview) -> tuple[pa.Array, ...]:
+    return pa.array([anchor], pa.int64()), pa.array([name], pa.int64()), pa.array([bytes(data)], pa.binary())
+
+
+def _by_array(held: DataFrame, buckets: int, length: int) -> DataFrame:
+    """(anchor, name, lows, highs): ranges of windows of a run (anchor, name, bytes) that repeat, from the buckets' suffix arrays."""
     ints = T.ArrayType(T.IntegerType())
     out = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("name", T.LongType()), T.StructField("lows", ints), T.StructField("highs", ints)])
 
     def bucket(table: pa.Table) -> pa.Table:
         anchor, name = (table.column(c).to_numpy() for c in ("anchor", "name"))
-        _, own = np.unique(np.stack([anchor, name]), axis=1, return_index=True)  # a text that occurs twice brings its runs twice
-        anchor, name = anchor[own], name[own]
-        texts = table.column("bytes").take(pa.array(own)).to_pylist()
+        texts = table.column("bytes").to_pylist()
         size = np.array([len(t) for t in texts])
         begin = np.cumsum(size) - size
         windows = size - length + 1
         starts = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
         flags = repeated(np.frombuffer(b"".join(texts), np.uint8), starts, length)
-        run = np.repeat(np.arange(len(own)), windows)
+        run = np.repeat(np.arange(len(texts)), windows)
         low, high = _ranges(flags, run)
         lead = np.cumsum(windows) - windows
         owner = run[low]
-        bounds = pa.array(np.searchsorted(owner, np.arange(len(own) + 1)), pa.int32())
+        bounds = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
         lists = [pa.ListArray.from_arrays(bounds, pa.array(v - lead[owner], pa.int32())) for v in (low, high)]
         return pa.table([pa.array(anchor), pa.array(name), *lists], names=out.names)
 
-    dealt = _cut_out(docs, wanted, text_col, length, held, one).withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
+    dealt = held.withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(bucket, out).filter(F.size("lows") > 0)
 
 
@@ -215,21 +229,65 @@ def _ranges(flags: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return low, high
 
 
-def _by_window(docs: DataFrame, wanted: DataFrame, text_col: str, length: int) -> DataFrame:
-    """The same for anchors with very many differing runs: windows are counted by hash, whichever task they are in."""
-    fields = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "name", "low", "high")] + [T.StructField("at", T.IntegerType())])
+PART = T.StructType([*(T.StructField(c, T.LongType()) for c in ("run_anchor", "run_name")), *(T.StructField(c, T.IntegerType()) for c in ("at", "count", "low", "high")), *HELD.fields])
+
 
-    def windows(a: int, m: int, b: memoryview) -> tuple[pa.Array, ...]:
-        r = Rolling(np.frombuffer(b, np.uint8))
-        n = len(b) - length + 1
-        i = np.arange(n)
-        low = r.spans(i, i + length)
-        high = mix(r.spans(i, i + length // 2) + np.uint64(3) * r.spans(i + length // 2, i + length))
-        return pa.array(np.full(n, a)), pa.array(np.full(n, m)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(i, pa.int32())
+def halves(at: int, count: int, low: int, high: int, data: memoryview, length: int) -> Iterator[tuple]:
+    """(at, count, low, high, anchor, name, bytes) of a run's windows with half of their other bytes before the anchor [low, high), and of the rest.
 
-    every = written(_cut_out(docs, wanted, text_col, length, fields, windows).dropDuplicates(["anchor", "name", "at"]))
-    twice = every.groupBy("low", "high").count().filter("count > 1").select("low", "high")
-    return every.join(twice, ["low", "high"]).groupBy("anchor", "name").agg(F.array_sort(F.collect_list("at")).alias("lows")).withColumn("highs", F.col("lows"))
+    `at` counts windows from the start of the first run; low and high count bytes from the first window of `data`.
+    """
+    other = length - (high - low)
+    half = (other + 1) // 2
+    before = min(max(low - half + 1, 0), count)  # windows that start so early
+    for first, n, a, b in ((0, before, low - half, high), (before, count - before, low, high + other - half + 1)):
+        if n:
+            own = bytes(data[first : first + n + length - 1])
+            names = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (own[a - first : b - first], own)]
+            yield at + first, n, a - first, b - first, *names, own
+
+
+def _by_longer_anchors(many: DataFrame, gram: int, length: int, bucket_bytes: int, most_runs: int) -> DataFrame:
+    """The same for runs (anchor, name, bytes) whose anchors are in very many differing runs: by longer anchors, made longer until no bucket is too large."""
+
+    def shape(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts) if parts else [()] * len(PART), (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.binary()))], names=PART.names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for anchor, name, data in zip(*(batch.column(c).to_pylist() for c in HELD.names)):
+                h = Rolling(np.frombuffer(data, np.uint8)).grams(gram).view(np.int64)
+                low = int(np.flatnonzero(h == anchor)[0])  # the one furthest left is the anchor of all windows
+                parts += [(anchor, name, *p) for p in halves(0, len(data) - length + 1, low, low + gram, memoryview(data), length)]
+            yield shape(parts)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for anchor, name, at, count, low, high, data in zip(*(batch.column(c).to_pylist() for c in ("run_anchor", "run_name", "at", "count", "low", "high", "bytes"))):
+                parts += [(anchor, name, *p) for p in halves(at, count, low, high, memoryview(data), length)]
+            yield shape(parts)
+
+    found, split = [], many.select(*HELD.names).mapInArrow(first, PART)
+    while True:
+        parts = written(split)
+        kinds = written(parts.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.first("count").alias("windows")))
+        variants = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"))
+        whole = kinds.filter("n > 1").select("anchor", "name", F.array(F.lit(0)).alias("lows"), F.array(F.col("windows") - 1).alias("highs"))
+        contested = written(parts.dropDuplicates(["anchor", "name"]).join(variants, "anchor"))
+        few, many = contested.filter(F.col("variants") <= most_runs), contested.filter(F.col("variants") > most_runs)
+        size = few.select(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        marks = whole.unionByName(_by_array(few.select(*HELD.names), int(size // bucket_bytes) + 1, length))
+        moved = lambda c: F.transform(c, lambda x: x + F.col("at"))
+        found.append(written(parts.join(marks, ["anchor", "name"]).select(F.col("run_anchor").alias("anchor"), F.col("run_name").alias("name"), moved("lows").alias("lows"), moved("highs").alias("highs"))))
+        if many.isEmpty():
+            break
+        split = many.mapInArrow(again, PART)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -254,7 +312,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
     few, many = (listed.filter(F.size(c) > 0).select("key", F.col(c).alias("runs")) for c in ("few", "many"))
     size = few.select(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["count"] + length - 1))).first()[0] or 0
     whole = kinds.filter("n > 1").select("anchor", "name", F.array(F.lit(0)).alias("lows"), F.array(F.col("count") - 1).alias("highs"))
-    found = written(_by_array(docs, few, int(size // bucket_bytes) + 1, text_col, length).unionByName(_by_window(docs, many, text_col, length)))
+    found = _by_array(_cut_out(docs, few, text_col, length, HELD, _one), int(size // bucket_bytes) + 1, length)
+    if not many.isEmpty():
+        found = found.unionByName(_by_longer_anchors(_cut_out(docs, many, text_col, length, HELD, _one), gram, length, bucket_bytes, most_runs))
+    found = written(found)
     let_go(spark)
     single = found.join(kinds.filter("n = 1").select("anchor", "name"), ["anchor", "name"], "left_semi")
     marks = shared.join(whole.unionByName(single), ["anchor", "name"]).select("uid", "first", F.inline(F.arrays_zip("lows", "highs"))).groupBy("uid").agg(F.collect_list(F.col("first") + F.col("lows")).alias("begins"), F.collect_list(F.col("first") + F.col("highs") + length).alias("ends"))
@@ -264,9 +325,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: s
 def _cut(docs: DataFrame, marks: DataFrame, text_col: str, schema: T.StructType, shape) -> DataFrame:
     """Join the marks to the rows and hand each batch's rows, merged ranges and kept bytes to `shape`."""
     names = docs.columns
-    key = "__key"
-    marks = written(marks)  # so that Spark can split the copies of one text
-    joined = docs.withColumn(key, text_key(text_col)).join(marks.toDF(key, "__begins", "__ends"), key, "left").select(*[docs[c] for c in names], "__begins", "__ends")
+    marks = written(marks.toDF("k", "begins", "ends"))  # so that Spark can split the copies of one text
+    joined = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_key(text_col).alias("key")).join(marks, F.col("key") == F.col("k"), "left").select(*[F.col("row").getField(c).alias(c) for c in names], "begins", "ends")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
