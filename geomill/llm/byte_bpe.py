@@ -7,8 +7,9 @@ exactly if each pair of neighbours is the encoding of the two together, so it is
 enough that the pairs at the window's edges are. Tokens further out then keep.
 Decoding concatenates neighbours up the tree.
 
-Defined results: null and empty texts have no tokens; repeated rows each give a
-row; null ids are kept; extra columns are not carried.
+Defined results: null and empty texts have no tokens; texts of any length are encoded whole;
+repeated rows each give a row; null ids are kept; an empty table gives an empty table; extra
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations

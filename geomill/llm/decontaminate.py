@@ -13,8 +13,10 @@ words that hold all of the phrase's terms in any order.
 Words: A-Z lower-cased, then runs of bytes outside \\x00-\\x2F \\x3A-\\x60 \\x7B-\\x7F.
 
 Defined results: null and empty texts have no words and are never hit; items without
-words have no window; repeated rows each give a row; null ids are kept; an empty
-corpus or item table gives an empty or hitless result; extra columns are not carried.
+words have no window; an item without an id is named by the empty string; texts of any length
+are searched whole; repeated rows each give a row; null ids are kept; an empty
+corpus or item table gives an empty or hitless result; extra columns, whatever their names,
+are not carried, or stay as they are.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], size: int, vocab: dict[bytes, int]):
         owners: dict[tuple[int, ...], list[int]] = {}
-        self.items = [str(i) for i, _ in items]
+        self.items = [i or "" for i, _ in items]
         for n, (_, text) in enumerate(items):
             ids = [vocab.setdefault(w, len(vocab)) for w in words((text or "").encode())]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
@@ -225,7 +227,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", **names) -> DataFrame:
     """The rows whose text holds no window of an item, with all their columns. Texts are known by their digest, so ids may be null or repeated."""
-    keyed = docs.withColumn("__key", text_key(text_col))
-    found = find_items(keyed.select("__key", F.col(text_col).alias("text")), items, size, id_col="__key", **names)
-    hit = written(found.filter(F.size("items") > 0).select("__key").distinct())
-    return keyed.join(broadcast_if_small(hit, 48), "__key", "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), text_key(text_col).alias("key"))
+    found = find_items(keyed.select("key", F.col("row").getField(text_col).alias("text")), items, size, id_col="key", **names)
+    hit = written(found.filter(F.size("items") > 0).select("key").distinct())
+    return keyed.join(broadcast_if_small(hit, 48), "key", "left_anti").select("row.*")

@@ -168,10 +168,9 @@ def without_repeated_units(docs: DataFrame, unit: str = "sentence", min_words: i
     Kept units stay with the white space before them (after the last one also what follows),
     but the text doesn't begin with the white space behind a removed unit.
     """
-    docs = docs.select(F.col(id_col), F.col(text_col))
     gone = _gone(docs, id_col, text_col, unit, min_words)
-    keyed = docs.withColumn("__key", text_key(text_col))
-    rows = keyed.join(gone.toDF("k", "i", "gone"), (keyed["__key"] == F.col("k")) & keyed[id_col].eqNullSafe(F.col("i")), "left").select(keyed[id_col], keyed[text_col], "gone")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key"))
+    rows = keyed.join(gone.toDF("k", "i", "gone"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left").select("id", "text", "gone")
     span = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_units", T.LongType()), T.StructField("removed", span), T.StructField("kept_units", span), T.StructField("kept", T.StringType())])
 

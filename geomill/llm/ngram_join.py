@@ -381,18 +381,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows less near duplicates: of each class the row with the least id stays (of repeated rows, any one); texts without shingles all stay."""
     by_key, _ = links(docs, text_col=text_col, **options)
-    keyed = docs.withColumn("__key", text_key(text_col))
-    rows = written(keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("key")).join(by_key.select("key", "class_id"), "key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), text_key(text_col).alias("row_key"))
+    rows = written(keyed.select(F.col("row_id").alias("id"), F.col("row_key").alias("key")).join(by_key.select("key", "class_id"), "key"))
     best = written(rows.groupBy("class_id").agg(F.min(F.struct("id", "key")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     grouped = rows.join(best, "class_id")
     is_best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     beaten = grouped.filter(~is_best).select("id", "key").distinct()
     again = grouped.filter(is_best).groupBy("id", "key").count().filter("count > 1").select("id", "key")
     gone = written(beaten.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))))
-    match = lambda g: (keyed["__key"] == g["key"]) & keyed[id_col].eqNullSafe(g["id"])
+    match = (F.col("row_key") == F.col("key")) & F.col("row_id").eqNullSafe(F.col("id"))
     small = broadcast_if_small(gone, 80)
-    out = keyed.join(small, match(small), "left_anti").select(docs.columns)
+    out = keyed.join(small, match, "left_anti").select("row.*")
     again = gone.filter("again")
     if not again.isEmpty():
-        out = out.unionByName(keyed.join(again, match(again), "left_semi").dropDuplicates(["__key"]).select(docs.columns))
+        out = out.unionByName(keyed.join(again, match, "left_semi").dropDuplicates(["row_key"]).select("row.*"))
     return out

@@ -11,8 +11,10 @@ The network is trained by back-propagation in numpy on a bounded sample of label
 documents (`train_rows`, `train_bytes`); scoring runs in Spark tasks over all rows.
 
 Defined results: null and empty texts are scored as one chunk of padding, blended to
-the share of label 1; repeated rows each give a row; null ids count as fold 0; without
-labels every score is 0.5; extra columns are not read.
+the share of label 1; texts of any length are scored
+whole; repeated rows each give a row; null ids count as fold 0; without labels every score
+is 0.5; an empty table gives an empty table; extra columns, whatever their names, are not
+read, or stay as they are.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ ranks are checkpointed to the shared folder every few rounds, and compared there
 
 Defined results: a null url or one without :// has empty host and path and no rule,
 and is allowed; null or empty html has no links; repeated rows each give a row and
-count their links each; a host without outgoing
-links keeps its rank; without seeds of a kind that rank is 0 everywhere; extra columns are not read.
+count their links each; null ids are kept; urls and html of any length are read whole; a host
+without outgoing links keeps its rank; without seeds of a kind that rank is 0 everywhere; an
+empty table gives an empty table; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
-    """Name and decision of the longest rule that fits; null without one. A tie goes to the rule listed first."""
+    """Name and decision of the longest rule that fits; null without one. A tie of two rules with one name goes to the one listed last."""
     name, allow = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for r in sorted(rules, key=lambda r: len(r.name)) if rules else ():
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
