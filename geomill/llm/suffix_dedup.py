@@ -326,7 +326,7 @@ def _cut(docs: DataFrame, marks: DataFrame, text_col: str, schema: T.StructType,
     """Join the marks to the rows and hand each batch's rows, merged ranges and kept bytes to `shape`."""
     names = docs.columns
     marks = written(marks.toDF("k", "begins", "ends"))  # so that Spark can split the copies of one text
-    joined = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_key(text_col).alias("key")).join(marks, F.col("key") == F.col("k"), "left").select(*[F.col("row").getField(c).alias(c) for c in names], "begins", "ends")
+    joined = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text_key(text_col).alias("key")).join(marks, F.col("key") == F.col("k"), "left").select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "begins", "ends")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from geomill.llm import decontaminate, line_dedup, ngram_join, suffix_dedup
+from pyspark.sql import functions as F
+
+from geomill.llm import decontaminate, line_dedup, ngram_join, quality_cnn, quality_rules, suffix_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -102,6 +104,51 @@ def test_join_is_brute_force(docs, odd, spark, block):
     assert got == _near([tuple(r) for r in df.collect()])
 
 
+def test_join_of_small_blocks(spark):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(4)]
+    rows = [(i, " ".join(w if rng.random() > rng.choice((0.01, 0.05)) else "edit" + str(rng.randrange(99)) for w in base[i % 4])) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"meet": 3}, {"meet": 16, "block_bytes": 5000}):
+        got = sorted(map(tuple, ngram_join.near_duplicates(df, **options).collect()), key=str)
+        assert got == _near(rows)
+
+
+def test_texts_that_only_share_a_band_are_not_compared(spark):
+    """A chain of texts of which each shares a third of the next one's shingles: bands collide, no pair is left."""
+    words = [f"w{i}" for i in range(12 * 1201 + 24)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 24])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    options = {"threshold": 0.8, "k": 1, "rows": ngram_join.ROWS, "bands": ngram_join.BANDS, "tolerance": ngram_join.TOLERANCE, "step": ngram_join.STEP, "meet": ngram_join.MEET, "text_col": "text"}
+    _, sets, near = ngram_join.class_sets(df, **options)
+    assert sets.count() == 1200 and near.count() == 0
+    assert not any(r.n_links for r in ngram_join.near_duplicates(df, k=1).collect())
+
+
+def test_equal_hashes_are_not_equal_bytes(spark):
+    """Thue-Morse strings and their complements, which collide under any polynomial modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a}\n{b}"), (2, " ".join([a, "one", "two", "three", "four", "five"])), (3, " ".join([b, "one", "two", "three", "four", "five"])), (4, a + "c"), (5, b + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = {r.doc_id: r for r in quality_rules.judge(df, quality_rules.train(np.zeros((0, len(quality_rules.FEATURES)), bool), np.zeros(0, np.int64), np.zeros(0, np.int64))).collect()}
+    assert rules[1].n_dup_lines == 0 and rules[1].n_repeat_words == 0
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect()), key=str) == _near(rows)
+    assert sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()), key=str) == _cut(rows)
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like the ones that the operators use inside."""
+    names = ["key", "__key", "row", "row_key", "id", "begins", "ends", "gone", "k", "segment", "text_key", "runs"]
+    df = spark.createDataFrame([(i, f"some words of text number {i % 2} that are more than ten words long", *["x"] * len(names)) for i in range(4)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    item = spark.createDataFrame([(1, "some words of text number 1 that are more than ten words")], "item_id long, text string")
+    net = quality_cnn.train([np.frombuffer(b"some text", np.uint8)] * 4, np.array([1, 1, 1, 1]))
+    for kept, n in ((ngram_join.one_of_each(df), 2), (suffix_dedup.without_repeats(df), 4), (decontaminate.clean(df, item), 2), (quality_cnn.accepted(df, net, threshold=0.0), 4)):
+        assert kept.columns == df.columns and kept.count() == n
+        assert all(r.key == r.gone == r.ends == "x" for r in kept.collect())
+    assert line_dedup.without_repeated_units(df, min_words=5).count() == 4
+
+
 def test_join_keeps_one_of_each(odd, none):
     rows = ngram_join.one_of_each(odd)
     assert rows.columns == odd.columns
@@ -152,6 +199,32 @@ def test_repeats_are_brute_force(docs, odd, options):
     assert got == _cut([tuple(r) for r in df.collect()])
 
 
+def test_copies_send_their_runs_once(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    text = " ".join(words)
+    words[100] = "variant"
+    held, by_array = [], suffix_dedup._by_array
+    monkeypatch.setattr(suffix_dedup, "_by_array", lambda df, *a: held.append(df) or by_array(df, *a))
+    df = spark.range(3001).selectExpr("id AS doc_id").withColumn("text", F.when(F.col("doc_id") == 3000, F.lit(" ".join(words))).otherwise(F.lit(text)))
+    rows = suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()
+    assert sorted({tuple(r)[1:] for r in rows}) == sorted({r[1:] for r in _cut([(0, text), (1, text), (2, " ".join(words))])})
+    runs = held[0].collect()
+    assert 0 < len(runs) == len({(r.anchor, r.name) for r in runs}) < 20
+
+
+@pytest.mark.parametrize("most_runs", [1, 3, 8000])
+def test_very_frequent_anchors(spark, most_runs):
+    """Many differing surroundings of one passage, some of them repeated."""
+    rng = random.Random(7)
+    core = "".join(rng.choice("abcdefgh") for _ in range(90))
+    near = ["".join(rng.choice("xy") for _ in range(n)) for n in (5, 20, 40, 70, 100, 140, 200) for _ in range(3)]
+    rows = [(i, rng.choice(near) + core + rng.choice(near)) for i in range(60)] + [(100, (core + "z" * 30) * 9), (101, core * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(df, most_runs=most_runs)).collect()), key=str)
+    assert got == _cut(rows)
+
+
 def test_repeats_of_odd_rows(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
     rows = suffix_dedup.without_repeats(odd)
