@@ -39,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ from geomill.llm.workspace import written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS, LEVELS = (5, 6, 7), (2, 4, 8)
-BLOCK, NEIGHBOURS = 64, 15
+BLOCK, NEIGHBOURS = 128, 15
 #: Terms in more than one of RARE examples have blocks; more than the error of a cosine in single precision; queries that go together.
 RARE, ERROR, TOGETHER = 16, 1e-5, 64
 #: Labelled texts learnt from, and the longest of them.
@@ -246,38 +247,39 @@ class Index:
 
 
 class Finder:
-    """Finds the terms of a vocabulary in many texts at once; which bases of a word matter is remembered."""
+    """Finds the terms of a vocabulary in many texts at once."""
 
-    def __init__(self, words: dict[str, int], limit: int = 200_000):
-        self.n, self.limit = len(words), limit
+    def __init__(self, words: dict[str, int]):
+        self.n = len(words)
         levels: dict[str, list[tuple[int, int]]] = {}
         for t, i in words.items():
             base, _, least = t.partition("#")
             levels.setdefault(base, []).append((int(least or 1), i))
-        self.base = {b: i for i, b in enumerate(levels)}
+        self.bases = pa.array(list(levels), pa.string())
         self.first = np.cumsum([0, *map(len, levels.values())])
         self.least, self.term = (np.array([x[j] for own in levels.values() for x in own], np.int64) for j in (0, 1))
-        self.seen: dict[str, tuple[int, ...]] = {}
 
-    def _bases(self, word: str) -> tuple[int, ...]:
-        own = self.seen.get(word)
-        if own is None:
-            if len(self.seen) > self.limit:
-                self.seen.clear()
-            own = self.seen[word] = tuple(self.base[b] for b in bases(word) if b in self.base)
-        return own
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word and base of the vocabulary that it has, by word."""
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        long = [np.flatnonzero(size > n) for n in STEMS]
+        stems = [pc.binary_join_element_wise("^", pc.utf8_slice_codeunits(words.take(pa.array(at)), 0, n), "") for n, at in zip(STEMS, long)]
+        word = np.concatenate([np.arange(len(words)), *long])
+        base = pc.fill_null(pc.index_in(pa.concat_arrays([words, *stems]), self.bases), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = np.flatnonzero(base >= 0)
+        known = known[np.argsort(word[known], kind="stable")]
+        return word[known], base[known]
 
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bounds of each text, its terms in ascending order, and their counts."""
         found = [WORD.findall(t.lower()) for t in texts]
         row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         coded = pa.array(chain.from_iterable(found), pa.string(), size=len(row)).dictionary_encode()
-        own = [self._bases(w) for w in coded.dictionary.to_pylist()]
-        lead = np.cumsum([0, *map(len, own)])
-        base = np.array([b for o in own for b in o], np.int64)
+        word, base = self._places(coded.dictionary)
+        lead = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         at = ranges(lead[code], lead[code + 1])
-        m = max(1, len(self.base))
+        m = max(1, len(self.bases))
         pair, count = np.unique(np.repeat(row, lead[code + 1] - lead[code]) * m + base[at], return_counts=True)
         row, b = pair // m, pair % m
         size = self.first[b + 1] - self.first[b]
