@@ -86,5 +86,21 @@ def quaternion_rotated(q: tuple[Column, Column, Column, Column], p: Vec) -> Vec:
     return tuple(a + w * b + c for a, b, c in zip(p, t, s))
 
 
+def euler_rotated(angles: tuple[Column, Column, Column], p: Vec) -> Vec:
+    """p turned about x, then y, then z by the angles (radians)."""
+    x, y, z = p
+    a, b, c = ((F.cos(v), F.sin(v)) for v in angles)
+    y, z = y * a[0] - z * a[1], y * a[1] + z * a[0]
+    x, z = x * b[0] + z * b[1], z * b[0] - x * b[1]
+    return (x * c[0] - y * c[1], x * c[1] + y * c[0], z)
+
+
+def euler_angles(q: tuple[Column, Column, Column, Column]) -> Vec:
+    """Angles about x, y and z, in that order of turning, of the unit quaternion (w, x, y, z)."""
+    w, x, y, z = q
+    side = F.least(F.greatest(2 * (w * y - z * x), F.lit(-1.0)), F.lit(1.0))
+    return (F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), F.asin(side), F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)))
+
+
 def barycentre(*corners: Vec) -> Vec:
     return tuple(sum(c[i] for c in corners) / len(corners) for i in range(3))

@@ -1,4 +1,4 @@
-"""Time as whole microseconds."""
+"""Time as whole microseconds, and ages."""
 
 from __future__ import annotations
 
@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def age(birth: Column, on: Column) -> Column:
+    """Full years from one date to another; someone born on 29 February is a year older on 1 March of other years. Null gives null."""
+    years = F.year(on) - F.year(birth)
+    return years - (F.month(on) * 100 + F.day(on) < F.month(birth) * 100 + F.day(birth)).cast("int")
+
+
 def micros(c: Column) -> Column:
     """Microseconds since 1970 of the wall-clock reading: the same for timestamps with and without a zone, whatever the session's zone."""
     second = F.date_part(F.lit("SECOND"), c)

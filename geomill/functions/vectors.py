@@ -60,6 +60,11 @@ def kl(a: Column, b: Column) -> Column:
     return _sum(a, b, lambda x, y: F.when((x > 0) & (y > 0), x * F.log(x / y)).otherwise(0.0))
 
 
+def cs(a: Column, b: Column) -> Column:
+    """Sum of (x - y)^2 / (x + y) where x + y is not 0."""
+    return _sum(a, b, lambda x, y: F.when(x + y != 0, (x - y) * (x - y) / (x + y)).otherwise(0.0))
+
+
 def jm(a: Column, b: Column) -> Column:
     """Jeffries-Matusita norm: root of the Hellinger sum."""
     return F.sqrt(hellinger(a, b))

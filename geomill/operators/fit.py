@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomill.functions import geometry as g
+
 AXES = ("x", "y", "z")
 
 
@@ -18,6 +22,47 @@ def sphere_residual() -> Column:
     return F.sqrt(sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in AXES)) - F.col("r")
 
 
+def line_residual() -> Column:
+    """Distance of (x, y, z) from the line through (px, py, pz) along (dx, dy, dz)."""
+    return F.sqrt(g.point_line2(g.vec(), g.vec("p"), g.vec("d")))
+
+
+def cylinder_residual() -> Column:
+    """Signed distance from the cylinder of radius r about that line."""
+    return line_residual() - F.col("r")
+
+
+def circle_residual() -> Column:
+    """Distance from the circle of radius r about (px, py, pz) in the plane across the unit vector (dx, dy, dz)."""
+    w = g.minus(g.vec(), g.vec("p"))
+    h = g.dot(w, g.vec("d"))
+    flat = F.sqrt(F.greatest(g.dot(w, w) - h * h, F.lit(0.0))) - F.col("r")
+    return F.sqrt(flat * flat + h * h)
+
+
+def trials(share: float, sample: int, certainty: float = 0.99, most: int = 4096) -> int:
+    """Samples of so many points after which one of inliers only has been drawn with the given certainty, at that share of inliers."""
+    good = share**sample
+    if good >= 1:
+        return 1
+    return most if good <= 0 else min(most, math.ceil(math.log(1 - certainty) / math.log1p(-good)))
+
+
+def adaptive_plane(points: DataFrame, threshold: float, certainty: float = 0.99, batch: int = 32, most: int = 4096, point_id: str = "point_id") -> DataFrame:
+    """(model_id, a, b, c, d, inliers): the best plane through sampled triples; batches of candidates are scored in one pass each until the best share of inliers needs no more trials."""
+    n = points.count()
+    models = planes_through(points, most, point_id).orderBy("model_id").collect() if n else []
+    best, seen = None, 0
+    while seen < len(models) and seen < trials((best["inliers"] / n) if best else 0.0, 3, certainty, most):
+        part = points.sparkSession.createDataFrame(models[seen : seen + batch], "model_id int, a double, b double, c double, d double")
+        top = score_models(points, part, plane_residual(), threshold).orderBy(F.desc("inliers"), "model_id").first()
+        if best is None or top["inliers"] > best["inliers"]:
+            best = top
+        seen += batch
+    rows = [(*m, best["inliers"]) for m in models if best and m["model_id"] == best["model_id"]]
+    return points.sparkSession.createDataFrame(rows, "model_id int, a double, b double, c double, d double, inliers long")
+
+
 def score_models(points: DataFrame, models: DataFrame, residual: Column, threshold: float, most: int = 4096) -> DataFrame:
     """(model_id, inliers, msac): points with |residual| < threshold, and the sum of min(|residual|, threshold).
 
@@ -91,11 +136,48 @@ def fitted_sphere(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame([(*map(float, centre), float(np.sqrt(a[3] + centre @ centre)))], "cx double, cy double, cz double, r double")
 
 
-def lmeds(points: DataFrame, models: DataFrame, residual: Column, most: int = 4096) -> DataFrame:
-    """(model_id, penalty): median of the root of |residual| for each candidate of a bounded set; an even count averages two."""
+def lmeds(points: DataFrame, models: DataFrame, residual: Column, most: int = 4096, bins: int = 1024) -> DataFrame:
+    """(model_id, penalty): median of the root of |residual| for each candidate of a bounded set; an even count averages two.
+
+    The values of a model are counted in `bins` ranges with map-side combining, and the
+    range that holds the middle is counted again in finer ones until it is one value: a
+    pass over the points for each factor of `bins`, and no task holds a model's values.
+    """
+    spark = points.sparkSession
     if models.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} candidate models")
-    return points.join(F.broadcast(models)).groupBy("model_id").agg(F.median(F.sqrt(F.abs(residual))).alias("penalty"))
+    value = F.sqrt(F.abs(residual))
+    every = points.join(F.broadcast(models)).select("model_id", value.alias("v")).filter("v is not null")
+    kind = dict(models.dtypes)["model_id"]
+    # For each model the range that holds the middle ones, and their places in it.
+    open_ = {r["model_id"]: (r["lo"], r["hi"], (r["n"] - 1) // 2, r["n"] // 2) for r in every.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    done = {}
+    while open_:
+        done.update({m: lo for m, (lo, hi, _, _) in open_.items() if lo == hi})
+        open_ = {m: o for m, o in open_.items() if m not in done}
+        if not open_:
+            break
+        ranges = spark.createDataFrame([(m, *o) for m, o in open_.items()], f"model_id {kind}, lo double, hi double, i long, j long")
+        own = every.join(F.broadcast(ranges), "model_id").filter("v >= lo AND v <= hi")
+        part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).alias("part")
+        counts = own.groupBy("model_id", "i", "j", part).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("model_id").orderBy("part"))
+        middle = counts.withColumn("before", upto - F.col("n")).filter("(before <= i AND i < before + n) OR (before <= j AND j < before + n)")
+        found: dict = {}
+        for r in middle.orderBy("model_id", "part").collect():
+            found.setdefault(r["model_id"], []).append(r)
+        for m, parts in found.items():
+            if len(parts) == 2:  # the lower middle one ends a range, the upper one begins the next
+                done[m] = (parts[0]["hi"] + parts[1]["lo"]) / 2
+                del open_[m]
+            else:
+                r, (_, _, i, j) = parts[0], open_[m]
+                if r["n"] == 2 and i != j:
+                    done[m] = (r["lo"] + r["hi"]) / 2
+                    del open_[m]
+                else:
+                    open_[m] = (r["lo"], r["hi"], i - r["before"], j - r["before"])
+    return spark.createDataFrame(list(done.items()), f"model_id {kind}, penalty double")
 
 
 def projected(points: DataFrame, plane: tuple[float, float, float, float]) -> DataFrame:

@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; a local one only where none is set."""
+    """Checkpoint in the folder the cluster names; one of its own only on a local master that names none."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="geomill-"))
     return df.checkpoint(eager=True)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node connected with each node.
 
     Labels move along edges and then jump to the label's own label, so a chain of n nodes
-    needs about log n rounds; each round is checkpointed.
+    needs about log n rounds; each round is checkpointed, and rounds go on until no label changes.
     """
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
     label = cut(nodes.select(F.col(node).alias("u"), F.col(node).alias("c")))
-    for _ in range(rounds):
+    while not both.isEmpty():
         near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         low = label.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("m", "c")).alias("l"))
         # Roots learn the least label any of their members saw, and members take their root's.

@@ -104,16 +104,63 @@ def plane_slice(tri: DataFrame, point: tuple, normal: tuple) -> DataFrame:
 def ray_hits(tri: DataFrame, rays: DataFrame, cell: float, near: float = 0.0, far: float = float("inf"), face_id: str = "face_id") -> DataFrame:
     """(ray_id, face_id, t): the first face each ray meets, for rays along +z or -z (ox, oy, oz, dz).
 
-    A face is sent to the (x, y) cells of its bounding box, a ray stands in one: an
+    A face is sent to those (x, y) cells of its bounding box that a ray stands in: an
     equi-join whose candidates are the faces over the ray's cell. Moeller-Trumbore decides.
     """
     lo = lambda c: F.floor(F.least(*(F.col(f"{c}{i}") for i in range(3))) / cell)
     hi = lambda c: F.floor(F.greatest(*(F.col(f"{c}{i}") for i in range(3))) / cell)
     t = tri.withColumn("cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("cy", F.explode(F.sequence(lo("y"), hi("y"))))
     r = rays.withColumns({"cx": F.floor(F.col("ox") / cell), "cy": F.floor(F.col("oy") / cell)})
-    both = r.join(t, ["cx", "cy"])
-    e1, e2 = _minus(_at(1), _at(0)), _minus(_at(2), _at(0))
+    # Only cells with a ray are worth a shuffle of their faces.
+    t = t.join(r.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
     d = (F.lit(0.0), F.lit(0.0), F.col("dz"))
+    return _first_hit(r.join(t, ["cx", "cy"]), d, face_id, near, far)
+
+
+def oblique_ray_hits(tri: DataFrame, rays: DataFrame, cell: float, near: float = 0.0, far: float = 1e3, face_id: str = "face_id") -> DataFrame:
+    """(ray_id, face_id, t): the first face each ray (ox, oy, oz, dx, dy, dz) of any direction meets, near <= t <= far.
+
+    A ray goes to the cells that it passes up to `far`, a face to the cells of its bounding
+    box that a ray passes: an equi-join on cells.
+    """
+    from geomill.operators.rays import traversed
+
+    ends = [((F.col(f"o{c}") + s * F.col(f"d{c}")) / cell).alias(f"{e}{c}") for e, s in (("a", near), ("b", far)) for c in AXES]
+    key = [f"c{c}" for c in AXES]
+    cells = traversed(rays.select("ray_id", *ends)).select("ray_id", *(F.col(c).cast("long").alias(k) for c, k in zip(AXES, key))).distinct()
+    t = tri
+    # A corner on a cell's wall may be hit from the cell before.
+    for c, k in zip(AXES, key):
+        corner = [F.col(f"{c}{i}") for i in range(3)]
+        t = t.withColumn(k, F.explode(F.sequence(F.ceil(F.least(*corner) / cell) - 1, F.floor(F.greatest(*corner) / cell))))
+    t = t.join(cells.select(*key).distinct(), key, "left_semi")
+    both = cells.join(rays, "ray_id").join(t, key)
+    return _first_hit(both, tuple(F.col(f"d{c}") for c in AXES), face_id, near, far)
+
+
+def nearest_faces(tri: DataFrame, points: DataFrame, radius: float, point_id: str = "point_id", face_id: str = "face_id") -> DataFrame:
+    """(point_id, face_id, distance): the nearest face within the radius (inclusive) of each point; a tie goes to the least face.
+
+    A face is sent to the cells of side `radius` that its bounding box, grown by the radius,
+    meets and that hold a point.
+    """
+    from geomill.functions import geometry as g
+
+    key = [f"c{c}" for c in AXES]
+    p = points.select(point_id, *(F.col(c).alias(f"p{c}") for c in AXES), *(F.floor(F.col(c) / radius).alias(k) for c, k in zip(AXES, key)))
+    t = tri
+    for c, k in zip(AXES, key):
+        corner = [F.col(f"{c}{i}") for i in range(3)]
+        t = t.withColumn(k, F.explode(F.sequence(F.floor((F.least(*corner) - radius) / radius), F.floor((F.greatest(*corner) + radius) / radius))))
+    t = t.join(p.select(*key).distinct(), key, "left_semi")
+    d2 = g.point_triangle2(tuple(F.col(f"p{c}") for c in AXES), *(g.vec("", str(i)) for i in range(3)))
+    near = p.join(t, key).select(point_id, F.struct(d2.alias("d2"), F.col(face_id).alias("face")).alias("b")).filter(F.col("b.d2") <= radius * radius)
+    return near.groupBy(point_id).agg(F.min("b").alias("b")).select(point_id, F.col("b.face").alias(face_id), F.sqrt("b.d2").alias("distance"))
+
+
+def _first_hit(both: DataFrame, d: tuple, face_id: str, near: float, far: float) -> DataFrame:
+    """The hit of least t, then least face, of the candidates of each ray."""
+    e1, e2 = _minus(_at(1), _at(0)), _minus(_at(2), _at(0))
     h = _cross(d, e2)
     det = _dot(e1, h)
     s = _minus(tuple(F.col(f"o{c}") for c in AXES), _at(0))

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomill.operators.filters import finite
+from geomill.operators.graph import cut
+
 AXES = ("x", "y", "z")
 
 
@@ -42,7 +45,9 @@ def knn(points: DataFrame, queries: DataFrame, k: int, point_id: str = "point_id
 
     Radius joins widen for the queries that still have fewer than k points within the
     radius; the first radius follows from the cloud's density, so few queries need more.
+    Each round is checkpointed. Points and queries with non-finite coordinates have no row.
     """
+    points, queries = points.filter(finite(*AXES)), queries.filter(finite(*AXES))
     box = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if not box["n"]:
         return capped(radius_join(points, queries, 1.0, point_id=point_id, query_id=query_id), k, point_id, query_id)
@@ -54,25 +59,49 @@ def knn(points: DataFrame, queries: DataFrame, k: int, point_id: str = "point_id
     while True:
         radius = min(radius, reach)
         found = capped(radius_join(points, left, radius, point_id=point_id, query_id=query_id), k, point_id, query_id)
-        found = found.persist()
+        found = cut(found)
         full = found.filter(F.col("rank") == k).select(query_id)
         part = found.join(full, query_id, "left_semi") if radius < reach else found
         done = part if done is None else done.unionByName(part)
         if radius >= reach:
             return done
-        left = left.join(full, query_id, "left_anti")
+        left = cut(left.join(full, query_id, "left_anti"))
         if left.isEmpty():
             return done
         radius *= 2
 
 
 def approximate_nearest(points: DataFrame, queries: DataFrame, size: float, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, point_id, d2): the nearest point in the query's own cell; queries in empty cells have no row."""
-    p = points.select(point_id, *AXES, *(cell(c, size).alias(f"c{c}") for c in AXES))
-    q = queries.select(query_id, *(F.col(c).alias(f"q{c}") for c in AXES), *(cell(c, size).alias(f"c{c}") for c in AXES))
+    """(query_id, point_id, d2): the nearest point in the query's own cell, or else near it in the octree.
+
+    A query in an empty cell goes to the parents, cells twice as wide, up to the root: the
+    first one that is not empty offers one point (that of least id) for each of its at most
+    eight children (the root's are the cells -1 and 0 of each axis). So every finite query has a row if there is a finite point.
+    """
+    points, queries = points.filter(finite(*AXES)), queries.filter(finite(*AXES))
+    cells = [cell(c, size).alias(f"c{c}") for c in AXES]
+    held, left = points.select(point_id, *AXES, *cells), cut(queries.select(query_id, *(F.col(c).alias(f"q{c}") for c in AXES), *cells))
     d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in AXES)
-    both = q.join(p, ["cx", "cy", "cz"]).select(query_id, F.struct(d2.alias("d2"), F.col(point_id).alias("point")).alias("best"))
-    return both.groupBy(query_id).agg(F.min("best").alias("best")).select(query_id, F.col("best.point").alias(point_id), F.col("best.d2").alias("d2"))
+    key, done = ["cx", "cy", "cz"], None
+
+    def best(both: DataFrame) -> DataFrame:
+        nearest = both.groupBy(query_id).agg(F.min(F.struct(d2.alias("d2"), F.col(point_id).alias("point"))).alias("best"))
+        return cut(nearest.select(query_id, F.col("best.point").alias(point_id), F.col("best.d2").alias("d2")))
+
+    def up(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.floor(F.col(c) / 2).cast("long") for c in key})
+
+    while True:
+        part = best(left.join(held, key))
+        done = part if done is None else done.unionByName(part)
+        left = cut(left.join(part, query_id, "left_anti"))
+        if left.isEmpty() or held.isEmpty():
+            return done
+        held = cut(held.groupBy(*key).agg(F.min(F.struct(point_id, *AXES)).alias("p")).select("p.*", *key))
+        if held.filter(" OR ".join(f"{c} NOT IN (-1, 0)" for c in key)).isEmpty():
+            # The root: its children never merge; they offer a point each to the queries outside.
+            return done.unionByName(best(left.crossJoin(F.broadcast(held.select(point_id, *AXES)))))
+        held, left = up(held), up(left)
 
 
 def nearest_in_cone(points: DataFrame, queries: DataFrame, radius: float, axis: tuple[float, float, float], cosine: float, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
@@ -101,11 +130,12 @@ def mean_distance(points: DataFrame, k: int, point_id: str = "point_id") -> Data
 
 
 def statistical_inliers(points: DataFrame, k: int, factor: float, point_id: str = "point_id") -> DataFrame:
-    """Points whose mean neighbour distance is at most mean + factor * standard deviation over all points."""
-    means = mean_distance(points, k, point_id)
+    """Points whose mean neighbour distance is at most mean + factor * standard deviation over all points. Non-finite points count nowhere and stay."""
+    whole = points.filter(finite(*AXES))
+    means = cut(mean_distance(whole, k, point_id))
     stats = means.agg(F.avg("mean").alias("m"), F.stddev_samp("mean").alias("s"))
     keep = means.join(F.broadcast(stats), F.col("mean") <= F.col("m") + factor * F.coalesce("s", F.lit(0.0))).select(point_id)
-    return points.join(keep, point_id, "left_semi")
+    return whole.join(keep, point_id, "left_semi").unionByName(points.filter(~finite(*AXES)))
 
 
 def radius_inliers(points: DataFrame, radius: float, least: int, negative: bool = False, point_id: str = "point_id") -> DataFrame:

@@ -28,13 +28,12 @@ def sobel(volume: DataFrame) -> DataFrame:
 
 def central_difference(volume: DataFrame) -> DataFrame:
     """(x, y, z, dx, dy, dz) = (next - previous) / 2 along each axis, null at an edge."""
-    out = volume
-    for c in AXES:
-        others = [a for a in AXES if a != c]
-        w = Window.partitionBy(*others).orderBy(c)
-        step = (F.lead(c).over(w) - F.lag(c).over(w)) == 2
-        out = out.withColumn(f"d{c}", F.when(step, (F.lead("gray").over(w) - F.lag("gray").over(w)) / 2))
-    return out
+    steps = [(i, j, k, c, s) for n, c in enumerate(AXES) for s in (1, -1) for i, j, k in [tuple(s if m == n else 0 for m in range(3))]]
+    kinds = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(step, ("i", "j", "k", "axis", "sign")))) for step in [(0, 0, 0, "", 0), *steps]))
+    sent = volume.select(*AXES, "gray", F.inline(kinds)).select(*((F.col(c) - F.col(o)).alias(c) for c, o in zip(AXES, "ijk")), "axis", "sign", "gray")
+    slope = lambda c: F.when(F.count_if(F.col("axis") == c) == 2, F.sum(F.when(F.col("axis") == c, F.col("sign") * F.col("gray"))) / 2)
+    out = sent.groupBy(*AXES).agg(F.max(F.when(F.col("axis") == "", F.col("gray"))).alias("gray"), *(slope(c).alias(f"d{c}") for c in AXES))
+    return out.filter("gray is not null")
 
 
 def classified(volume: DataFrame, air: int) -> DataFrame:
@@ -45,21 +44,41 @@ def classified(volume: DataFrame, air: int) -> DataFrame:
     return marked.select(*AXES, F.when(F.col("gray") < air, 0).when(F.col("near"), 1).otherwise(2).alias("kind"))
 
 
-def image_filter(image: DataFrame, kind: str, k: int = 1) -> DataFrame:
-    """(x, y, value): erode, dilate, mean or median over the (2 k + 1) square that lies in the image; median is the lower one."""
+def image_filter(image: DataFrame, kind: str, k: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, value): erode, dilate, mean or median over the (2 k + 1) square that lies in the image; median is the lower one. The columns `by` name an image."""
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1)))
-    sent = image.select("x", "y", "gray", F.inline(offsets)).select((F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), "gray")
+    sent = image.select(*by, "x", "y", "gray", F.inline(offsets)).select(*by, (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), "gray")
     how = {"erode": F.min("gray"), "dilate": F.max("gray"), "mean": F.avg("gray")}.get(kind)
     if how is None:
         s = F.array_sort(F.collect_list("gray"))
         how = F.element_at(s, (F.floor((F.size(s) - 1) / 2) + 1).cast("int"))
-    return sent.groupBy("x", "y").agg(how.alias("value")).join(image.select("x", "y"), ["x", "y"], "left_semi")
+    key = [*by, "x", "y"]
+    return sent.groupBy(*key).agg(how.alias("value")).join(image.select(*key), key, "left_semi")
 
 
-def integral_image(image: DataFrame) -> DataFrame:
-    """(x, y, total): sum of gray over all pixels at or before (x, y). Row sums, then column sums of them."""
-    row = image.select("x", "y", F.sum(F.col("gray").cast("long")).over(Window.partitionBy("y").orderBy("x")).alias("r"))
-    return row.select("x", "y", F.sum("r").over(Window.partitionBy("x").orderBy("y")).alias("total"))
+def convolved(image: DataFrame, kernel: list[list[float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, value): weighted mean over the square of the kernel's size that lies in the image; weights outside count for nothing."""
+    k = len(kernel) // 2
+    cells = F.array(*(F.struct(F.lit(i - k).alias("i"), F.lit(j - k).alias("j"), F.lit(float(w)).alias("w")) for j, row in enumerate(kernel) for i, w in enumerate(row) if w))
+    sent = image.select(*by, "x", "y", "gray", F.inline(cells)).select(*by, (F.col("x") - F.col("i")).alias("x"), (F.col("y") - F.col("j")).alias("y"), "gray", "w")
+    key = [*by, "x", "y"]
+    return sent.groupBy(*key).agg((F.sum(F.col("gray") * F.col("w")) / F.sum("w")).alias("value")).join(image.select(*key), key, "left_semi")
+
+
+def like_neighbours(image: DataFrame, k: int, within: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, n, top): neighbours of each pixel of an organised image in the (2 k + 1) square whose value differs by less than `within`, itself among them, and the largest of them."""
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1)))
+    sent = image.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("gray").alias("g"), F.inline(offsets))
+    sent = sent.select(*by, (F.col("sx") + F.col("i")).alias("x"), (F.col("sy") + F.col("j")).alias("y"), "g")
+    key = [*by, "x", "y"]
+    near = sent.join(image.select(*key, "gray"), key).filter(F.abs(F.col("g") - F.col("gray")) < within)
+    return near.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("g").alias("top"))
+
+
+def integral_image(image: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, y, total): sum of gray over all pixels at or before (x, y). Row sums, then column sums of them."""
+    row = image.select(*by, "x", "y", F.sum(F.col("gray").cast("long")).over(Window.partitionBy(*by, "y").orderBy("x")).alias("r"))
+    return row.select(*by, "x", "y", F.sum("r").over(Window.partitionBy(*by, "x").orderBy("y")).alias("total"))
 
 
 def band_labels(volume: DataFrame, iso: int, spread_by: int, rounds: int) -> DataFrame:

@@ -95,6 +95,11 @@ def level_dims(dims: tuple, least: int = 32, most: int = 20) -> list[tuple]:
     return out
 
 
+def tiled_dims(dims: tuple, tile: int, least: int = 32, most: int = 20) -> list[tuple]:
+    """The same rounded up to whole tiles."""
+    return [tuple(-(-d // tile) * tile for d in level) for level in level_dims(dims, least, most)]
+
+
 def level_means(volume: DataFrame, level: int) -> DataFrame:
     """Octree roll-up: sum, count, least and largest gray of the cells of side 2 ** level."""
     return volume.groupBy(*(F.shiftright(c, level).alias(c) for c in AXES)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("gray").cast("long")).alias("total"), F.min("gray").alias("lo"), F.max("gray").alias("hi"))
@@ -129,12 +134,21 @@ def trilinear(volume: DataFrame, samples: DataFrame, dims: tuple, sample_id: str
 
 
 def resized(volume: DataFrame, dims: tuple, target: tuple) -> DataFrame:
-    """Trilinear resize: voxel (x, y, z) of the target samples the source at its scaled place, edges clamped."""
+    """(sample_id, value): trilinear resize, sample_id being the target's raster index.
+
+    Voxel centres are aligned: target p samples the source at (p + 0.5) * d / t - 0.5, edges clamped.
+    """
     i = F.col("id")
     grid = volume.sparkSession.range(target[0] * target[1] * target[2])
     place = ((i % target[0]), (F.floor(i / target[0]) % target[1]), F.floor(i / (target[0] * target[1])))
-    scaled = [F.least(F.greatest(p * (d / t), F.lit(1.0)), F.lit(d - 1.001)) for p, d, t in zip(place, dims, target)]
-    return trilinear(volume, grid.select(i.alias("sample_id"), *(s.alias(c) for s, c in zip(scaled, AXES))), dims)
+    scaled = [F.least(F.greatest((p + 0.5) * d / t - 0.5, F.lit(0.0)), F.lit(d - 1.0)) for p, d, t in zip(place, dims, target)]
+    s = grid.select(i.alias("sample_id"), *(F.floor(v).alias(f"f{c}") for v, c in zip(scaled, AXES)), *((v - F.floor(v)).alias(f"w{c}") for v, c in zip(scaled, AXES)))
+    # A corner of weight 0 is left out, so no corner lies outside.
+    ends = lambda c: F.filter(F.array(F.struct(F.col(f"f{c}").alias("at"), (1 - F.col(f"w{c}")).alias("w")), F.struct((F.col(f"f{c}") + 1).alias("at"), F.col(f"w{c}").alias("w"))), lambda e: e["w"] > 0)
+    for c in AXES:
+        s = s.select("*", F.inline(ends(c))).withColumnsRenamed({"at": c, "w": f"own_{c}"})
+    corner = s.select("sample_id", *(F.col(c).cast("int").alias(c) for c in AXES), (F.col("own_x") * F.col("own_y") * F.col("own_z")).alias("weight"))
+    return corner.join(volume, list(AXES)).groupBy("sample_id").agg(F.sum(F.col("weight") * F.col("gray")).alias("value"))
 
 
 def material_of(volume: DataFrame, regions: DataFrame, small: int = 10_000) -> DataFrame:
@@ -145,6 +159,24 @@ def material_of(volume: DataFrame, regions: DataFrame, small: int = 10_000) -> D
     return volume.join(regions.select("material_id", "lo", "hi", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("gray")), "gray")
 
 
+def materials_by_start(regions: DataFrame, start: str = "start") -> DataFrame:
+    """Materials numbered from the highest start of their gray range down; there are at most as many as gray values."""
+    return regions.withColumn("place", F.row_number().over(Window.orderBy(F.desc(start))))
+
+
+def split_normals(hist: DataFrame, peaks: DataFrame, reach: int) -> DataFrame:
+    """(gray, n, left, right): for each peak (gray, n) the deviations of the histogram about it on either side, within `reach` gray values: a normal curve with two widths.
+
+    A histogram bin is sent to the peaks within reach, which are among 2 reach + 1 gray values.
+    """
+    sent = hist.filter("n > 0").select("gray", F.col("n").alias("k"), F.explode(F.sequence(F.col("gray") - reach, F.col("gray") + reach)).alias("peak"))
+    both = peaks.select(F.col("gray").alias("peak"), "n").join(sent, "peak")
+    d2 = (F.col("gray") - F.col("peak")) * (F.col("gray") - F.col("peak"))
+    side = lambda on: F.sqrt(F.sum(F.when(on, F.col("k") * d2)) / F.sum(F.when(on, F.col("k"))))
+    out = both.groupBy("peak", "n").agg(side(F.col("gray") <= F.col("peak")).alias("left"), side(F.col("gray") >= F.col("peak")).alias("right"))
+    return out.withColumnRenamed("peak", "gray")
+
+
 def region_stats(hist: DataFrame, regions: DataFrame) -> DataFrame:
     """For each material the mean gray and the deviation about its peak and about the mean, rounded up."""
     m = material_of(hist.filter("n > 0"), regions)
@@ -197,10 +229,26 @@ def iso50(peaks: DataFrame) -> DataFrame:
     return peaks.orderBy(F.desc("n"), "gray").limit(2).agg((F.sum("gray") / F.count(F.lit(1))).alias("threshold"), F.min("gray").alias("air"), F.max("gray").alias("material"))
 
 
-def morton(x: str | Column, y: str | Column, z: str | Column, bits: int = 10) -> Column:
-    """Interleaved bits of three non-negative whole numbers, x lowest."""
+#: Steps that move the 21 low bits of a number apart, to every third place: shift, and the bits that stay.
+APART = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def morton(x: str | Column, y: str | Column, z: str | Column) -> Column:
+    """Interleaved bits of three whole numbers from 0 to 2^21 - 1, x lowest; other numbers are an error, null gives null."""
     axes = [(F.col(c) if isinstance(c, str) else c).cast("long") for c in (x, y, z)]
-    return sum(F.shiftleft(F.shiftright(a, b).bitwiseAND(F.lit(1).cast("long")), 3 * b + i) for b in range(bits) for i, a in enumerate(axes))
+    out = F.lit(0).cast("long")
+    for i, a in enumerate(axes):
+        for shift, mask in APART:
+            a = a.bitwiseOR(F.shiftleft(a, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(a, i))
+    outside = (F.least(*axes) < 0) | (F.greatest(*axes) >= 1 << 21)
+    return F.when(outside, F.raise_error(F.lit("a Morton code holds whole numbers from 0 to 2097151"))).otherwise(out)
+
+
+def morton_sorted(points: DataFrame, size: float = 1.0, point_id: str = "point_id") -> DataFrame:
+    """Points with the code `morton` of their cell, sorted by it and by id across partitions."""
+    key = morton(*(F.floor(F.col(c) / size) for c in AXES))
+    return points.withColumn("morton", key).orderBy("morton", point_id)
 
 
 def uniform_sample(points: DataFrame, leaf: float, point_id: str = "point_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geomill.operators import features, filters, fit, neighbors, voxel
@@ -119,7 +119,14 @@ def knn_search(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.knn(points(spark, d), queries(spark, d), 5).select("query_id", "point_id", "d2", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"{PAIRS}, c AS (SELECT query_id, point_id, d2 FROM pairs WHERE floor(px / 100) = floor(qx / 100) AND floor(py / 100) = floor(qy / 100) AND floor(pz / 100) = floor(qz / 100)) SELECT query_id, point_id, d2 FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) = 1")
+def _level(n: int) -> str:
+    """Queries against the points that level n of the octree offers: all of their cell, or the first of each child cell."""
+    cells = lambda t, size: ", ".join(f"floor({t}.{c} / {size})" for c in "xyz")
+    offered = "points" if not n else f"(SELECT p.* FROM points p QUALIFY row_number() OVER (PARTITION BY {cells('p', 50 << n)} ORDER BY point_id) = 1)"
+    return f"SELECT {n} AS level, query_id, p.point_id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d2 FROM queries q JOIN {offered} p ON ({cells('p', 100 << n)}) = ({cells('q', 100 << n)})"
+
+
+@query(f"WITH {POINTS}, {QUERIES}, c AS ({' UNION ALL '.join(map(_level, range(5)))}) SELECT query_id, point_id, d2 FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY level, d2, point_id) = 1")
 def approximate_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.approximate_nearest(points(spark, d), queries(spark, d), 100)
 
@@ -147,6 +154,16 @@ def statistical_outlier_removal(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.statistical_inliers(cloud(spark, d), 4, 1.0).select("point_id")
 
 
+GAPS = f"WITH {CLOUD}, gaps AS (SELECT point_id, CASE WHEN point_id % 40 = 7 THEN 'nan'::DOUBLE WHEN point_id % 40 = 9 THEN 'inf'::DOUBLE ELSE x END AS x, y, z FROM cloud), whole AS (SELECT * FROM gaps WHERE isfinite(x)), near AS (SELECT q.point_id AS query_id, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d2 FROM whole p, whole q WHERE p.point_id <> q.point_id QUALIFY row_number() OVER (PARTITION BY q.point_id ORDER BY d2, p.point_id) <= 4), means AS (SELECT query_id AS point_id, sum(sqrt(d2)) / 4 AS m FROM near GROUP BY 1)"
+
+
+@query(f"{GAPS} SELECT point_id FROM means WHERE m <= (SELECT avg(m) + 1.0 * stddev_samp(m) FROM means) UNION ALL SELECT point_id FROM gaps WHERE NOT isfinite(x)")
+def outlier_removal_with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Scans have points without a finite place; they count nowhere and stay."""
+    x = F.when(F.col("point_id") % 40 == 7, F.lit(float("nan"))).when(F.col("point_id") % 40 == 9, F.lit(float("inf"))).otherwise(F.col("x"))
+    return neighbors.statistical_inliers(cloud(spark, d).withColumn("x", x), 4, 1.0).select("point_id")
+
+
 @query(f"{SELF} SELECT query_id AS point_id FROM pairs WHERE d2 <= 900 GROUP BY 1 HAVING count(*) > 2")
 def radius_outlier_removal(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.radius_inliers(cloud(spark, d), 30, 2).select("point_id")
@@ -224,9 +241,9 @@ def ransac_sampled_planes(spark: SparkSession, d: str) -> DataFrame:
     return fit.score_models(p, fit.planes_through(p, 32), fit.plane_residual(), 20.5)
 
 
-@query(f"WITH RECURSIVE {CLOUD}, near AS (SELECT a.point_id AS a, b.point_id AS b FROM cloud a, cloud b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 400 AND a.point_id <> b.point_id), walk AS (SELECT point_id AS a, point_id AS c FROM cloud UNION SELECT near.b, walk.c FROM walk JOIN near ON walk.a = near.a), label AS (SELECT a AS point_id, min(c) AS cluster FROM walk GROUP BY 1), sized AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM label) SELECT point_id, cluster, n FROM sized WHERE n >= 2")
+@query(f"WITH RECURSIVE {CLOUD}, near AS (SELECT a.point_id AS a, b.point_id AS b FROM cloud a, cloud b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 2025 AND a.point_id <> b.point_id), walk AS (SELECT point_id AS a, point_id AS c FROM cloud UNION SELECT near.b, walk.c FROM walk JOIN near ON walk.a = near.a), label AS (SELECT a AS point_id, min(c) AS cluster FROM walk GROUP BY 1), sized AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM label) SELECT point_id, cluster, n FROM sized WHERE n >= 2")
 def euclidean_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return features.clusters(cloud(spark, d), 20, least=2)
+    return features.clusters(cloud(spark, d), 45, least=2)
 
 
 @query(f"WITH {CLOUD}, f AS (SELECT q.point_id, q.z, max(p.z) AS top FROM cloud q JOIN cloud p ON p.point_id <> q.point_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) < 400 GROUP BY 1, 2) SELECT point_id FROM f WHERE z > top")
@@ -261,9 +278,9 @@ def boundary_points(spark: SparkSession, d: str) -> DataFrame:
     return features.boundary_points(cloud(spark, d), 40, 2.0)
 
 
-@query(f"WITH {POINTS}, o AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(z) OVER w AS lz FROM (SELECT point_id, x, y, floor(z / 500) AS z FROM points WHERE x < 40) WINDOW w AS (ORDER BY x, y, z, point_id)) SELECT point_id FROM o WHERE NOT coalesce(abs(x - lx) <= 0.00001 AND abs(y - ly) <= 0.00001 AND abs(z - lz) <= 0.00001, false)")
+@query(f"WITH {POINTS}, o AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(z) OVER w AS lz FROM (SELECT point_id, x, y, floor(z / 500) AS z FROM points) WINDOW w AS (ORDER BY x, y, z, point_id)) SELECT point_id FROM o WHERE NOT coalesce(abs(x - lx) <= 0.00001 AND abs(y - ly) <= 0.00001 AND abs(z - lz) <= 0.00001, false)")
 def tolerant_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).filter("x < 40").withColumn("z", F.floor(F.col("z") / 500).cast("double"))
+    p = points(spark, d).withColumn("z", F.floor(F.col("z") / 500).cast("double"))
     return filters.adjacent_dedupe(p, slab=10.0).select("point_id")
 
 
@@ -280,6 +297,15 @@ def morton_keys(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("point_id", voxel.morton(*(F.floor(c) for c in "xyz")).alias("morton"))
 
 
+@query(f"WITH {POINTS}, m AS (SELECT point_id, ({SPREAD})::BIGINT AS morton FROM points) SELECT point_id, morton, row_number() OVER (PARTITION BY morton >> 18 ORDER BY morton, point_id) AS place FROM m")
+def morton_order(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each point along the curve inside its octree cell of side 64."""
+    key = voxel.morton(*(F.floor(c) for c in "xyz"))
+    p = points(spark, d).select("point_id", key.alias("morton"))
+    w = Window.partitionBy(F.shiftright("morton", 18)).orderBy("morton", "point_id")
+    return p.withColumn("place", F.row_number().over(w).cast("long"))
+
+
 @query(f"WITH {POINTS} SELECT ({SPREAD})::BIGINT >> 24 AS prefix, count(*) AS n, min(point_id) AS first_id FROM points GROUP BY 1")
 def morton_octree_cells(spark: SparkSession, d: str) -> DataFrame:
     key = F.shiftright(voxel.morton(*(F.floor(c) for c in "xyz")), 24)

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from geomill.operators import fit, neighbors, numbering, rays, stencil, surface, voxel
 from geomill.plans.clouds import _planes, SCORED
 from geomill.plans.registry import Registry
-from geomill.plans.tables import CLOUD, HEIGHT, POINTS, QUERIES, VOLUME, WIDTH, cloud, points, queries, table, volume
+from geomill.plans.tables import CLOUD, DEPTH, HEIGHT, POINTS, QUERIES, VOLUME, WIDTH, cloud, depth, points, queries, table, volume
+from geomill.plans.volumes import near_pixels
 
 query = Registry()
 
-SEGMENTS = "rays AS (SELECT c_custkey AS ray_id, (c_custkey % 31) + 0.25 AS ax, (c_custkey * 7 % 31) + 0.5 AS ay, (c_custkey * 3 % 13) + 0.125 AS az, (c_custkey * 11 % 31) + 0.75 AS bx, (c_custkey * 5 % 31) + 0.375 AS by_, (c_custkey * 2 % 13) + 0.625 AS bz FROM customer)"
+SEGMENTS = DEPTH + ", rays AS (SELECT c_custkey AS ray_id, (c_custkey % 31) + 0.25 AS ax, (c_custkey * 7 % 31) + 0.5 AS ay, (c_custkey * 3 % greatest(depth - 1, 1)) + 0.125 AS az, (c_custkey * 11 % 31) + 0.75 AS bx, (c_custkey * 5 % 31) + 0.375 AS by_, (c_custkey * 2 % greatest(depth - 1, 1)) + 0.625 AS bz FROM customer, dims)"
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("ray_id"), (k % 31 + 0.25).alias("ax"), (k * 7 % 31 + 0.5).alias("ay"), (k * 3 % 13 + 0.125).alias("az"), (k * 11 % 31 + 0.75).alias("bx"), (k * 5 % 31 + 0.375).alias("by"), (k * 2 % 13 + 0.625).alias("bz"))
+    k, far = F.col("c_custkey"), max(depth(spark, d) - 1, 1)
+    return table(spark, d, "customer").select(k.alias("ray_id"), (k % 31 + 0.25).alias("ax"), (k * 7 % 31 + 0.5).alias("ay"), (k * 3 % far + 0.125).alias("az"), (k * 11 % 31 + 0.75).alias("bx"), (k * 5 % 31 + 0.375).alias("by"), (k * 2 % far + 0.625).alias("bz"))
 
 
-CUTS = " UNION ".join(f"SELECT ray_id, (k - a{c})::DOUBLE / (b{e} - a{c}) AS t FROM rays, (SELECT range AS k FROM range(0, 40)) WHERE k > least(a{c}, b{e}) AND k < greatest(a{c}, b{e})" for c, e in (("x", "x"), ("y", "y_"), ("z", "z")))
+CUTS = " UNION ".join(f"SELECT ray_id, (k - a{c})::DOUBLE / (b{e} - a{c}) AS t FROM rays, (SELECT unnest(range(0, depth + 40)) AS k FROM dims) WHERE k > least(a{c}, b{e}) AND k < greatest(a{c}, b{e})" for c, e in (("x", "x"), ("y", "y_"), ("z", "z")))
 WALK = f"cuts AS ({CUTS} UNION SELECT ray_id, 0.0::DOUBLE FROM rays UNION SELECT ray_id, 1.0::DOUBLE FROM rays), mids AS (SELECT ray_id, t, (t + lead(t) OVER (PARTITION BY ray_id ORDER BY t)) / 2 AS m FROM cuts), walk AS (SELECT ray_id, (row_number() OVER (PARTITION BY ray_id ORDER BY m) - 1)::INT AS nth, floor(ax + m * (bx - ax))::INT AS x, floor(ay + m * (by_ - ay))::INT AS y, floor(az + m * (bz - az))::INT AS z FROM mids JOIN rays USING (ray_id) WHERE m IS NOT NULL)"
 
 
@@ -64,7 +65,7 @@ def box_plane_polygons(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TILES}, c AS (SELECT tile, 0.6 * a.x - 0.8 * b.y AS tx, 0.8 * a.x + 0.6 * b.y AS ty FROM (SELECT tile, unnest([x0, x1]) AS x FROM tiles) a JOIN (SELECT tile, unnest([y0, y1]) AS y FROM tiles) b USING (tile)) SELECT tile, round(least(greatest(min(tx), 0), 32), 4) AS min_x, round(least(greatest(max(tx), 0), 32), 4) AS max_x, round(least(greatest(min(ty), 0), 32), 4) AS min_y, round(least(greatest(max(ty), 0), 32), 4) AS max_y FROM c GROUP BY 1")
 def enclosing_boxes(spark: SparkSession, d: str) -> DataFrame:
-    b = rays.enclosing_box(_tiles(spark, d), "tile", [[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1]], (32, 32, 32))
+    b = rays.enclosing_box(_tiles(spark, d), "tile", [[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1]], (WIDTH, HEIGHT, depth(spark, d)))
     return b.select("tile", *(F.round(c, 4).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
 
 
@@ -134,18 +135,15 @@ def stream_compaction(spark: SparkSession, d: str) -> DataFrame:
     return numbering.numbered(o, "o_orderkey", "place", 1000)
 
 
-@query(f"WITH {VOLUME}, image AS (SELECT x, y, gray FROM volume WHERE z = 3) SELECT a.x, a.y, count(*) AS n, max(b.gray) AS top FROM image a JOIN image b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND abs(a.gray - b.gray) < 300 GROUP BY 1, 2")
+@query(f"WITH {VOLUME}, {near_pixels(2)} SELECT z, x, y, count(*) AS n, max(gray) AS top FROM w WHERE abs(gray - own) < 300 GROUP BY 1, 2, 3")
 def organised_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    i = volume(spark, d).filter("z = 3").select("x", "y", "gray")
-    offsets = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in range(-2, 3) for b in range(-2, 3)))
-    sent = i.select(F.inline(offsets), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("gray").alias("g")).select((F.col("sx") + F.col("i")).alias("x"), (F.col("sy") + F.col("j")).alias("y"), "g")
-    return sent.join(i, ["x", "y"]).filter(F.abs(F.col("g") - F.col("gray")) < 300).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("g").alias("top"))
+    return stencil.like_neighbours(volume(spark, d), 2, 300, by=("z",))
 
 
-@query(f"WITH {VOLUME}, image AS (SELECT x, y, gray FROM volume WHERE z = 3), m AS (SELECT a.x, a.y, a.gray, avg(b.gray) AS m FROM image a JOIN image b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY 1, 2, 3) SELECT x, y, (gray > m + 50)::INT AS value FROM m")
+@query(f"WITH {VOLUME}, {near_pixels(2)}, m AS (SELECT z, x, y, own, avg(gray) AS m FROM w GROUP BY 1, 2, 3, 4) SELECT z, x, y, (own > m + 50)::INT AS value FROM m")
 def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
-    i = volume(spark, d).filter("z = 3").select("x", "y", "gray")
-    return i.join(stencil.image_filter(i, "mean", 2), ["x", "y"]).select("x", "y", (F.col("gray") > F.col("value") + 50).cast("int").alias("value"))
+    i = volume(spark, d)
+    return i.join(stencil.image_filter(i, "mean", 2, by=("z",)), ["z", "x", "y"]).select("z", "x", "y", (F.col("gray") > F.col("value") + 50).cast("int").alias("value"))
 
 
 @query(f"WITH {VOLUME}, s AS (SELECT z, min(gray) AS lo, max(gray) AS hi FROM volume GROUP BY 1) SELECT x, y, z, floor((gray - lo) * 255 / greatest(hi - lo, 1))::BIGINT AS value FROM volume JOIN s USING (z)")
@@ -155,15 +153,15 @@ def image_normalisation(spark: SparkSession, d: str) -> DataFrame:
     return v.join(s, "z").select("x", "y", "z", F.floor((F.col("gray") - F.col("lo")) * 255 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).alias("value"))
 
 
-PIXELS = "pixels AS (SELECT c_custkey AS sample_id, 2 + (c_custkey % 40) * 0.5 + (c_custkey // 40) * 0.125 AS x, 3 + (c_custkey // 40) * 0.5 AS y, 1 + (c_custkey % 40) * 0.25 AS z FROM customer)"
+PIXELS = DEPTH + ", pixels AS (SELECT c_custkey AS sample_id, 2 + (c_custkey % 40) * 0.5 + (c_custkey // 40) * 0.125 AS x, 3 + (c_custkey // 40) * 0.5 AS y, (c_custkey % 40) * depth // 40 + 0.25 AS z FROM customer, dims)"
 
 
-@query(f"WITH {VOLUME}, {PIXELS}, s AS (SELECT *, floor(x)::INT AS fx, floor(y)::INT AS fy, floor(z)::INT AS fz FROM pixels WHERE x >= 1 AND x < 31 AND y >= 1 AND y < 31 AND z >= 1 AND z < 13), o AS (SELECT unnest([0, 1]) AS o), c AS (SELECT sample_id, fx + a.o AS cx, fy + b.o AS cy, fz + c.o AS cz, (CASE WHEN a.o = 1 THEN x - fx ELSE 1 - (x - fx) END) * (CASE WHEN b.o = 1 THEN y - fy ELSE 1 - (y - fy) END) * (CASE WHEN c.o = 1 THEN z - fz ELSE 1 - (z - fz) END) AS w FROM s, o a, o b, o c), v AS (SELECT sample_id, sum(w * gray) AS v FROM c JOIN volume v ON v.x = cx AND v.y = cy AND v.z = cz GROUP BY 1), g AS (SELECT sample_id, floor(coalesce(v, 0))::INT AS gray FROM pixels LEFT JOIN v USING (sample_id)) SELECT sample_id, gray, (gray * 255 // 2400)::INT AS red, 255 - (gray * 255 // 2400)::INT AS blue FROM g")
+@query(f"WITH {VOLUME}, {PIXELS}, s AS (SELECT pixels.*, floor(x)::INT AS fx, floor(y)::INT AS fy, floor(z)::INT AS fz FROM pixels, dims WHERE x >= 1 AND x < 31 AND y >= 1 AND y < 31 AND z >= 1 AND z < depth - 1), o AS (SELECT unnest([0, 1]) AS o), c AS (SELECT sample_id, fx + a.o AS cx, fy + b.o AS cy, fz + c.o AS cz, (CASE WHEN a.o = 1 THEN x - fx ELSE 1 - (x - fx) END) * (CASE WHEN b.o = 1 THEN y - fy ELSE 1 - (y - fy) END) * (CASE WHEN c.o = 1 THEN z - fz ELSE 1 - (z - fz) END) AS w FROM s, o a, o b, o c), v AS (SELECT sample_id, sum(w * gray) AS v FROM c JOIN volume v ON v.x = cx AND v.y = cy AND v.z = cz GROUP BY 1), g AS (SELECT sample_id, floor(coalesce(v, 0))::INT AS gray FROM pixels LEFT JOIN v USING (sample_id)) SELECT sample_id, gray, (gray * 255 // 2400)::INT AS red, 255 - (gray * 255 // 2400)::INT AS blue FROM g")
 def oblique_slice(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    row, col = F.floor(k / 40), k % 40
-    px = table(spark, d, "customer").select(k.alias("sample_id"), (2 + col * 0.5 + row * 0.125).alias("x"), (3 + row * 0.5).alias("y"), (1 + col * 0.25).alias("z"))
-    s = voxel.trilinear(volume(spark, d), px, (32, 32, 14))
+    row, col, n = F.floor(k / 40), k % 40, depth(spark, d)
+    px = table(spark, d, "customer").select(k.alias("sample_id"), (2 + col * 0.5 + row * 0.125).alias("x"), (3 + row * 0.5).alias("y"), (F.floor(col * n / 40) + 0.25).alias("z"))
+    s = voxel.trilinear(volume(spark, d), px, (WIDTH, HEIGHT, n))
     red = F.floor(F.col("value") * 255 / 2400).cast("int")
     return s.select("sample_id", F.col("value").alias("gray"), red.alias("red"), (255 - red).alias("blue"))
 
@@ -187,9 +185,9 @@ def weighted_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def signed_distances(spark: SparkSession, d: str) -> DataFrame:
-    v = volume(spark, d).filter("z < 6")
+    v = volume(spark, d)
     s = surface.crossings(v, 1200)
     key = F.xxhash64("axis", "x", "y", "z")
     at = s.select(key.alias("point_id"), *(F.col(f"p{c}").cast("double").alias(c) for c in "xyz"))
-    q = v.filter("x % 3 = 0 AND y % 3 = 0").select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z").cast("long")).alias("query_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), "gray")
+    q = v.select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z").cast("long")).alias("query_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), "gray")
     return surface.signed_distance(at, q, 1200)

@@ -33,8 +33,5 @@ def windowed_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH l AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) SELECT user_id, count(*) AS frames, min(gap) AS least_gap, max(gap) AS largest_gap FROM l GROUP BY 1")
 def frame_intervals(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("gap", micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(w))
+    e = match.gaps(table(spark, d, "events"), ["user_id"])
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"))

@@ -58,6 +58,14 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VOLUME = f"volume AS (SELECT (o_orderkey % {WIDTH})::INT AS x, ((o_orderkey // {WIDTH}) % {HEIGHT})::INT AS y, (o_orderkey // {WIDTH * HEIGHT})::INT AS z, (floor(o_totalprice)::BIGINT % 1000 + 40 * (o_orderkey % {WIDTH}))::INT AS gray FROM orders)"
 
+#: Slices of the volume.
+DEPTH = f"dims AS (SELECT (max(o_orderkey) // {WIDTH * HEIGHT} + 1)::BIGINT AS depth FROM orders)"
+
+
+def depth(spark: SparkSession, sf_dir: str) -> int:
+    return (table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0) // (WIDTH * HEIGHT) + 1
+
+
 #: Vertices in a row of the height field.
 ROW = 50
 
@@ -78,6 +86,20 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(F.inline(pair))
 
 
+def rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the height field."""
+    return (table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0) // ROW
+
+
+ROWS = f"field AS (SELECT (max(o_orderkey) // {ROW})::BIGINT AS n FROM orders)"
+
+
+def high_faces(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    """The faces whose corners all stand at z >= least: islands all over the mesh."""
+    tri = corners(vertices(spark, sf_dir), faces(spark, sf_dir))
+    return tri.filter(F.least("z0", "z1", "z2") >= least).select("face_id", "v0", "v1", "v2")
+
+
 MESH = f"""vertices AS (SELECT o_orderkey AS id, (o_orderkey % {ROW})::DOUBLE AS x, (o_orderkey // {ROW})::DOUBLE AS y, (floor(o_totalprice)::BIGINT % 20)::DOUBLE AS z FROM orders),
 faces AS (SELECT 2 * o_orderkey AS face_id, o_orderkey AS v0, o_orderkey + 1 AS v1, o_orderkey + {ROW} AS v2 FROM orders WHERE o_orderkey % {ROW} < {ROW - 1} AND o_orderkey + {ROW + 1} <= (SELECT max(o_orderkey) FROM orders)
 UNION ALL SELECT 2 * o_orderkey + 1, o_orderkey + 1, o_orderkey + {ROW + 1}, o_orderkey + {ROW} FROM orders WHERE o_orderkey % {ROW} < {ROW - 1} AND o_orderkey + {ROW + 1} <= (SELECT max(o_orderkey) FROM orders))"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geomill.functions import colour, time
 from geomill.functions import geometry as g
 from geomill.functions import vectors as v
-from geomill.operators import ann
+from geomill.operators import ann, fit
 from geomill.plans.registry import Registry
-from geomill.plans.tables import POINTS, points, table
+from geomill.plans.tables import POINTS, VOLUME, points, table, volume
 
 query = Registry()
 #: Pairs of neighbouring ids: each vector with the next one.
@@ -48,6 +49,13 @@ def divergences(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("vec_id", *(F.round(c, 3).alias(n) for n, c in made.items()))
 
 
+@query(f"{PAIR}, p2 AS (SELECT vec_id, abs(x) AS x, abs(y) AS y FROM e) SELECT vec_id, round(sqrt(sum((sqrt(x) - sqrt(y)) * (sqrt(x) - sqrt(y)))), 4) AS jm, round(CASE WHEN sum(sqrt(x * y)) > 0 THEN -ln(sum(sqrt(x * y))) ELSE 0 END, 4) AS bhattacharyya, round(sum(CASE WHEN x > 0 AND y > 0 THEN (x / y - 1) * ln(x / y) ELSE 0 END), 2) AS div, round(sum(CASE WHEN x + y <> 0 THEN (x - y) * (x - y) / (x + y) ELSE 0 END), 4) AS cs FROM p2 GROUP BY 1")
+def histogram_norms(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (F.transform(c, lambda x: F.abs(x.cast("double"))) for c in (A(), B()))
+    p = _pairs(spark, d)
+    return p.select("vec_id", F.round(v.jm(a, b), 4).alias("jm"), F.round(v.bhattacharyya(a, b), 4).alias("bhattacharyya"), F.round(v.div(a, b), 2).alias("div"), F.round(v.cs(a, b), 4).alias("cs"))
+
+
 @query("SELECT o_orderkey, bit_count(xor(o_orderkey * 7919, o_custkey * 104729))::INT AS hamming FROM orders")
 def hamming_distance(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", v.hamming(F.col("o_orderkey") * 7919, F.col("o_custkey") * 104729).alias("hamming"))
@@ -104,3 +112,41 @@ def vector_labels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ann.kmeans_assign(table(spark, d, "embeddings"), 8)
+
+
+STOPS = [(0, 0, 0, 64), (600, 0, 128, 255), (1400, 255, 200, 0), (2200, 255, 255, 255)]
+
+
+def _ramp(k: int) -> str:
+    parts = [f"WHEN gray < {STOPS[0][0]} THEN {STOPS[0][k]}"] + [f"WHEN gray < {b[0]} THEN {a[k]} + (gray - {a[0]}) * ({b[k] - a[k]}) / {b[0] - a[0]}.0" for a, b in zip(STOPS, STOPS[1:])]
+    return f"round(CASE {' '.join(parts)} ELSE {STOPS[-1][k]} END::DOUBLE, 6)"
+
+
+@query(f"WITH {VOLUME} SELECT x, y, z, {_ramp(1)} AS red, {_ramp(2)} AS green, {_ramp(3)} AS blue FROM volume")
+def colour_mapped(spark: SparkSession, d: str) -> DataFrame:
+    red, green, blue = (F.round(c, 6) for c in colour.mapped(F.col("gray"), STOPS))
+    return volume(spark, d).select("x", "y", "z", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+@query(f"WITH {POINTS}, a AS (SELECT point_id, x, y * cos(0.3) - z * sin(0.3) AS y, y * sin(0.3) + z * cos(0.3) AS z FROM points), b AS (SELECT point_id, x * cos(0.5) + z * sin(0.5) AS x, y, z * cos(0.5) - x * sin(0.5) AS z FROM a) SELECT point_id, round(x * cos(0.7) - y * sin(0.7), 4) AS x, round(x * sin(0.7) + y * cos(0.7), 4) AS y, round(z, 4) AS z FROM b")
+def euler_rotation(spark: SparkSession, d: str) -> DataFrame:
+    x, y, z = g.euler_rotated(tuple(F.lit(a) for a in (0.3, 0.5, 0.7)), g.vec())
+    return points(spark, d).select("point_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(z, 4).alias("z"))
+
+
+@query("SELECT o_orderkey, (year(DATE '2024-02-29') - year(o_orderdate) - (month(o_orderdate) * 100 + day(o_orderdate) > 229)::INT)::INT AS age FROM orders")
+def ages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", time.age(F.col("o_orderdate"), F.lit("2024-02-29").cast("date")).cast("int").alias("age"))
+
+
+@query(f"WITH {POINTS}, w AS (SELECT point_id, x - 500 AS wx, y - 480 AS wy, z - 450 AS wz FROM points), l AS (SELECT point_id, 0.6 * wx + 0.8 * wz AS h, wx * wx + wy * wy + wz * wz AS w2, sqrt((0.8 * wy) * (0.8 * wy) + (0.6 * wz - 0.8 * wx) * (0.6 * wz - 0.8 * wx) + (0.6 * wy) * (0.6 * wy)) AS line FROM w) SELECT point_id, round(line, 4) AS line, round(line - 200, 4) AS cylinder, round(sqrt((sqrt(greatest(w2 - h * h, 0)) - 200) ^ 2 + h * h), 4) AS circle, round(sqrt(w2) - 200, 4) AS sphere FROM l")
+def model_residuals(spark: SparkSession, d: str) -> DataFrame:
+    model = {"px": 500.0, "py": 480.0, "pz": 450.0, "dx": 0.6, "dy": 0.0, "dz": 0.8, "r": 200.0, "cx": 500.0, "cy": 480.0, "cz": 450.0}
+    p = points(spark, d).withColumns({c: F.lit(v) for c, v in model.items()})
+    kinds = {"line": fit.line_residual(), "cylinder": fit.cylinder_residual(), "circle": fit.circle_residual(), "sphere": fit.sphere_residual()}
+    return p.select("point_id", *(F.round(r, 4).alias(n) for n, r in kinds.items()))
+
+
+@query()
+def adaptive_ransac_plane(spark: SparkSession, d: str) -> DataFrame:
+    return fit.adaptive_plane(points(spark, d), 20.5, most=256)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geomill.operators import filters, stencil, surface, voxel
 from geomill.plans.registry import Registry
-from geomill.plans.tables import VOLUME, volume
+from geomill.plans.tables import DEPTH, HEIGHT, VOLUME, WIDTH, depth, volume
 
 query = Registry()
 SOLID = 1200
@@ -81,24 +81,32 @@ def tile_pyramid(spark: SparkSession, d: str) -> DataFrame:
     return voxel.pyramid(volume(spark, d), 3)
 
 
-SAMPLES = "samples AS (SELECT c_custkey AS sample_id, (c_custkey * 37 % 310) / 10.0::DOUBLE AS x, (c_custkey * 53 % 310) / 10.0::DOUBLE AS y, (c_custkey * 29 % 130) / 10.0::DOUBLE AS z FROM customer)"
+SAMPLES = "samples AS (SELECT c_custkey AS sample_id, (c_custkey * 37 % 310) / 10.0::DOUBLE AS x, (c_custkey * 53 % 310) / 10.0::DOUBLE AS y, (c_custkey * 29 % (10 * depth)) / 10.0::DOUBLE AS z FROM customer, dims)"
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("sample_id"), (k * 37 % 310 / 10.0).alias("x"), (k * 53 % 310 / 10.0).alias("y"), (k * 29 % 130 / 10.0).alias("z"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("sample_id"), (k * 37 % 310 / 10.0).alias("x"), (k * 53 % 310 / 10.0).alias("y"), (k * 29 % (10 * depth(spark, d)) / 10.0).alias("z"))
 
 
-@query(f"WITH {VOLUME}, {SAMPLES}, s AS (SELECT *, floor(x)::INT AS fx, floor(y)::INT AS fy, floor(z)::INT AS fz FROM samples WHERE x >= 1 AND x < 31 AND y >= 1 AND y < 31 AND z >= 1 AND z < 13), o AS (SELECT unnest([0, 1]) AS o), c AS (SELECT sample_id, fx + a.o AS cx, fy + b.o AS cy, fz + c.o AS cz, (CASE WHEN a.o = 1 THEN x - fx ELSE 1 - (x - fx) END) * (CASE WHEN b.o = 1 THEN y - fy ELSE 1 - (y - fy) END) * (CASE WHEN c.o = 1 THEN z - fz ELSE 1 - (z - fz) END) AS w FROM s, o a, o b, o c), v AS (SELECT sample_id, sum(w * gray) AS value FROM c JOIN volume v ON v.x = cx AND v.y = cy AND v.z = cz GROUP BY 1) SELECT sample_id, round(coalesce(value, 0), 4) AS value FROM samples LEFT JOIN v USING (sample_id)")
+@query(f"WITH {VOLUME}, {DEPTH}, {SAMPLES}, s AS (SELECT samples.*, floor(x)::INT AS fx, floor(y)::INT AS fy, floor(z)::INT AS fz FROM samples, dims WHERE x >= 1 AND x < 31 AND y >= 1 AND y < 31 AND z >= 1 AND z < depth - 1), o AS (SELECT unnest([0, 1]) AS o), c AS (SELECT sample_id, fx + a.o AS cx, fy + b.o AS cy, fz + c.o AS cz, (CASE WHEN a.o = 1 THEN x - fx ELSE 1 - (x - fx) END) * (CASE WHEN b.o = 1 THEN y - fy ELSE 1 - (y - fy) END) * (CASE WHEN c.o = 1 THEN z - fz ELSE 1 - (z - fz) END) AS w FROM s, o a, o b, o c), v AS (SELECT sample_id, sum(w * gray) AS value FROM c JOIN volume v ON v.x = cx AND v.y = cy AND v.z = cz GROUP BY 1) SELECT sample_id, round(coalesce(value, 0), 4) AS value FROM samples LEFT JOIN v USING (sample_id)")
 def trilinear_samples(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.trilinear(volume(spark, d), _samples(spark, d), (32, 32, 14), truncate=False).select("sample_id", F.round("value", 4).alias("value"))
+    return voxel.trilinear(volume(spark, d), _samples(spark, d), (WIDTH, HEIGHT, depth(spark, d)), truncate=False).select("sample_id", F.round("value", 4).alias("value"))
 
 
-@query()
+def _resized(c: str, d: str, t: str) -> str:
+    """Places along one axis: target p, source at, weight w."""
+    s = f"least(greatest((p + 0.5) * {d} / {t} - 0.5, 0), {d} - 1)"
+    return f"r{c} AS (SELECT p, floor(s)::INT + o AS at, CASE WHEN o = 1 THEN s - floor(s) ELSE 1 - (s - floor(s)) END AS w FROM (SELECT p, {s} AS s FROM (SELECT unnest(range(0, {t}::BIGINT)) AS p, depth FROM dims)), (SELECT unnest([0, 1]) AS o) WHERE (o = 0 OR s > floor(s)))"
+
+
+TIGHT = "greatest(1, depth // 2)"
+
+
+@query(f"WITH {VOLUME}, {DEPTH}, {_resized('x', str(WIDTH), '20')}, {_resized('y', str(HEIGHT), '20')}, {_resized('z', 'depth', TIGHT)} SELECT (x.p + 20 * (y.p + 20 * z.p))::BIGINT AS sample_id, round(sum(x.w * y.w * z.w * gray), 4) AS value FROM volume v JOIN rx x ON x.at = v.x JOIN ry y ON y.at = v.y JOIN rz z ON z.at = v.z GROUP BY 1")
 def resized_volume(spark: SparkSession, d: str) -> DataFrame:
-    v = volume(spark, d)
-    depth = v.agg(F.max("z")).first()[0] + 1
-    return voxel.resized(v, (32, 32, depth), (16, 16, max(1, depth // 2)))
+    n = depth(spark, d)
+    return voxel.resized(volume(spark, d), (WIDTH, HEIGHT, n), (20, 20, max(1, n // 2))).select("sample_id", F.round("value", 4).alias("value"))
 
 
 MATERIALS = "regions AS (SELECT * FROM (VALUES (0, 0, 600), (1, 600, 1200), (2, 1200, 4096)) t(material_id, lo, hi))"
@@ -150,6 +158,13 @@ def iso50_threshold(spark: SparkSession, d: str) -> DataFrame:
     return voxel.iso50(voxel.local_maxima(_hist(spark, d), 10))
 
 
+@query(f"{HIST}, m AS (SELECT gray, n, max(n) OVER (ORDER BY gray ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a, max(n) OVER (ORDER BY gray ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS b FROM hist), p AS (SELECT gray, n FROM m WHERE n > coalesce(a, -1) AND n > coalesce(b, -1)) SELECT p.gray, p.n, round(sqrt(sum(h.n * (h.gray - p.gray) ^ 2) FILTER (WHERE h.gray <= p.gray) / sum(h.n) FILTER (WHERE h.gray <= p.gray)), 4) AS left_width, round(sqrt(sum(h.n * (h.gray - p.gray) ^ 2) FILTER (WHERE h.gray >= p.gray) / sum(h.n) FILTER (WHERE h.gray >= p.gray)), 4) AS right_width FROM p JOIN hist h ON abs(h.gray - p.gray) <= 30 GROUP BY 1, 2")
+def split_normal_peaks(spark: SparkSession, d: str) -> DataFrame:
+    h = _hist(spark, d)
+    s = voxel.split_normals(h, voxel.local_maxima(h, 10), 30)
+    return s.select("gray", "n", F.round("left", 4).alias("left_width"), F.round("right", 4).alias("right_width"))
+
+
 def _around(expr: str) -> str:
     return f"SELECT a.x, a.y, a.z, {expr} FROM volume a JOIN volume b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1"
 
@@ -175,31 +190,38 @@ def border_classification(spark: SparkSession, d: str) -> DataFrame:
     return stencil.classified(volume(spark, d), 300)
 
 
-IMAGE = f"WITH {VOLUME}, image AS (SELECT x, y, gray FROM volume WHERE z = 3), w AS (SELECT a.x, a.y, b.gray FROM image a JOIN image b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)"
+#: Every slice is an image, and each pixel meets those at most K away on either axis.
+def near_pixels(k: int, columns: str = "b.gray") -> str:
+    return f"offsets AS (SELECT a.o AS i, b.o AS j FROM (SELECT unnest(range({-k}, {k + 1})) AS o) a, (SELECT unnest(range({-k}, {k + 1})) AS o) b), sent AS (SELECT z, x + i AS x, y + j AS y, i, j, gray FROM volume, offsets), w AS (SELECT a.z, a.x, a.y, a.gray AS own, b.i, b.j, b.gray FROM volume a JOIN sent b ON a.z = b.z AND a.x = b.x AND a.y = b.y)"
 
 
-def _image(spark: SparkSession, d: str) -> DataFrame:
-    return volume(spark, d).filter("z = 3").select("x", "y", "gray")
+IMAGE = f"WITH {VOLUME}, {near_pixels(1)}"
 
 
-@query(f"{IMAGE} SELECT x, y, min(gray) AS value FROM w GROUP BY 1, 2")
+@query(f"{IMAGE} SELECT z, x, y, min(gray) AS value FROM w GROUP BY 1, 2, 3")
 def image_erosion(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.image_filter(_image(spark, d), "erode")
+    return stencil.image_filter(volume(spark, d), "erode", by=("z",))
 
 
-@query(f"{IMAGE} SELECT x, y, max(gray) AS value FROM w GROUP BY 1, 2")
+@query(f"{IMAGE} SELECT z, x, y, max(gray) AS value FROM w GROUP BY 1, 2, 3")
 def image_dilation(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.image_filter(_image(spark, d), "dilate")
+    return stencil.image_filter(volume(spark, d), "dilate", by=("z",))
 
 
-@query(f"{IMAGE}, s AS (SELECT x, y, list_sort(list(gray)) AS s FROM w GROUP BY 1, 2) SELECT x, y, s[(len(s) - 1) // 2 + 1] AS value FROM s")
+@query(f"{IMAGE}, s AS (SELECT z, x, y, list_sort(list(gray)) AS s FROM w GROUP BY 1, 2, 3) SELECT z, x, y, s[(len(s) - 1) // 2 + 1] AS value FROM s")
 def image_median(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.image_filter(_image(spark, d), "median")
+    return stencil.image_filter(volume(spark, d), "median", by=("z",))
+
+
+@query(f"{IMAGE}, g AS (SELECT z, x, y, gray, (2 - abs(i)) * (2 - abs(j)) AS k FROM w) SELECT z, x, y, round(sum(k * gray)::DOUBLE / sum(k), 4) AS value FROM g GROUP BY 1, 2, 3")
+def image_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    g = stencil.convolved(volume(spark, d), [[1, 2, 1], [2, 4, 2], [1, 2, 1]], by=("z",))
+    return g.select("z", "x", "y", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {VOLUME}, image AS (SELECT x, y, gray FROM volume WHERE z = 3) SELECT a.x, a.y, sum(b.gray)::BIGINT AS total FROM image a JOIN image b ON b.x <= a.x AND b.y <= a.y GROUP BY 1, 2")
+@query(f"WITH {VOLUME}, r AS (SELECT z, x, y, sum(gray) OVER (PARTITION BY z, y ORDER BY x) AS r FROM volume) SELECT z, x, y, (sum(r) OVER (PARTITION BY z, x ORDER BY y))::BIGINT AS total FROM r")
 def integral_image(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.integral_image(_image(spark, d))
+    return stencil.integral_image(volume(spark, d), by=("z",))
 
 
 @query(f"WITH {VOLUME}, g AS (SELECT y, z, x, x - row_number() OVER (PARTITION BY y, z ORDER BY x) AS g FROM volume WHERE gray >= {SOLID}) SELECT y, z, min(x) AS start, count(*) AS length FROM g GROUP BY y, z, g")
@@ -207,11 +229,28 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return stencil.run_lengths(volume(spark, d), SOLID)
 
 
-@query()
+STEPS = "(SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(i, j, k))"
+
+
+def _dilated(src: str, name: str) -> str:
+    return f"""{name} AS (SELECT s.x, s.y, s.z, coalesce(s.label, CASE WHEN lo = hi THEN 'D' || lo WHEN lo IS NOT NULL THEN 'D' END) AS label FROM {src} s
+LEFT JOIN (SELECT x + i AS x, y + j AS y, z + k AS z, min(label[-1:]) AS lo, max(label[-1:]) AS hi FROM {src}, {STEPS} WHERE label IS NOT NULL AND label <> 'D' GROUP BY 1, 2, 3) r ON r.x = s.x AND r.y = s.y AND r.z = s.z)"""
+
+
+@query(f"WITH {VOLUME}, s0 AS (SELECT x, y, z, CASE WHEN gray > 1500 THEN 'F' WHEN gray < 500 THEN 'B' END AS label FROM volume), {_dilated('s0', 's1')}, {_dilated('s1', 's2')} SELECT * FROM s2")
 def band_labels(spark: SparkSession, d: str) -> DataFrame:
     return stencil.band_labels(volume(spark, d), 1000, 500, 2)
 
 
+BINS = "bins AS (SELECT (gray // 200 * 200)::INT AS start, count(*) AS n, min(gray) AS lo, max(gray) AS hi FROM volume GROUP BY 1)"
+
+
+@query(f"WITH {VOLUME}, {BINS} SELECT start, n, lo, hi, row_number() OVER (ORDER BY start DESC) AS place FROM bins")
+def materials_by_start(spark: SparkSession, d: str) -> DataFrame:
+    bins = volume(spark, d).groupBy((F.floor(F.col("gray") / 200) * 200).cast("int").alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("gray").alias("lo"), F.max("gray").alias("hi"))
+    return voxel.materials_by_start(bins).select("start", "n", "lo", "hi", F.col("place").cast("long").alias("place"))
+
+
 CASE = " + ".join(f"(c{b}.gray < {SOLID})::INT * {1 << b}" for b in range(8))
 JOINS = " ".join(f"JOIN volume c{b} ON c{b}.x = a.x + {i} AND c{b}.y = a.y + {j} AND c{b}.z = a.z + {k}" for b, (i, j, k) in enumerate(surface.CORNERS))
 

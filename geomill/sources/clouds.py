@@ -91,7 +91,7 @@ def pcd_columns(data: bytes) -> tuple[list[str], list[str], list[np.ndarray]]:
 def read_pcd(spark: SparkSession, path: str) -> DataFrame:
     """Points of PCD files (ascii, binary, binary_compressed) with the fields of the first one, and `point_id` within the file. Only the first file's header reaches the driver."""
     files = spark.read.format("binaryFile").load(path)
-    first = bytes(files.select(F.substring("content", 1, 4096).alias("h")).first()["h"])
+    first = bytes(files.select(F.substring("content", 1, 1 << 20).alias("h")).first()["h"])
     head, _ = pcd_header(first)
     wanted = [(n, t + s, int(c)) for n, t, s, c in zip(head["FIELDS"], head["TYPE"], head["SIZE"], head.get("COUNT", ["1"] * len(head["FIELDS"]))) if n != "_"]
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("point_id", T.LongType()), *(T.StructField(n, SPARK_TYPES[k] if c == 1 else T.ArrayType(SPARK_TYPES[k])) for n, k, c in wanted)])
@@ -157,6 +157,14 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode("lines").alias("n", "line"))
 
 
+def _fans(polygons: DataFrame) -> DataFrame:
+    """(path, face_id, v0, v1, v2): polygons (path, face, i) as fans of triangles, numbered from 0 in each file."""
+    triangles = F.greatest(F.size("i") - 2, F.lit(0))
+    before = F.sum(triangles).over(Window.partitionBy("path").orderBy("face")) - triangles
+    fans = polygons.withColumn("before", before).filter(F.size("i") > 2).select("path", "before", "i", F.explode(F.sequence(F.lit(1), F.size("i") - 2)).alias("k"))
+    return fans.select("path", (F.col("before") + F.col("k") - 1).cast("long").alias("face_id"), F.col("i")[0].alias("v0"), F.expr("i[k]").alias("v1"), F.expr("i[k + 1]").alias("v2"))
+
+
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (path, id, x, y, z) and triangles (path, face_id, v0, v1, v2) of OBJ files; polygons become fans, negative indices count back."""
     lines = _numbered_lines(spark, path).withColumn("w", F.split(F.trim("line"), r"\s+"))
@@ -165,8 +173,7 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     seen = lines.filter("w[0] in ('v', 'f')").withColumn("before", F.sum(F.when(F.col("w")[0] == "v", 1).otherwise(0)).over(w))
     f = seen.filter("w[0] = 'f'").withColumn("i", F.expr("transform(slice(w, 2, size(w) - 1), t -> cast(split(t, '/')[0] as bigint))"))
     f = f.withColumn("i", F.expr("transform(i, t -> if(t < 0, before + t, t - 1))")).withColumn("face", F.row_number().over(w) - 1)
-    fans = f.select("path", "face", "i", F.explode(F.sequence(F.lit(1), F.size("i") - 2)).alias("k"))
-    return v, fans.select("path", (F.col("face") * 4096 + F.col("k") - 1).cast("long").alias("face_id"), F.col("i")[0].alias("v0"), F.expr("i[k]").alias("v1"), F.expr("i[k + 1]").alias("v2"))
+    return v, _fans(f)
 
 
 def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -176,8 +183,7 @@ def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     body = lines.join(head, "path").withColumn("k", F.col("n") - F.col("end") - 1).filter("k >= 0")
     v = body.filter("k < vertices").select("path", F.col("k").cast("long").alias("id"), *(F.col("w")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
     f = body.filter("k >= vertices AND k < vertices + coalesce(faces, 0)").select("path", (F.col("k") - F.col("vertices")).cast("long").alias("face"), F.expr("transform(slice(w, 2, cast(w[0] as int)), t -> cast(t as bigint))").alias("i"))
-    fans = f.select("path", "face", "i", F.explode(F.sequence(F.lit(1), F.size("i") - 2)).alias("k"))
-    return v, fans.select("path", (F.col("face") * 4096 + F.col("k") - 1).alias("face_id"), F.col("i")[0].alias("v0"), F.expr("i[k]").alias("v1"), F.expr("i[k + 1]").alias("v2"))
+    return v, _fans(f)
 
 
 def read_xyz(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -56,7 +56,9 @@ def unfold(slabs: DataFrame, width: int, height: int, dtype: str = "<u2") -> Dat
 def read_vgi(spark: SparkSession, header: str, raw: str, offset: int = 0) -> tuple[DataFrame, float]:
     """Voxels and voxel step of a volume whose text header has lines `size = w h d` and `resolution = s ...`."""
     lines = spark.read.text(header).filter(F.col("value").contains("="))
-    pairs = {r["k"].strip().lower(): r["v"].strip() for r in lines.select(F.split("value", "=", 2)[0].alias("k"), F.split("value", "=", 2)[1].alias("v")).limit(1000).collect()}
+    part = F.split("value", "=", 2)
+    known = lines.select(F.lower(F.trim(part[0])).alias("k"), F.trim(part[1]).alias("v")).filter("k IN ('size', 'resolution')")
+    pairs = {r["k"]: r["v"] for r in known.groupBy("k").agg(F.first("v").alias("v")).collect()}
     dims = tuple(int(v) for v in pairs["size"].split()[:3])
     return read_raw(spark, raw, dims, offset), float(pairs.get("resolution", "1").split()[0])
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,18 +14,30 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from geomill.functions.time import micros
 
 
-def nearest_time(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts", key: str = "event_id") -> DataFrame:
+#: Microseconds of a slab of time: a window partition holds one group's rows of one slab.
+SLAB_US = 86_400_000_000
+
+
+def nearest_time(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts", key: str = "event_id", slab_us: int = SLAB_US) -> DataFrame:
     """(by, left id, right id, gap_us): for each left row the right row nearest in time within its group; a tie keeps the earlier one.
 
-    Both sides are laid in one sorted sequence, where the last right row before and the
-    first one after are window functions: one shuffle on the group, no range join.
+    Both sides are laid in one sequence, cut into slabs of time, where the last right row
+    before and the first one after are window functions; a slab knows the last right row of
+    the earlier slabs and the first of the later ones. So a busy group is spread over its
+    slabs, and there is no range join.
     """
     side = lambda df, is_left: df.select(*by, micros(F.col(time)).alias("t"), F.col(key).alias("k"), F.lit(is_left).alias("is_left"))
     every = side(left, True).unionByName(side(right, False))
+    every = every.withColumn("slab", F.floor(F.col("t") / slab_us))
     other = F.when(~F.col("is_left"), F.struct("t", "k"))
-    w = Window.partitionBy(*by).orderBy("t", "is_left", "k")
-    before = F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(other, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    ends = every.groupBy(*by, "slab").agg(F.max(other).alias("end"), F.min(other).alias("begin"))
+    slabs = Window.partitionBy(*by).orderBy("slab")
+    carried = ends.select(*by, "slab", F.last("end", ignorenulls=True).over(slabs.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("begin", ignorenulls=True).over(slabs.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "slab"]]
+    every = every.alias("e").join(carried.alias("c"), reduce(and_, same)).select("e.*", "earlier", "later")
+    w = Window.partitionBy(*by, "slab").orderBy("t", "is_left", "k")
+    before = F.coalesce(F.last(other, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("earlier"))
+    after = F.coalesce(F.first(other, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("later"))
     m = every.withColumns({"before": before, "after": after}).filter("is_left")
     gap_b, gap_a = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
     pick_b = F.col("before").isNotNull() & (F.col("after").isNull() | (gap_b <= gap_a))
@@ -65,6 +79,17 @@ def stream_match(events: DataFrame, key: str, side: str, watermark: str = "10 mi
     return events.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, left_id long, right_id long, gap_us long", "left array<array<long>>, right array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def gaps(events: DataFrame, by: list[str], time: str = "ts", key: str = "event_id", slab_us: int = SLAB_US) -> DataFrame:
+    """(by, key, t, gap): microseconds from each event to the one before in its group (by time, then key); null for the first. Slabs carry their last time on."""
+    e = events.select(*by, key, micros(F.col(time)).alias("t")).withColumn("slab", F.floor(F.col("t") / slab_us))
+    ends = e.groupBy(*by, "slab").agg(F.max("t").alias("end"))
+    carried = ends.select(*by, "slab", F.lag("end").over(Window.partitionBy(*by).orderBy("slab")).alias("earlier"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "slab"]]
+    e = e.alias("e").join(carried.alias("c"), reduce(and_, same)).select("e.*", "earlier")
+    before = F.coalesce(F.lag("t").over(Window.partitionBy(*by, "slab").orderBy("t", key)), F.col("earlier"))
+    return e.select(*by, key, "t", (F.col("t") - before).alias("gap"))
+
+
 def changes(frames: DataFrame, frame: str, cell: list[str]) -> DataFrame:
     """(frame, cell): cells occupied in a frame but not in the one before. Frames are consecutive whole numbers."""
     now = frames.select(F.col(frame).cast("long").alias(frame), *cell).distinct()
