@@ -136,8 +136,8 @@ class Index:
         v /= np.sqrt(np.bincount(owner, v**2, len(examples)))[owner]
         return cls({w: i for i, (w, _) in enumerate(words)}, idf, np.array([e[1] for e in examples], np.int64), [e[0] for e in examples], term, v, np.append(0, np.cumsum(sizes)))
 
-    def __post_init__(self) -> None:
-        """Invert the vectors: `example` and `value` by term from `first` on; `blocks` (block, row, place) and their largest weights `most` (row, block) for the frequent terms, whose rows are in `dense`."""
+    def _invert(self) -> None:
+        """Before the first search, in the task that makes it: `example` and `value` by term from `first` on; `blocks` (block, row, place) and their largest weights `most` (row, block) for the frequent terms, whose rows are in `dense`."""
         owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
         order = np.argsort(self.term, kind="stable")
         self.example, self.value = owner[order], self.weight[order]
@@ -151,12 +151,13 @@ class Index:
         self.most = self.blocks.max(axis=2).T.copy()
 
     def __reduce__(self):
-        """Only the vectors are sent; tasks invert them again."""
+        """Only the vectors are sent."""
         return Index, (self.words, self.idf, self.labels, self.ids, self.term, self.weight, self.begin, self.curve, self.bare)
 
     @property
     def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each term: examples ascending, weights."""
+        self._invert()
         return [(self.example[a:b], self.value[a:b]) for a, b in zip(self.first[:-1], self.first[1:])]
 
     def search(self, bounds: np.ndarray, term: np.ndarray, count: np.ndarray, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
@@ -178,6 +179,8 @@ class Index:
                 own = bounds[a : a + TOGETHER + 1]
                 out += self._search(own - own[0], term[own[0] : own[-1]], w[own[0] : own[-1]], k, None if leave is None else leave[a : a + TOGETHER])
             return out
+        if not hasattr(self, "blocks"):
+            self._invert()
         n, n_blocks = len(bounds) - 1, len(self.blocks)
         row = np.repeat(np.arange(n), np.diff(bounds))
         dense = self.dense[term]
