@@ -153,9 +153,21 @@ def nearest_faces(tri: DataFrame, points: DataFrame, radius: float, point_id: st
         corner = [F.col(f"{c}{i}") for i in range(3)]
         t = t.withColumn(k, F.explode(F.sequence(F.floor((F.least(*corner) - radius) / radius), F.floor((F.greatest(*corner) + radius) / radius))))
     t = t.join(p.select(*key).distinct(), key, "left_semi")
-    d2 = g.point_triangle2(tuple(F.col(f"p{c}") for c in AXES), *(g.vec("", str(i)) for i in range(3)))
-    near = p.join(t, key).select(point_id, F.struct(d2.alias("d2"), F.col(face_id).alias("face")).alias("b")).filter(F.col("b.d2") <= radius * radius)
-    return near.groupBy(point_id).agg(F.min("b").alias("b")).select(point_id, F.col("b.face").alias(face_id), F.sqrt("b.d2").alias("distance"))
+    # In steps with named columns, so that nothing is computed twice and the code stays small enough to be compiled.
+    both, corner = p.join(t, key), [g.vec("", str(i)) for i in range(3)]
+    put = lambda df, name, v: df.withColumns({f"{name}{c}": x for c, x in zip(AXES, v)})
+    for i in range(3):
+        both = put(put(both, f"w{i}_", g.minus(g.vec("p"), corner[i])), f"e{i}_", g.minus(corner[(i + 1) % 3], corner[i]))
+    both = put(both, "n_", g.cross(g.vec("e0_"), g.minus((F.lit(0.0),) * 3, g.vec("e2_"))))
+    for i in range(3):
+        e, w = g.vec(f"e{i}_"), g.vec(f"w{i}_")
+        both = both.withColumns({f"in{i}": g.dot(g.cross(e, w), g.vec("n_")) >= 0, f"t{i}": F.least(F.greatest(g.dot(w, e) / g.dot(e, e), F.lit(0.0)), F.lit(1.0))})
+        gap = tuple(a - F.col(f"t{i}") * b for a, b in zip(w, e))
+        both = both.withColumn(f"s{i}", g.dot(gap, gap))
+    both = both.withColumns({"nn": g.dot(g.vec("n_"), g.vec("n_")), "h": g.dot(g.vec("w0_"), g.vec("n_"))})
+    d2 = F.when(F.col("in0") & F.col("in1") & F.col("in2") & (F.col("nn") > 0), F.col("h") * F.col("h") / F.col("nn")).otherwise(F.least("s0", "s1", "s2"))
+    near = both.select(point_id, F.struct(d2.alias("d2"), F.col(face_id).alias("face")).alias("b")).groupBy(point_id).agg(F.min("b").alias("b"))
+    return near.filter(F.col("b.d2") <= radius * radius).select(point_id, F.col("b.face").alias(face_id), F.sqrt("b.d2").alias("distance"))
 
 
 def _first_hit(both: DataFrame, d: tuple, face_id: str, near: float, far: float) -> DataFrame:

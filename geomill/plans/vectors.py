@@ -149,4 +149,4 @@ def model_residuals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adaptive_ransac_plane(spark: SparkSession, d: str) -> DataFrame:
-    return fit.adaptive_plane(points(spark, d), 20.5, most=256)
+    return fit.adaptive_plane(points(spark, d), 20.5, batch=64, most=256)
