@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The cluster's shared folder from spark.checkpoint.dir; one of its own only on a local master that names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="geomill-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,10 +31,15 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def _prefix(spark: SparkSession) -> str:
+    """Begins the names of this application's tables, and of no other's."""
+    return f"geomill-{spark.sparkContext.applicationId}-"
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/geomill-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{_prefix(spark)}{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,11 +68,11 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete the tables that `written` left in the shared folder, once no frame needs them; returns their number. For the end of a job."""
+    """Delete the tables that `written` left in the shared folder for this application, once no frame needs them; returns their number. For the end of a job."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("geomill-")] if fs.exists(path) else []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(_prefix(spark))] if fs.exists(path) else []
     for p in found:
         fs.delete(p, True)
     return len(found)
