@@ -9,7 +9,7 @@ from geomill.operators import fit, neighbors, numbering, rays, stencil, surface,
 from geomill.plans.clouds import _planes, SCORED
 from geomill.plans.registry import Registry
 from geomill.plans.tables import CLOUD, DEPTH, HEIGHT, POINTS, QUERIES, VOLUME, WIDTH, cloud, depth, points, queries, table, volume
-from geomill.plans.volumes import near_pixels
+from geomill.plans.volumes import SOBEL, near_pixels
 
 query = Registry()
 
@@ -191,3 +191,20 @@ def signed_distances(spark: SparkSession, d: str) -> DataFrame:
     at = s.select(key.alias("point_id"), *(F.col(f"p{c}").cast("double").alias(c) for c in "xyz"))
     q = v.select((F.col("x") + 32 * F.col("y") + 1024 * F.col("z").cast("long")).alias("query_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), "gray")
     return surface.signed_distance(at, q, 1200)
+
+
+HEAD, BODY = SOBEL.split(" SELECT s.x", 1)
+ENDS = "".join(f", e{c} AS (SELECT 0 AS o{c} UNION ALL SELECT 1)" for c in "xyz")
+
+
+@query(f"""{HEAD}, sobel AS (SELECT s.x{BODY}), g AS (SELECT x, y, z, gx / m AS nx, gy / m AS ny, gz / m AS nz FROM (SELECT *, sqrt(gx::DOUBLE * gx + gy::DOUBLE * gy + gz::DOUBLE * gz) AS m FROM sobel) WHERE m >= 5000),
+p AS (SELECT x, y, z, s, x + s * nx AS sx, y + s * ny AS sy, z + s * nz AS sz FROM g, (SELECT unnest(range(-3, 4)) AS s)){ENDS},
+c AS (SELECT x, y, z, s, floor(sx)::INT + ox AS cx, floor(sy)::INT + oy AS cy, floor(sz)::INT + oz AS cz, (CASE WHEN ox = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN oy = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE WHEN oz = 1 THEN sz - floor(sz) ELSE 1 - (sz - floor(sz)) END) AS w FROM p, ex, ey, ez),
+v AS (SELECT c.x, c.y, c.z, s, CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w * gray) END AS v FROM c JOIN volume o ON o.x = cx AND o.y = cy AND o.z = cz WHERE w > 0 GROUP BY 1, 2, 3, 4),
+every AS (SELECT g.x, g.y, g.z, nx, ny, nz, i.s, v FROM g CROSS JOIN (SELECT unnest(range(-3, 4)) AS s) i LEFT JOIN v ON v.x = g.x AND v.y = g.y AND v.z = g.z AND v.s = i.s),
+d AS (SELECT *, abs(lead(v) OVER o - lag(v) OVER o) / 2 AS d FROM every WINDOW o AS (PARTITION BY x, y, z ORDER BY s)),
+n AS (SELECT *, lag(d) OVER o AS l, lead(d) OVER o AS r FROM d WINDOW o AS (PARTITION BY x, y, z ORDER BY s))
+SELECT x, y, z, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(s + CASE WHEN l - 2 * d + r < 0 THEN (l - r) / (2 * (l - 2 * d + r)) ELSE 0 END, 5) AS place, round(d, 5) AS step FROM n WHERE d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY d DESC, abs(s), s DESC) = 1""")
+def gradient_profiles(spark: SparkSession, d: str) -> DataFrame:
+    p = rays.gradient_profiles(volume(spark, d), 5000)
+    return p.select("x", "y", "z", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")), F.round("offset", 5).alias("place"), F.round("step", 5).alias("step"))

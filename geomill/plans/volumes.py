@@ -175,7 +175,10 @@ def _near(expr: str, having: str = "") -> str:
     return f"WITH {VOLUME}, {offsets}, sent AS (SELECT x - i AS x, y - j AS y, z - k AS z, i, j, k, gray FROM volume, off) SELECT s.x, s.y, s.z, {expr} FROM sent s JOIN volume v ON s.x = v.x AND s.y = v.y AND s.z = v.z GROUP BY ALL {having}"
 
 
-@query(_near("sum(-i * (2 - abs(j)) * (2 - abs(k)) * s.gray)::BIGINT AS gx, sum(-j * (2 - abs(i)) * (2 - abs(k)) * s.gray)::BIGINT AS gy, sum(-k * (2 - abs(i)) * (2 - abs(j)) * s.gray)::BIGINT AS gz", "HAVING count(*) = 27"))
+SOBEL = _near("sum(-i * (2 - abs(j)) * (2 - abs(k)) * s.gray)::BIGINT AS gx, sum(-j * (2 - abs(i)) * (2 - abs(k)) * s.gray)::BIGINT AS gy, sum(-k * (2 - abs(i)) * (2 - abs(j)) * s.gray)::BIGINT AS gz", "HAVING count(*) = 27")
+
+
+@query(SOBEL)
 def sobel_gradient(spark: SparkSession, d: str) -> DataFrame:
     return stencil.sobel(volume(spark, d))
 
