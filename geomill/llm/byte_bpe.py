@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from geomill.llm.text import pieces
+from geomill.llm.text import pieces, thrifty
 
 
 class TreeCodec:
@@ -179,4 +179,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     out.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomill.llm.text import pieces
+from geomill.llm.text import pieces, thrifty
 from geomill.llm.suffix_dedup import text_key
 from geomill.llm.workspace import broadcast_if_small, written
 
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, vocab: dict[bytes, int], id_col: str = "doc_id"
                 one = lambda x: pa.array([x], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one((np.cumsum(size + 1) - size - 1).astype(np.int32)), one(size), one(terms.astype(np.int32)), one(counts.astype(np.int32)), pa.array([gaps.tobytes()])], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
 
 
 class Segment:
@@ -187,7 +187,7 @@ def search(index: DataFrame, phrases: Phrases, n_terms: int, id_col: str = "doc_
                 items = [sorted({p.items[i] for i in owner.get(d, ())}) for d in range(len(size))]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(6)[k].as_py()] * len(size), pa.int64()), pa.array(np.arange(len(size), dtype=np.int32)), ids, pa.array(size.astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], names=schema.names)
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(thrifty(run), schema)
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

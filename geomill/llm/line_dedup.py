@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.suffix_dedup import text_key
-from geomill.llm.text import Piece, pieces, word_spans
+from geomill.llm.text import Piece, pieces, thrifty, word_spans
 from geomill.llm.workspace import written
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -146,7 +146,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: i
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.binary()), part.column(1), *lists], names=schema.names)
 
-    return docs.select(text_key(text_col).alias("key"), F.col(id_col).alias("id"), text_col).mapInArrow(run, schema).filter(F.size("lows") > 0)
+    return docs.select(text_key(text_col).alias("key"), F.col(id_col).alias("id"), text_col).mapInArrow(thrifty(run), schema).filter(F.size("lows") > 0)
 
 
 def _gone(docs: DataFrame, id_col: str, text_col: str, unit: str, min_words: int) -> DataFrame:
@@ -209,7 +209,7 @@ def without_repeated_units(docs: DataFrame, unit: str = "sentence", min_words: i
                 base = piece.offsets[u.row]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(u.first), pa.int64()), spans(u, out, base), spans(u, ~out, base), pa.array([t.decode() for t in texts], pa.string())], names=schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(thrifty(cut), schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

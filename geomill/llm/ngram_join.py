@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.suffix_dedup import text_key
-from geomill.llm.text import mix, pieces, shingles, span_hashes, word_spans
+from geomill.llm.text import mix, pieces, shingles, span_hashes, thrifty, thrifty_group, word_spans
 from geomill.llm.workspace import broadcast_if_small, checkpointed, let_go, written
 
 WORDS, THRESHOLD = 5, 0.8
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, text_col: str, k: int, rows: int, bands: int) ->
                 columns = [pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), pa.array(np.diff(bounds), pa.int32()), pa.array([r.tobytes() for r in sign], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)).cast(pa.binary()), *columns], names=schema.names)
 
-    return docs.select(text_key(text_col).alias("key"), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(text_key(text_col).alias("key"), F.col(text_col)).mapInArrow(thrifty(run), schema)
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -306,7 +306,7 @@ def class_sets(docs: DataFrame, threshold: float, k: int, rows: int, bands: int,
         edge = np.array(found, np.int64).reshape(-1, 2)
         return pa.table([pa.array(ids[edge[:, 0]]), pa.array(ids[edge[:, 1]])], names=out.names)
 
-    return signed, sets, written(dealt.groupBy("kind", "group").applyInArrow(search, out))
+    return signed, sets, written(dealt.groupBy("kind", "group").applyInArrow(thrifty_group(search), out))
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, rows: int = ROWS, bands: int = BANDS, tolerance: float = TOLERANCE, step: int = STEP, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, meet: int = MEET, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -342,7 +342,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, rows: i
         some = np.flatnonzero(count)
         return pa.table([pa.array(np.concatenate([ids[some], ids[tree[:, 0]]])), pa.array(np.concatenate([ids[some], ids[tree[:, 1]]])), pa.array(np.concatenate([count[some], np.zeros(len(tree), np.int64)]))], names=out.names)
 
-    found = written(dealt.groupBy("kind", "group").applyInArrow(compare, out))
+    found = written(dealt.groupBy("kind", "group").applyInArrow(thrifty_group(compare), out))
     let_go(spark)
     tree = found.filter("a <> b").select("a", "b").distinct()
     joined = components(tree)
@@ -365,7 +365,7 @@ def _hashed(texts: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=schema.names)
 
-    return texts.select("text", *rest).mapInArrow(run, schema)
+    return texts.select("text", *rest).mapInArrow(thrifty(run), schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.labels import fold, sample
-from geomill.llm.text import pieces
+from geomill.llm.text import pieces, thrifty
 
 WIDTH, FILTERS, BLOCK = 6, 12, 64
 #: A chunk is four blocks, and the next one begins three blocks later.
@@ -172,7 +172,7 @@ def score(docs: DataFrame, net: Network, folds: int, held: int, id_col: str = "d
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(run, schema)
+    return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(thrifty(run), schema)
 
 
 def accepted(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -186,4 +186,4 @@ def accepted(docs: DataFrame, net: Network, text_col: str = "text", threshold: f
                 p = shared.value.score([piece.data[a:b] for a, b in zip(piece.offsets[:-1], piece.offsets[1:])])
                 yield batch.slice(piece.first, len(piece)).filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)

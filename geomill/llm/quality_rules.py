@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from geomill.llm.labels import sample
-from geomill.llm.text import Piece, codes, pieces, run_codes, word_spans
+from geomill.llm.text import Piece, codes, pieces, run_codes, thrifty, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -211,4 +211,4 @@ def judge(docs: DataFrame, field: Field, least_words: int = LEAST_WORDS, most_re
                 lead = np.searchsorted(d["owner"], np.arange(n + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, n), *(pa.array(d[c], pa.int64()) for c in longs), pa.array(failed), pa.array(kept), pa.array(share), pa.array([marks[a:b] for a, b in zip(lead[:-1], lead[1:])])], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)

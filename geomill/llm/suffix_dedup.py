@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomill.llm.text import Rolling, pieces
+from geomill.llm.text import Rolling, pieces, thrifty, thrifty_group
 from geomill.llm.workspace import broadcast_if_small, let_go, written
 
 LENGTH, GRAM = 200, 64
@@ -98,7 +98,7 @@ def all_runs(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFram
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in ((anchor, pa.int64()), (name, pa.int64()), (first, pa.int32()), (count, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)).cast(pa.binary()), *lists], names=schema.names)
 
-    return docs.select(text_key(text_col).alias("key"), text_col).mapInArrow(run, schema).filter(F.size("anchors") > 0)
+    return docs.select(text_key(text_col).alias("key"), text_col).mapInArrow(thrifty(run), schema).filter(F.size("anchors") > 0)
 
 
 def _rank(order: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, fie
                 out = [emit(a, m, view[f : f + c + length - 1]) for a, m, f, c in zip(anchor, name, first, count)]
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([o[j] for o in out]) for j in range(len(fields))], names=fields.names)
 
-    return texts.join(wanted, "key").select(F.col("text").cast("binary"), "runs").mapInArrow(run, fields)
+    return texts.join(wanted, "key").select(F.col("text").cast("binary"), "runs").mapInArrow(thrifty(run), fields)
 
 
 HELD = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bytes", T.BinaryType())])
@@ -216,7 +216,7 @@ def _by_array(held: DataFrame, buckets: int, length: int) -> DataFrame:
         return pa.table([pa.array(anchor), pa.array(name), *lists], names=out.names)
 
     dealt = held.withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(bucket, out).filter(F.size("lows") > 0)
+    return dealt.groupBy("bucket").applyInArrow(thrifty_group(bucket), out).filter(F.size("lows") > 0)
 
 
 def _ranges(flags: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +269,7 @@ def _by_longer_anchors(many: DataFrame, gram: int, length: int, bucket_bytes: in
                 parts += [(anchor, name, *p) for p in halves(at, count, low, high, memoryview(data), length)]
             yield shape(parts)
 
-    found, split = [], many.select(*HELD.names).mapInArrow(first, PART)
+    found, split = [], many.select(*HELD.names).mapInArrow(thrifty(first), PART)
     while True:
         parts = written(split)
         kinds = written(parts.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.first("count").alias("windows")))
@@ -283,7 +283,7 @@ def _by_longer_anchors(many: DataFrame, gram: int, length: int, bucket_bytes: in
         found.append(written(parts.join(marks, ["anchor", "name"]).select(F.col("run_anchor").alias("anchor"), F.col("run_name").alias("name"), moved("lows").alias("lows"), moved("highs").alias("highs"))))
         if many.isEmpty():
             break
-        split = many.mapInArrow(again, PART)
+        split = many.mapInArrow(thrifty(again), PART)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -348,7 +348,7 @@ def _cut(docs: DataFrame, marks: DataFrame, text_col: str, schema: T.StructType,
                     kept.append(text)
                 yield shape(part, np.diff(piece.offsets), spans, kept)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(thrifty(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -7,8 +7,9 @@ offsets, so hashes of words, lines and windows are array expressions.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +24,36 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function on a task's batches that gives freed memory back to the system in the end: Spark uses a Python worker again, in other stages too."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return own
+
+
+def thrifty_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function on a group."""
+
+    def own(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _give_back()
+        return out
+
+    return own
+
+
 @dataclass
 class Piece:
     """Rows [first, last) of a batch; `data` holds their bytes end to end."""

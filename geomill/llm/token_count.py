@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from geomill.llm.text import pieces
+from geomill.llm.text import pieces, thrifty
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
@@ -253,4 +253,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 size = np.diff(piece.offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(size), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomill.llm.labels import fold, sample
-from geomill.llm.text import pieces, ranges
+from geomill.llm.text import pieces, ranges, thrifty
 from geomill.llm.workspace import written
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -98,7 +98,7 @@ def vocabulary(rows: DataFrame, pos: int, neg: int) -> list[tuple[str, int, floa
                     n.update(own if wanted is None else own & wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-        found = rows.filter(F.col("label") == label).select("text").mapInArrow(count, "term string, n long")
+        found = rows.filter(F.col("label") == label).select("text").mapInArrow(thrifty(count), "term string, n long")
         table = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         return dict(zip(table.column("term").to_pylist(), table.column("n").to_pylist()))
 
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str =
             lists = [pa.array([v[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary()) for v in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["id", "label", "words", "counts"])
 
-    made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(vectors, "id string, label int, words binary, counts binary"))
+    made = written(rows.select(F.col("id").cast("string"), "text", "label").mapInArrow(thrifty(vectors), "id string, label int, words binary, counts binary"))
     bare = {r["label"]: r["count"] for r in made.filter(F.octet_length("words") == 0).groupBy("label").count().collect()}
     # By label, so that a block's largest weights are near those of its examples.
     found = made.filter(F.octet_length("words") > 0).toArrow()
@@ -334,7 +334,7 @@ def _votes(spark: SparkSession, index: Index) -> list[float | None]:
             votes = [ix.vote(found) if found else None for found in ix.others(int(own[0]), int(own[-1]) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["example", "vote"])
 
-    found = spark.range(0, n, 1, max(1, min(spark.sparkContext.defaultParallelism, n // TOGETHER))).mapInArrow(run, "example long, vote double").toArrow().sort_by("example")
+    found = spark.range(0, n, 1, max(1, min(spark.sparkContext.defaultParallelism, n // TOGETHER))).mapInArrow(thrifty(run), "example long, vote double").toArrow().sort_by("example")
     shared.unpersist()
     return found.column("vote").to_pylist()
 
@@ -368,4 +368,4 @@ def score(docs: DataFrame, index: Index, folds: int, held: int, id_col: str = "d
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([ix.ids[o[1][0][1]] if o[1] else None for o in out], pa.string()), terms, voters], names=schema.names)
 
-    return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(run, schema)
+    return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), text_col).mapInArrow(thrifty(run), schema)
