@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -19,7 +20,7 @@ SLAB_US = 86_400_000_000
 
 
 def nearest_time(left: DataFrame, right: DataFrame, by: list[str], time: str = "ts", key: str = "event_id", slab_us: int = SLAB_US) -> DataFrame:
-    """(by, left id, right id, gap_us): for each left row the right row nearest in time within its group; a tie keeps the earlier one.
+    """(by, left id, right id, gap_us): for each left row the right row nearest in time within its group; a tie keeps the earlier one, then the one of least id.
 
     Both sides are laid in one sequence, cut into slabs of time, where the last right row
     before and the first one after are window functions; a slab knows the last right row of
@@ -27,7 +28,8 @@ def nearest_time(left: DataFrame, right: DataFrame, by: list[str], time: str = "
     slabs, and there is no range join.
     """
     side = lambda df, is_left: df.select(*by, micros(F.col(time)).alias("t"), F.col(key).alias("k"), F.lit(is_left).alias("is_left"))
-    every = side(left, True).unionByName(side(right, False))
+    once = side(right, False).groupBy(*by, "t", "is_left").agg(F.min("k").alias("k"))
+    every = side(left, True).unionByName(once)
     every = every.withColumn("slab", F.floor(F.col("t") / slab_us))
     other = F.when(~F.col("is_left"), F.struct("t", "k"))
     ends = every.groupBy(*by, "slab").agg(F.max(other).alias("end"), F.min(other).alias("begin"))
@@ -44,36 +46,46 @@ def nearest_time(left: DataFrame, right: DataFrame, by: list[str], time: str = "
     return m.select(*by, F.col("k").alias("left_id"), F.when(pick_b, F.col("before.k")).otherwise(F.col("after.k")).alias("right_id"), F.when(pick_b, gap_b).otherwise(gap_a).alias("gap_us"))
 
 
-def stream_match(events: DataFrame, key: str, side: str, watermark: str = "10 minutes") -> DataFrame:
-    """Streaming form on (key, side 0/1, ts, event_id): a left row is published once a right row at or after it bounds the match; rows older than the watermark are not waited for."""
+def stream_match(events: DataFrame, key: str, side: str, watermark: str = "10 minutes", patience_ms: int = 600_000, unmatched: bool = False) -> DataFrame:
+    """Streaming form on (key, side 0/1, ts, event_id): a left row is published once a right row at or after it bounds the match.
+
+    If none comes until the watermark has passed the last batch's by `patience_ms`, it is
+    published with the last right row before it; if there is none it is left out, or with
+    `unmatched` published with nulls, as the batch form does. Rows older
+    than the watermark are not waited for. Of right rows at one time the least id counts.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         left, right = state.get if state.exists else ([], [])
-        left, right = [tuple(v) for v in left], [tuple(v) for v in right]
+        left, right = [tuple(v) for v in left], {t: i for t, i in right}
         for f in frames:
-            for is_right, t, i in zip(f[side], f["ts"].astype("int64") // 1000, f["event_id"]):
-                (right if is_right else left).append((int(t), int(i)))
+            for is_right, t, i in zip(f[side].tolist(), (f["ts"].astype("int64") // 1000).tolist(), f["event_id"].tolist()):
+                if is_right:
+                    right[t] = min(i, right.get(t, i))
+                else:
+                    left.append((t, i))
         left.sort()
-        right.sort()
+        times = sorted(right)
         out, wait = [], []
         for t, i in left:
-            later = [r for r in right if r[0] >= t]
-            if not later and not state.hasTimedOut:
+            at = bisect_left(times, t)
+            if at == len(times) and not state.hasTimedOut:
                 wait.append((t, i))
                 continue
-            near = min(right, key=lambda r: (abs(r[0] - t), r[0]), default=None)
+            near = min(times[max(at - 1, 0) : at + 1], key=lambda r: (abs(r - t), r), default=None)
             if near is not None:
-                out.append((k[0], i, near[1], abs(near[0] - t)))
-        floor = wait[0][0] if wait else (right[-1][0] if right else 0)
-        older = [r for r in right if r[0] < floor][-1:]
-        right = older + [r for r in right if r[0] >= floor]
+                out.append((k[0], i, right[near], abs(near - t)))
+            elif unmatched:
+                out.append((k[0], i, None, None))
         if state.hasTimedOut:
             state.remove()
         else:
-            state.update(([list(v) for v in wait], [list(v) for v in right]))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(mark, 0) + 600_000)
-        yield pd.DataFrame(out, columns=[key, "left_id", "right_id", "gap_us"])
+            # What a later left row can still need: the last right row before the first that waits, and all after it.
+            floor = wait[0][0] if wait else (times[-1] if times else 0)
+            held = times[max(bisect_left(times, floor) - 1, 0) :]
+            state.update(([list(v) for v in wait], [[t, right[t]] for t in held]))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + patience_ms)
+        yield pd.DataFrame(out, columns=[key, "left_id", "right_id", "gap_us"]).astype({"right_id": "Int64", "gap_us": "Int64"})
 
     kind = dict(events.dtypes)[key]
     return events.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, left_id long, right_id long, gap_us long", "left array<array<long>>, right array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
