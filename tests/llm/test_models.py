@@ -268,6 +268,15 @@ def test_far_hosts_and_many_seeds(spark):
         assert abs(rows[f"h{i}.net"].distrust - want) <= 1e-6 * want
 
 
+def test_url_filter_of_odd_rows(spark):
+    """Repeated rows, null ids and columns named like the result's."""
+    rows = [(1, "http://a.com/fr/", "<a href='//b.net'>"), (1, "http://a.com/fr/", "<a href='//b.net'>"), (None, "http://b.net/x", None), (2, None, "<a href='//c.net'>")]
+    df = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in rows], "page_id int, url string, html string, host string, verdict string, rule string, rank int")
+    got = sorted((str(r.page_id), r.host, r.rule, r.verdict) for r in url_filter.judge(df).collect())
+    assert got == [("1", "a.com", "com/fr/", "allow"), ("1", "a.com", "com/fr/", "allow"), ("2", "", None, "allow"), ("None", "b.net", None, "allow")]
+    assert {(r.src, r.dst): r.n for r in url_filter.links(df).collect()} == {("a.com", "b.net"): 2}
+
+
 def test_url_filter_is_native(spark, sf_dir):
     df = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rounds=1)
     plan = df._jdf.queryExecution().toString()
