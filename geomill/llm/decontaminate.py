@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geomill.llm.text import pieces, thrifty
+from geomill.llm.text import pieces, ranges, thrifty
 from geomill.llm.suffix_dedup import text_key
 from geomill.llm.workspace import broadcast_if_small, written
 
@@ -65,6 +65,17 @@ class Phrases:
         for row, w in zip(self.matrix, self.windows):
             row[: len(w)] = w
         self.n_terms = len(vocab)
+        # Each window is listed under its term that the fewest windows have: a segment without it needn't look at the window.
+        held = self.matrix >= 0
+        often = np.append(np.bincount(self.matrix[held], minlength=self.n_terms), np.iinfo(np.int64).max)
+        lead = self.matrix[np.arange(len(self.matrix)), often[self.matrix].argmin(axis=1)]
+        self.listed = np.argsort(lead, kind="stable")
+        self.first = np.searchsorted(lead[self.listed], np.arange(self.n_terms + 1))
+
+    def possible(self, terms: np.ndarray) -> np.ndarray:
+        """Windows whose rarest term is among the terms."""
+        own = terms[terms < self.n_terms]
+        return self.listed[ranges(self.first[own], self.first[own + 1])]
 
 
 def blocks(items: DataFrame, size: int, vocab: dict[bytes, int], id_col: str, text_col: str, limit: int = BLOCK_BYTES, most: int = ITEM_BYTES) -> Iterator[Phrases]:
@@ -166,7 +177,8 @@ def search(index: DataFrame, phrases: Phrases, n_terms: int, id_col: str = "doc_
                 seg = Segment(terms, counts, batch.column(5)[k].as_py(), n_terms)
                 edge = np.zeros(int(size.sum()) + len(size) + 1, np.int32)
                 owner: dict[int, set[int]] = {}
-                for w in np.flatnonzero((seg.count[p.matrix] > 0).all(axis=1)).tolist():
+                some = p.possible(terms)
+                for w in some[(seg.count[p.matrix[some]] > 0).all(axis=1)].tolist():
                     if slop:
                         first, last = seg.near(p.windows[w], slop)
                     else:
