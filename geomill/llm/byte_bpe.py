@@ -145,6 +145,11 @@ class TreeCodec:
             known[m] = ids[0].to_bytes(4, "little") if len(ids) == 1 else np.array(ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, found))
 
+    def forget(self) -> None:
+        """Empty the memo tables, which other stages' tasks of the same worker don't need."""
+        for known in (self.parts, self.windows, self.matches):
+            known.clear()
+
     def decode(self, ids: bytes, leaf: int = 4096) -> bytes:
         """Bytes of the tokens, concatenated pairwise up the tree."""
         numbers = np.frombuffer(ids, "<u4").tolist()
@@ -178,5 +183,6 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 if with_ids:
                     out.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        codec.forget()
 
     return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
