@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomill.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_count, toxicity, url_filter
+from geomill.llm import bloom_lines, byte_bpe, centroid_clusters, decontaminate, line_dedup, merkle, ngram_join, quality_cnn, quality_rules, suffix_dedup, token_count, toxicity, url_filter
 from geomill.llm.workspace import small_batches
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,5 +62,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_byte_bpe, op5_quality_classifier, op6_quality_rules, op7_url_filter, op8_ngram_join, op9_line_dedup, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE_SQL}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.summary(*centroid_clusters.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lines.digest(bloom_lines.without_frequent_lines(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_proof(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_byte_bpe, op5_quality_classifier, op6_quality_rules, op7_url_filter, op8_ngram_join, op9_line_dedup, op10_suffix_dedup, op11_centroid_clusters, op12_bloom_lines, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE_SQL, "op11_centroid_clusters": centroid_clusters.ORACLE_SQL, "op12_bloom_lines": bloom_lines.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}
