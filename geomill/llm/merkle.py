@@ -5,8 +5,8 @@ Leaves are SHA-256 of a row's fields (each its UTF-8 byte count, a colon and the
 node is left, every run of `FAN` consecutive ones becomes the hash of their hexadecimal digests.
 The roots of the sources, in order of the sources, give the root of all in the same way.
 
-Checkpoint and recompute: of the interior nodes only every third level is stored, so a
-stored node covers an aligned subtree of `SPAN` = 16^3 stored ones below. Building groups the
+Checkpoint and recompute: of the interior nodes only every `LEVELS`-th level is stored, so a
+stored node covers an aligned subtree of 16^3 stored ones below. Building groups the
 stored nodes by subtree and writes one node each. Proofs come from the top down: a subtree
 meets the siblings of its own root, makes its missing inner levels again from its stored
 nodes, gives every one of these its siblings within the subtree and those above, and forgets the
@@ -32,7 +32,6 @@ from geomill.llm.text import thrifty_group
 from geomill.llm.workspace import written
 
 FAN, LEVELS = 16, 3
-SPAN = FAN**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows are tampered with where this divides the CRC-32 of their id.
 TAMPER = 5
@@ -47,10 +46,10 @@ def leaf(fields: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text)), 256)
 
 
-def inner_levels(nodes: list[str], high: bool) -> list[list[str]]:
-    """Levels of one subtree from its stored nodes up to a single node; a subtree of a higher tree has all its levels, even of single nodes."""
+def inner_levels(nodes: list[str], total: int, depth: int) -> list[list[str]]:
+    """Levels of one subtree from its stored nodes up to a single node; in a tree of more nodes than a subtree holds it has all `depth` levels, even of single nodes."""
     levels = [nodes]
-    while len(levels[-1]) > 1 or (high and len(levels) <= LEVELS):
+    while len(levels[-1]) > 1 or (total > FAN**depth and len(levels) <= depth):
         low = levels[-1]
         levels.append([_hash(low[i : i + FAN]) for i in range(0, len(low), FAN)])
     return levels
@@ -91,65 +90,66 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return near.withColumn("pos", F.col("at") + F.col("shift")).drop("g", "p", "shift", "at", "part")
 
 
-def checkpoints(nodes: DataFrame) -> list[DataFrame]:
+def checkpoints(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """The stored levels (grp, pos, total, digest), from the given one up to a node for each tree."""
     schema = T.StructType([nodes.schema[c] for c in ("grp", "pos", "total", "digest")])
+    span = FAN**depth
 
     def up(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         total = table["total"][0].as_py()
-        top = inner_levels(table["digest"].to_pylist(), total > SPAN)[-1]
+        top = inner_levels(table["digest"].to_pylist(), total, depth)[-1]
         one = table.slice(0, 1)
-        return pa.table([one["grp"], pa.array([one["pos"][0].as_py() // SPAN], pa.int64()), pa.array([-(-total // SPAN)], pa.int64()), pa.array(top)], names=schema.names)
+        return pa.table([one["grp"], pa.array([one["pos"][0].as_py() // span], pa.int64()), pa.array([-(-total // span)], pa.int64()), pa.array(top)], names=schema.names)
 
     stored = [nodes]
     while True:
         low = stored[-1].select("grp", "pos", "total", "digest")
-        stored.append(written(low.groupBy("grp", F.floor(F.col("pos") / SPAN).alias("block")).applyInArrow(thrifty_group(up), schema)))
+        stored.append(written(low.groupBy("grp", F.floor(F.col("pos") / span).alias("block")).applyInArrow(thrifty_group(up), schema)))
         if not stored[-1].filter("total > 1").limit(1).count():
             return stored
 
 
-def _met(paths: DataFrame, nodes: DataFrame, run, schema: T.StructType) -> DataFrame:
+def _met(paths: DataFrame, nodes: DataFrame, depth: int, run, schema: T.StructType) -> DataFrame:
     """Each subtree of stored nodes with the one row of its root's path."""
-    below = nodes.withColumn("block", F.floor(F.col("pos") / SPAN)).groupBy("grp", "block")
+    below = nodes.withColumn("block", F.floor(F.col("pos") / FAN**depth)).groupBy("grp", "block")
     return paths.groupBy("grp", "pos").cogroup(below).applyInArrow(run, schema)
 
 
-def paths_down(paths: DataFrame, stored: Sequence[DataFrame]) -> DataFrame:
+def paths_down(paths: DataFrame, stored: Sequence[DataFrame], depth: int) -> DataFrame:
     """(grp, pos, left, right, subroot) of the nodes of the lowest stored level given, from those of the trees' roots."""
 
     def down(path: pa.Table, table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        levels = inner_levels(table["digest"].to_pylist(), table["total"][0].as_py() > SPAN)
+        levels = inner_levels(table["digest"].to_pylist(), table["total"][0].as_py(), depth)
         own = [siblings(levels, i) for i in range(table.num_rows)]
         upper = path.to_pylist()[0]
         return pa.table([table["grp"], table["pos"], pa.array([a + upper["left"] for a, _ in own], pa.list_(pa.string())), pa.array([b + upper["right"] for _, b in own], pa.list_(pa.string())), pa.array([upper["subroot"]] * table.num_rows, pa.string())], names=path.schema.names)
 
     for nodes in reversed(stored):
-        paths = written(_met(paths, nodes.select("grp", "pos", "total", "digest"), down, paths.schema))
+        paths = written(_met(paths, nodes.select("grp", "pos", "total", "digest"), depth, down, paths.schema))
     return paths
 
 
-def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc_id", group: str = "source", tampered: Column | None = None, when: Column | None = None, with_siblings: bool = False) -> DataFrame:
+def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc_id", group: str = "source", tampered: Column | None = None, when: Column | None = None, with_siblings: bool = False, depth: int = LEVELS) -> DataFrame:
     """(id, leaf, subroot, root, proof_sha256, folded_root, verified) for each row.
 
     `tampered` is what the last field becomes where `when` holds: the proof is checked
     against the row as it then is. With `with_siblings` the proof itself follows as
-    `left` and `right`, the digests beside each node of the path, joined.
+    `left` and `right`, the digests beside each node of the path, joined. Every `depth`-th level is stored.
     """
     *most, last = (F.col(c) for c in fields)
     other = F.when(when, leaf([*most, tampered])) if when is not None else F.lit(None).cast("string")
     leaves = written(rows.select(F.col(group).cast("string").alias("grp"), F.col(id_col).alias("id"), leaf([*most, last]).alias("digest"), other.alias("other")))
-    tree = checkpoints(written(numbered(leaves, "grp", ("id", "digest"))))
+    tree = checkpoints(written(numbered(leaves, "grp", ("id", "digest"))), depth)
     subroots = tree[-1].select(F.col("grp").alias("name"), "digest", F.lit(0).alias("grp"))
-    top = checkpoints(written(numbered(subroots, "grp", ("name",))))
+    top = checkpoints(written(numbered(subroots, "grp", ("name",))), depth)
     found = top[-1].first()
     root = found["digest"] if found else None
     array = F.array().cast("array<string>")
     above = top[-1].select("grp", "pos", array.alias("left"), array.alias("right"), F.lit("").alias("subroot"))
-    ends = paths_down(above, top[:-1]).alias("p").join(top[0].alias("t"), "pos").select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("pos"), "left", "right", F.col("digest").alias("subroot"))
-    paths = paths_down(written(ends), tree[1:-1])
+    ends = paths_down(above, top[:-1], depth).alias("p").join(top[0].alias("t"), "pos").select(F.col("name").alias("grp"), F.lit(0).cast("long").alias("pos"), "left", "right", F.col("digest").alias("subroot"))
+    paths = paths_down(written(ends), tree[1:-1], depth)
     more = [T.StructField(c, T.ArrayType(T.StringType())) for c in ("left", "right")] if with_siblings else []
     texts = [T.StructField(c, T.StringType()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")]
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), *texts, T.StructField("verified", T.BooleanType()), *more])
@@ -157,7 +157,7 @@ def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
     def prove(path: pa.Table, table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         nodes, given = table["digest"].to_pylist(), table["other"].to_pylist()
-        levels, upper = inner_levels(nodes, table["total"][0].as_py() > SPAN), path.to_pylist()[0]
+        levels, upper = inner_levels(nodes, table["total"][0].as_py(), depth), path.to_pylist()[0]
         out: list[tuple] = []
         for i, (node, changed) in enumerate(zip(nodes, given)):
             left, right = (a + upper[c] for a, c in zip(siblings(levels, i), ("left", "right")))
@@ -167,13 +167,13 @@ def manifest(rows: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
         return pa.table([table["id"], *(pa.array(v, f.type) for v, f in zip(zip(*out), result))], names=schema.names)
 
     result = [pa.field(f.name, {"boolean": pa.bool_(), "string": pa.string()}.get(f.dataType.simpleString(), pa.list_(pa.string()))) for f in schema.fields[1:]]
-    return _met(paths, tree[0].select("grp", "pos", "total", "digest", "id", "other"), prove, schema)
+    return _met(paths, tree[0].select("grp", "pos", "total", "digest", "id", "other"), depth, prove, schema)
 
 
-def tamper_proof(rows: DataFrame) -> DataFrame:
+def tamper_proof(rows: DataFrame, depth: int = LEVELS) -> DataFrame:
     """The manifest of documents whose texts are lower-cased (A-Z) where `TAMPER` divides the CRC-32 of the id."""
     changed = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return manifest(rows, tampered=changed, when=F.crc32(F.col("doc_id").cast("string")) % TAMPER == 0)
+    return manifest(rows, tampered=changed, when=F.crc32(F.col("doc_id").cast("string")) % TAMPER == 0, depth=depth)
 
 
 def _field(c: str) -> str:
