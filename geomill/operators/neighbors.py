@@ -1,4 +1,4 @@
-"""Neighbour joins in three dimensions on a grid of cells.
+"""Neighbour joins in three dimensions: radius joins on a grid of cells, nearest neighbours on a k-d partition.
 
 A radius join is an equi-join on cells: each query is sent to the cells that its ball can
 touch, points stay in their own. The cell is as wide as the largest radius, so a query
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geomill.operators import kd
 from geomill.operators.filters import finite
 from geomill.operators.graph import cut
 
@@ -34,41 +35,14 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, per_query:
     return q.join(p, ["cx", "cy", "cz"]).withColumn("d2", d2).filter(hit).select(query_id, point_id, "d2")
 
 
-def capped(found: DataFrame, most: int, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
-    """At most `most` neighbours for each query, nearest first, ties by id."""
-    w = Window.partitionBy(query_id).orderBy("d2", point_id)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+def knn(points: DataFrame, queries: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, point_id, d2, rank): the k nearest points, ties by id, on a partition that follows the points' density. Points and queries with non-finite coordinates have no row."""
+    return kd.knn(points.filter(finite(*AXES)), queries.filter(finite(*AXES)), k, point_id, query_id)
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, point_id: str = "point_id", query_id: str = "query_id", start: float | None = None) -> DataFrame:
-    """(query_id, point_id, d2, rank): the k nearest points, ties by id.
-
-    Radius joins widen for the queries that still have fewer than k points within the
-    radius; the first radius follows from the cloud's density, so few queries need more.
-    Each round is checkpointed. Points and queries with non-finite coordinates have no row.
-    """
-    points, queries = points.filter(finite(*AXES)), queries.filter(finite(*AXES))
-    box = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if not box["n"]:
-        return capped(radius_join(points, queries, 1.0, point_id=point_id, query_id=query_id), k, point_id, query_id)
-    side = [max(box[f"hi{c}"] - box[f"lo{c}"], 1e-9) for c in AXES]
-    far = queries.agg(*(f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    reach = sum((max(box[f"hi{c}"], far[f"hi{c}"] or 0) - min(box[f"lo{c}"], far[f"lo{c}"] or 0)) ** 2 for c in AXES) ** 0.5 + 1.0
-    radius = start or 1.3 * (side[0] * side[1] * side[2] * (k + 1) / box["n"]) ** (1 / 3)
-    left, done = queries, None
-    while True:
-        radius = min(radius, reach)
-        found = capped(radius_join(points, left, radius, point_id=point_id, query_id=query_id), k, point_id, query_id)
-        found = cut(found)
-        full = found.filter(F.col("rank") == k).select(query_id)
-        part = found.join(full, query_id, "left_semi") if radius < reach else found
-        done = part if done is None else done.unionByName(part)
-        if radius >= reach:
-            return done
-        left = cut(left.join(full, query_id, "left_anti"))
-        if left.isEmpty():
-            return done
-        radius *= 2
+def capped_radius_join(points: DataFrame, queries: DataFrame, radius: float, most: int, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, point_id, d2, rank): at most `most` points with d2 < r2, nearest first, ties by id; no more of a ball's points are made into rows."""
+    return kd.knn(points.filter(finite(*AXES)), queries.filter(finite(*AXES)), most, point_id, query_id, within=radius * radius)
 
 
 def approximate_nearest(points: DataFrame, queries: DataFrame, size: float, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:

@@ -106,7 +106,7 @@ def radius_search_subset(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{PAIRS} SELECT query_id, point_id, d2 FROM pairs WHERE d2 < 60 * 60 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) <= 3")
 def radius_search_capped(spark: SparkSession, d: str) -> DataFrame:
-    return neighbors.capped(neighbors.radius_join(points(spark, d), queries(spark, d), 60), 3).select("query_id", "point_id", "d2")
+    return neighbors.capped_radius_join(points(spark, d), queries(spark, d), 60, 3).select("query_id", "point_id", "d2")
 
 
 @query(f"{PAIRS} SELECT query_id, point_id, d2 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, point_id) = 1")
