@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geomill.functions.time import micros
 from geomill.plans.registry import Registry
 from geomill.plans.tables import table
-from geomill.streaming import match
+from geomill.streaming import match, state
 
 query = Registry()
 
@@ -35,3 +35,12 @@ def windowed_histogram(spark: SparkSession, d: str) -> DataFrame:
 def frame_intervals(spark: SparkSession, d: str) -> DataFrame:
     e = match.gaps(table(spark, d, "events"), ["user_id"])
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"))
+
+
+@query("""WITH e AS (SELECT floor(value / 25)::BIGINT AS cell, epoch_us(ts) AS t, floor(value)::BIGINT AS amount FROM events),
+g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY cell ORDER BY t) > 600000000, TRUE) AS opens FROM e),
+v AS (SELECT *, sum(opens::INT) OVER (PARTITION BY cell ORDER BY t RANGE UNBOUNDED PRECEDING) AS visit FROM g)
+SELECT cell, min(t) AS first_us, max(t) AS last_us, count(*) AS n, sum(amount)::BIGINT AS total FROM v GROUP BY cell, visit""")
+def moving_volume(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("cell", F.floor(F.col("value") / 25))
+    return state.visits(e, ["cell"], "value", 600_000_000)
