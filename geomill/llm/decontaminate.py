@@ -26,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +38,10 @@ from geomill.llm.workspace import broadcast_if_small, written
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of text that one index segment covers, unless a single document is longer.
 SEGMENT_BYTES = 4 << 20
-#: Bytes of item text that one block of queries may hold.
-BLOCK_BYTES = 16 << 20
-#: Bytes of item text that the words of all blocks may come from; more is refused.
-ITEM_BYTES = 512 << 20
+#: Bytes of item text that one block of queries may hold; the driver holds about 70 times as many for one block at a time.
+BLOCK_BYTES = 4 << 20
+#: Distinct words of all items, held by the driver and by each task that builds the index (some 250 MB); more are refused.
+MOST_WORDS = 2_000_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -78,19 +79,31 @@ class Phrases:
         return self.listed[ranges(self.first[own], self.first[own + 1])]
 
 
-def blocks(items: DataFrame, size: int, vocab: dict[bytes, int], id_col: str, text_col: str, limit: int = BLOCK_BYTES, most: int = ITEM_BYTES) -> Iterator[Phrases]:
-    """Items in blocks of bounded bytes, fetched one block at a time; `vocab` gains their words."""
-    block, held, total = [], 0, 0
+def vocabulary(items: DataFrame, text_col: str, most: int = MOST_WORDS) -> tuple[dict[bytes, int], int]:
+    """Numbers of the words of all items, and the bytes of their texts."""
+    vocab: dict[bytes, int] = {}
+    total = 0
+    for row in items.select(text_col).toLocalIterator():
+        text = (row[0] or "").encode()
+        total += len(text)
+        for w in words(text):
+            vocab.setdefault(w, len(vocab))
+        if len(vocab) > most:
+            raise ValueError(f"the items have more than {most} distinct words; split the item table")
+    return vocab, total
+
+
+def blocks(items: DataFrame, size: int, vocab: dict[bytes, int], id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> Iterator[Phrases]:
+    """Items in blocks of bounded bytes, fetched and made into windows one block at a time."""
+    block, held = [], 0
     for row in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
         block.append((row[0], row[1]))
-        held += len(row[1] or "")
-        total += len(row[1] or "")
-        if total > most:
-            raise ValueError(f"the items exceed {most} bytes; split the item table")
+        held += len((row[1] or "").encode())
         if held >= limit:
             yield Phrases(block, size, vocab)
             block, held = [], 0
-    yield Phrases(block, size, vocab)
+    if block:
+        yield Phrases(block, size, vocab)
 
 
 def build_index(docs: DataFrame, vocab: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,11 +175,12 @@ class Segment:
         return first[ok], last[ok]
 
 
-def search(index: DataFrame, phrases: Phrases, n_terms: int, id_col: str = "doc_id", slop: int = 0) -> DataFrame:
-    """(segment, nth, id, n_words, items, spans) for each document: the sorted items found and the merged word ranges they cover."""
+def search(index: DataFrame, phrases: Phrases, n_terms: int, id_col: str = "doc_id", slop: int = 0) -> tuple[DataFrame, Broadcast]:
+    """(segment, nth, id, n_words, items, spans) for each document: the sorted items found and the merged word ranges they cover; and the broadcast windows, for the caller to drop when the frame is done with."""
     span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("nth", T.IntegerType()), T.StructField(id_col, index.schema["ids"].dataType.elementType), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
     shared = index.sparkSession.sparkContext.broadcast(phrases)
+    del phrases
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -199,19 +213,27 @@ def search(index: DataFrame, phrases: Phrases, n_terms: int, id_col: str = "doc_
                 items = [sorted({p.items[i] for i in owner.get(d, ())}) for d in range(len(size))]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(6)[k].as_py()] * len(size), pa.int64()), pa.array(np.arange(len(size), dtype=np.int32)), ids, pa.array(size.astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], names=schema.names)
 
-    return index.mapInArrow(thrifty(run), schema)
+    return index.mapInArrow(thrifty(run), schema), shared
 
 
 def find_items(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, n_words, items, spans) for each document, over all items.
 
-    With more than one block of items, documents are told apart by the segment number
-    stored with the index, and the blocks' findings are united per document.
+    Each block of items is made into windows, broadcast, searched and its findings written
+    before the next; documents are told apart by the segment number stored with the index,
+    and the blocks' findings are united per document.
     """
-    vocab: dict[bytes, int] = {}
-    asked = list(blocks(items, size, vocab, item_id, item_text))
+    vocab, total = vocabulary(items, item_text)
     index = written(build_index(docs, vocab, id_col, text_col).withColumn("segment", F.monotonically_increasing_id()))
-    found = [search(index, phrases, len(vocab), id_col, slop) for phrases in asked]
+    found: list[DataFrame] = []
+    asked = blocks(items, size, vocab, item_id, item_text)
+    single = total < blocks.__defaults__[0]
+    while (phrases := next(asked, None)) is not None or not found:
+        part, shared = search(index, phrases or Phrases([], size, vocab), len(vocab), id_col, slop)
+        del phrases
+        found.append(part if single else written(part))
+        if not single:
+            shared.destroy()
     every = found[0]
     if len(found) > 1:
         for f in found[1:]:

@@ -1,7 +1,9 @@
 import collections
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pytest
@@ -38,7 +40,7 @@ def _hits(docs, items, size=10):
 @pytest.mark.parametrize("block", [None, 300])
 def test_decontamination_is_brute_force(docs, items, odd, spark, monkeypatch, block):
     if block:
-        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block, 1 << 30))
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block,))
     extra = spark.createDataFrame([(900, "passage3 shared passage4 SHARED"), (901, None), (902, "  "), (903, "one two three")], "item_id long, text string")
     every = items.select("item_id", "text").unionByName(extra.selectExpr(f"cast(item_id as {dict(items.dtypes)['item_id']}) as item_id", "text"))
     for df in (docs, odd):
@@ -46,6 +48,29 @@ def test_decontamination_is_brute_force(docs, items, odd, spark, monkeypatch, bl
         assert got == _hits([(r.doc_id, r.text) for r in df.collect()], [tuple(r) for r in every.collect()])
 
 
+def test_blocks_are_held_one_at_a_time(docs, items, spark, monkeypatch):
+    alive, most, made = weakref.WeakSet(), [0], [0]
+
+    begin = decontaminate.Phrases.__init__
+
+    def counted(self, *args):
+        gc.collect()
+        most[0], made[0] = max(most[0], len(alive) + 1), made[0] + 1
+        alive.add(self)
+        begin(self, *args)
+
+    texts = items.select("item_id", "text").limit(30).collect()
+    few = spark.createDataFrame(texts, items.select("item_id", "text").schema).coalesce(1)
+    want = sorted(map(tuple, decontaminate.digest(decontaminate.find_items(docs, few)).collect()), key=str)
+    monkeypatch.setattr(decontaminate.Phrases, "__init__", counted)
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (sum(len(r.text.encode()) for r in texts) // 3 + 1,))
+    got = decontaminate.digest(decontaminate.find_items(docs, few))
+    assert (made[0], most[0]) == (3, 1)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    with pytest.raises(ValueError, match="distinct words"):
+        decontaminate.vocabulary(items, "text", 10)
+
+
 def test_decontamination_of_nothing(docs, items, none):
     assert decontaminate.find_items(none, items).count() == 0
     rows = decontaminate.digest(decontaminate.find_items(docs, items.limit(0))).collect()
