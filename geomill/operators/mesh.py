@@ -201,3 +201,34 @@ def mesh_components(faces: DataFrame) -> DataFrame:
     e = edges(faces)
     nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
     return components(nodes, e)
+
+
+def along_normals(tri: DataFrame) -> DataFrame:
+    """(face_id, v0, v1, v2): faces with corners and the normal (nx, ny, nz) of their first vertex; those whose own normal points against it have first and last vertex exchanged."""
+    against = _dot(_cross(_minus(_at(1), _at(0)), _minus(_at(2), _at(1))), tuple(F.col(f"n{c}") for c in AXES)) < 0
+    ends = lambda a, b: F.when(against, F.col(b)).otherwise(F.col(a))
+    return tri.select("face_id", ends("v0", "v2").alias("v0"), "v1", ends("v2", "v0").alias("v2"))
+
+
+def oriented(faces: DataFrame) -> DataFrame:
+    """(face_id, v0, v1, v2, flipped, component, orientable): faces turned so that neighbours run along their shared edge in opposite directions.
+
+    Each face has two sides, and an edge of exactly two faces joins their sides: like sides if they run
+    along it in opposite directions, unlike ones else. The components of this graph of sides
+    give for each face the side that agrees with the face of least id in its component (`component`), which
+    stays as it is. If both sides of a face are connected, as on a strip with one twist, its component
+    can't be oriented and stays as it is. Edges of three and more faces join none.
+    """
+    from geomill.operators.graph import components, cut
+
+    runs = F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))))
+    half = faces.select("face_id", F.inline(runs)).filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), F.struct("face_id", (F.col("a") < F.col("b")).alias("up")).alias("half"))
+    pair = half.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("f"), F.max("half").alias("g")).filter("n = 2 AND f.face_id <> g.face_id")
+    turned = (F.col("f.up") == F.col("g.up")).cast("long")
+    sides = F.array(*(F.struct((2 * F.col("f.face_id") + s).alias("a"), (2 * F.col("g.face_id") + (turned if s == 0 else 1 - turned)).alias("b")) for s in (0, 1)))
+    ids = faces.select(F.explode(F.array(2 * F.col("face_id"), 2 * F.col("face_id") + 1)).alias("id"))
+    found = components(ids, pair.select(F.inline(sides)))
+    label = found.groupBy(F.floor(F.col("id") / 2).alias("face_id")).agg(F.max(F.when(F.col("id") % 2 == 0, F.col("component"))).alias("own"), F.max(F.when(F.col("id") % 2 == 1, F.col("component"))).alias("other"))
+    known = cut(label.select("face_id", (F.col("own") > F.col("other")).alias("flipped"), F.floor(F.least("own", "other") / 2).alias("component"), (F.col("own") != F.col("other")).alias("orientable")))
+    ends = lambda a, b: F.when(F.col("flipped"), F.col(b)).otherwise(F.col(a))
+    return faces.join(known, "face_id").select("face_id", ends("v0", "v2").alias("v0"), "v1", ends("v2", "v0").alias("v2"), "flipped", "component", "orientable")

@@ -6,6 +6,8 @@ sums them: a single shuffle with map-side combining instead of 26 joins.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,19 +83,49 @@ def integral_image(image: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return row.select(*by, "x", "y", F.sum("r").over(Window.partitionBy(*by, "x").orderBy("y")).alias("total"))
 
 
-def band_labels(volume: DataFrame, iso: int, spread_by: int, rounds: int) -> DataFrame:
-    """(x, y, z, label): F over iso + range, B under iso - range, and their dilations DF and DB by `rounds` steps into the rest; a voxel reached by both in one round is D."""
+def band_labels(volume: DataFrame, dims: tuple[int, int, int], iso: int, spread: int, band: int) -> DataFrame:
+    """(x, y, z, label): the band of voxels around gray = iso, as definite or probable background or foreground (DB, PB, PF, DF), null elsewhere.
+
+    Voxels of gray = iso are PF and begin; in each of `band` rounds those reached in the last one
+    reach their 26 neighbours, except voxels on the volume's outer layer, which reach none. What is reached
+    is labelled by its gray: DB under iso - spread, PB from there to iso, PF from iso, DF over
+    iso + spread. A voxel of exactly iso - spread or iso + spread is reached and carries the growth on, but gets no label.
+    """
     from geomill.operators.graph import cut
 
-    kind = F.when(F.col("gray") > iso + spread_by, "F").when(F.col("gray") < iso - spread_by, "B")
-    state = volume.select(*AXES, kind.alias("label"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))))
-    for _ in range(rounds):
-        last = F.substring("label", -1, 1)
-        reach = state.filter("label is not null and label <> 'D'").select(*AXES, last.alias("from"), F.inline(around)).select(*((F.col(c) + F.col(o)).alias(c) for c, o in zip(AXES, "ijk")), "from").groupBy(*AXES).agg(F.min("from").alias("lo"), F.max("from").alias("hi"))
-        new = F.when(F.col("lo") == F.col("hi"), F.concat(F.lit("D"), "lo")).when(F.col("lo").isNotNull(), "D")
-        state = cut(state.join(reach, list(AXES), "left").select(*AXES, F.coalesce("label", new).alias("label")))
-    return state
+    around = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, "ijk"))) for o in product((-1, 0, 1), repeat=3) if any(o)))
+    inside = " AND ".join(f"{c} BETWEEN 1 AND {d - 2}" for c, d in zip(AXES, dims))
+    seen = last = cut(volume.filter(F.col("gray") == iso).select(*AXES))
+    for _ in range(band):
+        near = last.filter(inside).select(*AXES, F.inline(around)).select(*((F.col(c) + F.col(o)).alias(c) for c, o in zip(AXES, "ijk"))).distinct()
+        last = cut(near.join(seen, list(AXES), "left_anti"))
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    g = F.col("gray")
+    label = F.when(g < iso - spread, "DB").when(g > iso + spread, "DF").when(g == iso, "PF").when((g > iso - spread) & (g < iso), "PB").when((g >= iso) & (g < iso + spread), "PF")
+    return volume.join(seen.withColumn("seen", F.lit(True)), list(AXES), "left").select(*AXES, F.when(F.col("seen"), label).alias("label"))
+
+
+def profile_edges(profiles: DataFrame, key: list[str], at: str, value: str, least: int = 1) -> DataFrame:
+    """(key, place, strength, rising): edges of each profile of whole numbers at consecutive places.
+
+    The profile is smoothed by the binomial kernel (1, 4, 6, 4, 1) / 16. An edge is where its
+    second derivative crosses zero while the first and the third have opposite signs, so that the slope is
+    steepest there; its place lies between two samples by linear interpolation of the second derivative. The
+    strength is the larger slope of the two samples (central difference), `least` the smallest that counts.
+    All are sums of whole numbers until the last division.
+    """
+    w = Window.partitionBy(*key).orderBy(at)
+    v = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w) if k < 0 else F.col(c)
+    p = profiles.select(*key, at, F.col(value).cast("long").alias("_v"))
+    p = p.withColumn("_s", v("_v", -2) + 4 * v("_v", -1) + 6 * v("_v", 0) + 4 * v("_v", 1) + v("_v", 2))
+    p = p.withColumns({"_d1": v("_s", 1) - v("_s", -1), "_d2": v("_s", 1) - 2 * v("_s", 0) + v("_s", -1), "_d3": v("_s", 2) - 2 * v("_s", 1) + 2 * v("_s", -1) - v("_s", -2)})
+    p = p.withColumns({"_n1": v("_d1", 1), "_n2": v("_d2", 1), "_n3": v("_d3", 1)})
+    crosses = ((F.col("_d2") > 0) & (F.col("_n2") <= 0)) | ((F.col("_d2") < 0) & (F.col("_n2") >= 0))
+    steep = F.greatest(F.abs("_d1"), F.abs("_n1")) / 32
+    edges = p.filter(crosses & ((F.col("_d1") + F.col("_n1")) * (F.col("_d3") + F.col("_n3")) < 0) & (steep >= least))
+    return edges.select(*key, (F.col(at) + F.col("_d2") / (F.col("_d2") - F.col("_n2"))).alias("place"), steep.alias("strength"), (F.col("_d1") + F.col("_n1") > 0).alias("rising"))
 
 
 def run_lengths(volume: DataFrame, threshold: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -20,13 +20,31 @@ def cases(volume: DataFrame, iso: int) -> DataFrame:
     return sent.groupBy(*AXES).agg(F.sum("bits").alias("case_idx"), F.count(F.lit(1)).alias("k")).filter("k = 8 AND case_idx NOT IN (0, 255)").drop("k")
 
 
-def crossings(volume: DataFrame, iso: int) -> DataFrame:
-    """(axis, x, y, z, px, py, pz): vertex of the surface on each grid edge whose ends lie on different sides, by linear interpolation; an edge is named by its axis and lower voxel, so no vertex is made twice."""
-    # Each voxel is the upper end of one edge on each axis and the lower end of another.
-    ends = F.array(*(F.struct(F.lit(c).alias("axis"), *(F.lit(1 if c == a and up else 0).alias(f"o{a}") for a in AXES), F.lit(up).alias("up")) for c in AXES for up in (False, True)))
-    sent = volume.select(*AXES, "gray", F.inline(ends)).select("axis", *((F.col(c) - F.col(f"o{c}")).alias(c) for c in AXES), F.when(F.col("up"), F.col("gray")).alias("b"), F.when(~F.col("up"), F.col("gray")).alias("a"))
-    e = sent.groupBy("axis", *AXES).agg(F.max("a").alias("a"), F.max("b").alias("b")).filter("a is not null and b is not null").filter((F.col("a") < iso) != (F.col("b") < iso))
+def _quadratic(iso: int) -> Column:
+    """Place between a and b, 0 to 1, of the root of the parabola through both whose slopes there are nearest to the central differences of the four samples before, a, b, after."""
+    before, a, b, after = (F.col(c).cast("double") - iso for c in ("before", "a", "b", "after"))
+    at_a, at_b = (b - before) / 2, (after - a) / 2
+    bend = (at_b - at_a) / 2
+    slope = b - a - bend
+    p, q = slope / bend, a / bend
+    root = F.sqrt(F.greatest(p * p - 4 * q, F.lit(0.0)))
+    low, high = (-p - root) / 2, (-p + root) / 2
+    return F.when(bend == 0, -a / slope).when(high > 1, low).otherwise(high)
+
+
+def crossings(volume: DataFrame, iso: int, quadratic: bool = False) -> DataFrame:
+    """(axis, x, y, z, px, py, pz): vertex of the surface on each grid edge whose ends lie on different sides; an edge is named by its axis and lower voxel, so no vertex is made twice.
+
+    Its place is found by linear interpolation, or with `quadratic` from the edge's four samples in a row; at the volume's rim, where one is missing, it stays linear.
+    """
+    # Each voxel has these roles for edges on each axis, so many steps below it.
+    roles = {"a": 0, "b": 1, "before": -1, "after": 2} if quadratic else {"a": 0, "b": 1}
+    ends = F.array(*(F.struct(F.lit(c).alias("axis"), *(F.lit(step if c == a else 0).alias(f"o{a}") for a in AXES), F.lit(role).alias("role")) for c in AXES for role, step in roles.items()))
+    sent = volume.select(*AXES, "gray", F.inline(ends)).select("axis", *((F.col(c) - F.col(f"o{c}")).alias(c) for c in AXES), "role", "gray")
+    e = sent.groupBy("axis", *AXES).agg(*(F.max(F.when(F.col("role") == r, F.col("gray"))).alias(r) for r in roles)).filter("a is not null and b is not null").filter((F.col("a") < iso) != (F.col("b") < iso))
     t = (F.lit(iso) - F.col("a")) / (F.col("b") - F.col("a"))
+    if quadratic:
+        t = F.when(F.col("before").isNull() | F.col("after").isNull(), t).otherwise(_quadratic(iso))
     return e.select("axis", *AXES, *((F.col(c) + F.when(F.col("axis") == c, t).otherwise(0.0)).alias(f"p{c}") for c in AXES))
 
 

@@ -289,3 +289,20 @@ def pores(volume: DataFrame, threshold: int, width: int, height: int) -> DataFra
     pairs = ahead.join(low, list(AXES)).select("a", F.col("id").alias("b"))
     label = components(low.select("id"), pairs)
     return low.join(label, "id").groupBy(F.col("component").alias("pore")).agg(F.count(F.lit(1)).alias("voxels"), *(f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("min", F.min), ("max", F.max))))
+
+
+def height_morphology(points: DataFrame, size: float, reach: int, op: str) -> DataFrame:
+    """(cx, cy, z): erosion, dilation, opening or closing of the heights of a cloud over a raster of cells of width `size`.
+
+    A cell has its least height (its greatest for dilation and closing); a step takes the least or greatest of the
+    cells up to `reach` away along rows of cells and then along columns of what the rows gave, by running windows: that of
+    the square where all its cells have points. Cells without points take no part and get no height. Points without a finite place are left out.
+    """
+    from geomill.operators.filters import finite
+
+    steps = {"erode": (F.min,), "dilate": (F.max,), "open": (F.min, F.max), "close": (F.max, F.min)}[op]
+    cells = points.filter(finite(*AXES)).groupBy(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).agg(steps[0]("z").alias("z"))
+    for f in steps:
+        for along, across in (("cx", "cy"), ("cy", "cx")):
+            cells = cells.withColumn("z", f("z").over(Window.partitionBy(across).orderBy(along).rangeBetween(-reach, reach)))
+    return cells

@@ -232,17 +232,15 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
     return stencil.run_lengths(volume(spark, d), SOLID)
 
 
-STEPS = "(SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(i, j, k))"
+def _grown(src: str, name: str) -> str:
+    """What a round reaches: the 26 neighbours of all that was reached off the outer layer."""
+    return f"""{name} AS (SELECT x, y, z FROM {src} UNION SELECT v.x, v.y, v.z FROM volume v JOIN {src} r ON abs(v.x - r.x) <= 1 AND abs(v.y - r.y) <= 1 AND abs(v.z - r.z) <= 1, dims WHERE r.x BETWEEN 1 AND {WIDTH - 2} AND r.y BETWEEN 1 AND {HEIGHT - 2} AND r.z BETWEEN 1 AND depth - 2)"""
 
 
-def _dilated(src: str, name: str) -> str:
-    return f"""{name} AS (SELECT s.x, s.y, s.z, coalesce(s.label, CASE WHEN lo = hi THEN 'D' || lo WHEN lo IS NOT NULL THEN 'D' END) AS label FROM {src} s
-LEFT JOIN (SELECT x + i AS x, y + j AS y, z + k AS z, min(label[-1:]) AS lo, max(label[-1:]) AS hi FROM {src}, {STEPS} WHERE label IS NOT NULL AND label <> 'D' GROUP BY 1, 2, 3) r ON r.x = s.x AND r.y = s.y AND r.z = s.z)"""
-
-
-@query(f"WITH {VOLUME}, s0 AS (SELECT x, y, z, CASE WHEN gray > 1500 THEN 'F' WHEN gray < 500 THEN 'B' END AS label FROM volume), {_dilated('s0', 's1')}, {_dilated('s1', 's2')} SELECT * FROM s2")
+@query(f"""WITH {VOLUME}, {DEPTH}, s0 AS (SELECT x, y, z FROM volume WHERE gray = 1000), {_grown('s0', 's1')}, {_grown('s1', 's2')}, {_grown('s2', 's3')}
+SELECT v.x, v.y, v.z, CASE WHEN s3.x IS NULL THEN NULL WHEN gray < 600 THEN 'DB' WHEN gray > 1400 THEN 'DF' WHEN gray > 600 AND gray < 1000 THEN 'PB' WHEN gray >= 1000 AND gray < 1400 THEN 'PF' END AS label FROM volume v LEFT JOIN s3 USING (x, y, z)""")
 def band_labels(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.band_labels(volume(spark, d), 1000, 500, 2)
+    return stencil.band_labels(volume(spark, d), (WIDTH, HEIGHT, depth(spark, d)), 1000, 400, 3)
 
 
 BINS = "bins AS (SELECT (gray // 200 * 200)::INT AS start, count(*) AS n, min(gray) AS lo, max(gray) AS hi FROM volume GROUP BY 1)"

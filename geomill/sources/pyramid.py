@@ -158,7 +158,9 @@ class Reader(DataSourceReader):
         meets = lambda p: all(p["high"][i] * w + w - 1 >= self.low[c] and p["low"][i] * w <= self.high[c] for i, (c, w) in enumerate(zip(names, (1, *[m["tile"]] * 3))))
         return [Part(p["file"]) for p in m["parts"] if meets(p)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for when there are no partitions
+            return
         fs, folder = _place(self.path)
         size = self._manifest()["tile"]
         with fs.open_input_file(f"{folder}/{partition.file}") as f:
