@@ -76,7 +76,7 @@ def vector_knn_lsh(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vector_knn_ivf(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return ann.ivf_knn(e, e.filter("vec_id % 20 = 0"), 5)
+    return ann.tree_knn(e, e.filter("vec_id % 20 = 0"), 5)
 
 
 @query("SELECT event_id, round(degrees(value), 6) AS degrees, round(radians(value), 6) AS radians, round(value - floor((value + pi()) / (2 * pi())) * (2 * pi()), 6) AS wrapped FROM events")

@@ -173,13 +173,60 @@ def test_signed_distances_are_brute_force(spark):
         assert abs(r[1]) == pytest.approx(near.mean())
 
 
-def test_bits_grow_with_the_vectors(spark):
+@pytest.fixture(scope="module")
+def normal_vectors(spark):
     rng = np.random.default_rng(3)
     e = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(rng.normal(size=(400, 16)))], "vec_id long, embedding array<float>")
     q = e.filter("vec_id % 20 = 0")
+    return e, q, {(r.query_id, r.vec_id) for r in ann.exact_knn(e, q, 5).collect()}
+
+
+@pytest.mark.parametrize("bits", [6, 10, 14])
+def test_tables_keep_the_recall_as_bits_grow(normal_vectors, bits):
+    e, q, exact = normal_vectors
+    found = {(r.query_id, r.vec_id) for r in ann.lsh_knn(e, q, 5, bits=bits).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_more_bits_ask_for_more_tables():
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=(50, 16))
+    near = q + 0.4 * rng.normal(size=(50, 16))
+    tables = [ann.tables_for(q, near, bits, 0.9, 1) for bits in (4, 8, 12)]
+    assert tables[0] < tables[1] < tables[2]
+    with pytest.raises(ValueError, match="fewer bits"):
+        ann.tables_for(q, -q, 14, 0.9, 1)
+
+
+def test_tree_reads_little_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(60, 24)) * 4
+    x = (middle[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 24))).astype(np.float32).astype(np.float64)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    q = e.filter("vec_id % 20 = 0")
     exact = {(r.query_id, r.vec_id) for r in ann.exact_knn(e, q, 5).collect()}
-    found = {(r.query_id, r.vec_id) for r in ann.lsh_knn(e, q, 5).collect()}
+    brute = {(i, int(j)) for i in range(0, 4000, 20) for j in np.lexsort((np.arange(4000), ((x - x[i]) ** 2).sum(axis=1)))[:5]}
+    assert exact == brute
+    found = {(r.query_id, r.vec_id) for r in ann.tree_knn(e, q, 5).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+    tree = ann.CellTree(x[:2016], 63)
+    pairs = [(i, j) for i, j in exact if i < 2000]
+    probes = ann.probes_for(tree, x[[i for i, _ in pairs]], x[[j for _, j in pairs]], 0.93)
+    size = np.bincount(tree.cell(x), minlength=len(tree.centres))
+    assert size[tree.order(x[::20])[:, :probes]].sum(axis=1).mean() < 0.1 * len(x)
+
+
+def test_best_is_brute_force_with_ties(monkeypatch):
+    monkeypatch.setattr(ann, "PAIRS", 700)
+    rng = np.random.default_rng(9)
+    x, q = rng.integers(0, 3, (300, 4)).astype(float), rng.integers(0, 3, (20, 4)).astype(float)
+    best = ann.Best(q, 7)
+    for part in np.array_split(rng.permutation(300), 5):
+        best.meet(np.arange(20), part, x[part])
+    for i in range(20):
+        d2 = ((x - q[i]) ** 2).sum(axis=1)
+        want = np.lexsort((np.arange(300), d2))[:7]
+        assert best.id[i].tolist() == want.tolist() and best.d2[i].tolist() == d2[want].tolist()
 
 
 def test_levels_of_whole_tiles():

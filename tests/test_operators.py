@@ -112,7 +112,7 @@ def test_lsh_recall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     q = e.filter("vec_id % 20 = 0")
     exact = {(r.query_id, r.vec_id) for r in ann.exact_knn(e, q, 5).collect()}
-    for index in (ann.lsh_knn, ann.ivf_knn):
+    for index in (ann.lsh_knn, ann.tree_knn):
         found = {(r.query_id, r.vec_id) for r in index(e, q, 5).collect()}
         assert len(exact & found) >= 0.9 * len(exact), index
     in_blocks = {(r.query_id, r.vec_id) for r in ann.exact_knn(e, q, 5, block_bytes=2000).collect()}
