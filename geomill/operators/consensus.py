@@ -1,8 +1,8 @@
 """Models from minimal samples: lines, planes, circles, spheres and cylinders, tried until the best is certain enough.
 
 Solvers are Column expressions over sample rows with the points s0, s1, ... (and for cylinders
-the normals n0, n1); they give the parameters that the residuals of `fit` take, or null for
-samples that fix no model. Samples are drawn in batches from a bounded random part of the
+the normals n0, n1); they give the parameters that the residuals of `fit` take, and `fixes`, which is 0
+for samples that fix no model. Samples are drawn in batches from a bounded random part of the
 points and scored on all points in one pass a batch.
 """
 
@@ -23,7 +23,6 @@ from geomill.operators.filters import finite
 AXES = ("x", "y", "z")
 #: Points that samples are drawn from.
 POOL = 8192
-Params = dict[str, Column]
 
 
 def _scaled(v: g.Vec, by: Column) -> g.Vec:
@@ -34,8 +33,12 @@ def _plus(a: g.Vec, b: g.Vec) -> g.Vec:
     return tuple(x + y for x, y in zip(a, b))
 
 
-def _named(prefix: str, v: g.Vec, ok: Column) -> Params:
-    return {f"{prefix}{c}": F.when(ok, x) for c, x in zip("xyz", v)}
+def _with(df: DataFrame, **columns: g.Vec | Column) -> DataFrame:
+    """Vectors as three columns each, so that later expressions refer to them instead of repeating them."""
+    flat = {}
+    for name, v in columns.items():
+        flat |= {f"{name}{c}": x for c, x in zip("xyz", v)} if isinstance(v, tuple) else {name: v}
+    return df.withColumns(flat)
 
 
 def _safe(c: Column) -> Column:
@@ -43,66 +46,64 @@ def _safe(c: Column) -> Column:
     return F.when(c == 0, F.lit(1.0)).otherwise(c)
 
 
-def line() -> Params:
-    d = g.minus(g.vec("s1"), g.vec("s0"))
-    length = g.norm(d)
-    return {**_named("p", g.vec("s0"), length > 0), **_named("d", _scaled(d, 1 / _safe(length)), length > 0)}
+def line(s: DataFrame) -> DataFrame:
+    s = _with(s, e=g.minus(g.vec("s1"), g.vec("s0"))).withColumn("fixes", g.norm(g.vec("e")))
+    return _with(s, p=g.vec("s0"), d=_scaled(g.vec("e"), 1 / _safe(F.col("fixes"))))
 
 
-def plane() -> Params:
-    n = g.cross(g.minus(g.vec("s1"), g.vec("s0")), g.minus(g.vec("s2"), g.vec("s0")))
-    length = g.norm(n)
-    unit = _scaled(n, 1 / _safe(length))
-    return {**{k: F.when(length > 0, v) for k, v in zip("abc", unit)}, "d": F.when(length > 0, -g.dot(unit, g.vec("s0")))}
+def plane(s: DataFrame) -> DataFrame:
+    s = _with(s, n=g.cross(g.minus(g.vec("s1"), g.vec("s0")), g.minus(g.vec("s2"), g.vec("s0"))))
+    s = s.withColumn("fixes", g.norm(g.vec("n")))
+    s = s.withColumns(dict(zip("abc", _scaled(g.vec("n"), 1 / _safe(F.col("fixes"))))))
+    return s.withColumn("d", -g.dot((F.col("a"), F.col("b"), F.col("c")), g.vec("s0")))
 
 
-def circle() -> Params:
+def circle(s: DataFrame) -> DataFrame:
     """Centre of the circumcircle, the unit normal of its plane, and the radius."""
-    a, b = g.minus(g.vec("s1"), g.vec("s0")), g.minus(g.vec("s2"), g.vec("s0"))
-    n = g.cross(a, b)
-    n2 = g.dot(n, n)
-    to = _scaled(_plus(_scaled(g.cross(n, a), g.dot(b, b)), _scaled(g.cross(b, n), g.dot(a, a))), 1 / (2 * _safe(n2)))
-    return {**_named("p", _plus(g.vec("s0"), to), n2 > 0), **_named("d", _scaled(n, 1 / _safe(F.sqrt(n2))), n2 > 0), "r": F.when(n2 > 0, g.norm(to))}
+    s = _with(s, a=g.minus(g.vec("s1"), g.vec("s0")), b=g.minus(g.vec("s2"), g.vec("s0")))
+    s = _with(s, n=g.cross(g.vec("a"), g.vec("b")), a2=g.dot(g.vec("a"), g.vec("a")), b2=g.dot(g.vec("b"), g.vec("b")))
+    s = s.withColumn("fixes", g.dot(g.vec("n"), g.vec("n")))
+    s = _with(s, to=_scaled(_plus(_scaled(g.cross(g.vec("n"), g.vec("a")), F.col("b2")), _scaled(g.cross(g.vec("b"), g.vec("n")), F.col("a2"))), 1 / (2 * _safe(F.col("fixes")))))
+    return _with(s, p=_plus(g.vec("s0"), g.vec("to")), d=_scaled(g.vec("n"), 1 / _safe(F.sqrt("fixes"))), r=g.norm(g.vec("to")))
 
 
-def sphere() -> Params:
-    a, b, c = (g.minus(g.vec(f"s{i}"), g.vec("s0")) for i in (1, 2, 3))
-    volume = g.dot(a, g.cross(b, c))
-    to = _scaled(_plus(_plus(_scaled(g.cross(b, c), g.dot(a, a)), _scaled(g.cross(c, a), g.dot(b, b))), _scaled(g.cross(a, b), g.dot(c, c))), 1 / (2 * _safe(volume)))
-    return {**_named("c", _plus(g.vec("s0"), to), volume != 0), "r": F.when(volume != 0, g.norm(to))}
+def sphere(s: DataFrame) -> DataFrame:
+    s = _with(s, **{n: g.minus(g.vec(f"s{i}"), g.vec("s0")) for i, n in ((1, "a"), (2, "b"), (3, "e"))})
+    s = _with(s, u=g.cross(g.vec("b"), g.vec("e")), v=g.cross(g.vec("e"), g.vec("a")), w=g.cross(g.vec("a"), g.vec("b")), **{f"{n}2": g.dot(g.vec(n), g.vec(n)) for n in "abe"})
+    s = s.withColumn("fixes", g.dot(g.vec("a"), g.vec("u")))
+    s = _with(s, to=_scaled(_plus(_plus(_scaled(g.vec("u"), F.col("a2")), _scaled(g.vec("v"), F.col("b2"))), _scaled(g.vec("w"), F.col("e2"))), 1 / (2 * _safe(F.col("fixes")))))
+    return _with(s, c=_plus(g.vec("s0"), g.vec("to")), r=g.norm(g.vec("to")))
 
 
-def cylinder() -> Params:
+def cylinder(s: DataFrame) -> DataFrame:
     """The axis crosses both normals at right angles: its direction is their product, a point of it the first normal's nearest to the second."""
-    n0, n1 = g.vec("n0"), g.vec("n1")
-    d = g.cross(n0, n1)
-    d2 = g.dot(d, d)
-    along = g.dot(g.cross(g.minus(g.vec("s1"), g.vec("s0")), n1), d) / _safe(d2)
-    return {**_named("p", _plus(g.vec("s0"), _scaled(n0, along)), d2 > 0), **_named("d", _scaled(d, 1 / _safe(F.sqrt(d2))), d2 > 0), "r": F.when(d2 > 0, F.abs(along) * g.norm(n0))}
+    s = _with(s, m=g.cross(g.vec("n0"), g.vec("n1"))).withColumn("fixes", g.dot(g.vec("m"), g.vec("m")))
+    s = s.withColumn("along", g.dot(g.cross(g.minus(g.vec("s1"), g.vec("s0")), g.vec("n1")), g.vec("m")) / _safe(F.col("fixes")))
+    return _with(s, p=_plus(g.vec("s0"), _scaled(g.vec("n0"), F.col("along"))), d=_scaled(g.vec("m"), 1 / _safe(F.sqrt("fixes"))), r=F.abs("along") * g.norm(g.vec("n0")))
 
 
 @dataclass(frozen=True)
 class Model:
     size: int
-    solve: Callable[[], Params]
+    solve: Callable[[DataFrame], DataFrame]
+    params: tuple[str, ...]
     residual: Callable[[], Column]
     normals: bool = False
 
 
 MODELS = {
-    "line": Model(2, line, fit.line_residual),
-    "plane": Model(3, plane, fit.plane_residual),
-    "circle": Model(3, circle, fit.circle_residual),
-    "sphere": Model(4, sphere, fit.sphere_residual),
-    "cylinder": Model(2, cylinder, fit.cylinder_residual, normals=True),
+    "line": Model(2, line, ("px", "py", "pz", "dx", "dy", "dz"), fit.line_residual),
+    "plane": Model(3, plane, ("a", "b", "c", "d"), fit.plane_residual),
+    "circle": Model(3, circle, ("px", "py", "pz", "dx", "dy", "dz", "r"), fit.circle_residual),
+    "sphere": Model(4, sphere, ("cx", "cy", "cz", "r"), fit.sphere_residual),
+    "cylinder": Model(2, cylinder, ("px", "py", "pz", "dx", "dy", "dz", "r"), fit.cylinder_residual, normals=True),
 }
 
 
 def solved(samples: DataFrame, kind: str) -> DataFrame:
     """(model_id, parameters) of the samples (model_id, s0x, s0y, ...) that fix a model."""
-    params = MODELS[kind].solve()
-    fixed = " AND ".join(f"{p} IS NOT NULL AND NOT isnan({p}) AND abs({p}) < double('Infinity')" for p in params)
-    return samples.select("model_id", *(c.alias(p) for p, c in params.items())).filter(fixed)
+    model = MODELS[kind]
+    return model.solve(samples).filter(F.col("fixes") != 0).select("model_id", *model.params)
 
 
 def certainty(share: float, size: int, tried: int) -> float:
@@ -130,7 +131,7 @@ def consensus(points: DataFrame, kind: str, threshold: float, certain: float = 0
     while len(pool) >= model.size and tried < most:
         size = min(batch, most - tried)
         drawn = [(tried + t, *(v for i in rng.choice(len(pool), model.size, replace=False) for v in pool[i])) for t in range(size)]
-        rows = solved(spark.createDataFrame(drawn, columns), kind).collect()
+        rows = [r for r in solved(spark.createDataFrame(drawn, columns), kind).collect() if all(map(math.isfinite, r))]
         tried += size
         if rows:
             models = spark.createDataFrame(rows)
@@ -139,7 +140,7 @@ def consensus(points: DataFrame, kind: str, threshold: float, certain: float = 0
                 best = (next(r for r in rows if r["model_id"] == top["model_id"]), top["inliers"])
         if best and certainty(best[1] / n, model.size, tried) >= certain:
             break
-    params = list(model.solve())
+    params = model.params
     schema = ", ".join(["model_id int", *(f"{p} double" for p in params), "inliers long", "tried int", "certainty double", "met boolean"])
     if best is None:
         return spark.createDataFrame([], schema)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geomill.operators import mesh, stencil, surface, voxel
+from geomill.operators import dual, mesh, stencil, surface, voxel
 from geomill.sources import volumes
 
 FACES = "face_id long, v0 long, v1 long, v2 long"
@@ -121,3 +121,65 @@ def test_morphology_is_brute_force(spark, op):
         for a in (0, 1):
             cells = {c: f(v for o, v in cells.items() if abs(o[a] - c[a]) <= 2 and o[1 - a] == c[1 - a]) for c in cells}
     assert got == cells
+
+
+def _label_volume(spark, label, n):
+    rows = [(x, y, z, int(label[z, y, x])) for z in range(n) for y in range(n) for x in range(n)]
+    return spark.createDataFrame(rows, "x int, y int, z int, label int")
+
+
+def _halves(quads):
+    """Directed edges of each label's quads, by named vertices."""
+    out = {}
+    for r in quads:
+        ring = [(c.cx, c.cy, c.cz, c.patch) for c in r.corners]
+        out.setdefault(r.label, []).extend(zip(ring, ring[1:] + ring[:1]))
+    return out
+
+
+def test_labelled_surfaces_are_closed(spark):
+    rng = np.random.default_rng(11)
+    label = rng.integers(0, 4, (6, 6, 6))
+    quads = dual.label_surfaces(_label_volume(spark, label, 6)).collect()
+    for own in _halves(quads).values():
+        count = {}
+        for a, b in own:
+            count[a, b] = count.get((a, b), 0) + 1
+        assert all(count[a, b] == count.get((b, a), 0) for a, b in count)
+    padded = np.pad(label, 1)
+    faces = {}
+    for axis in range(3):
+        lo, hi = np.moveaxis(padded, axis, 0)[:-1], np.moveaxis(padded, axis, 0)[1:]
+        for a, b in zip(lo.ravel().tolist(), hi.ravel().tolist()):
+            if a != b:
+                for own, other in ((a, b), (b, a)):
+                    if own:
+                        faces[own, other] = faces.get((own, other), 0) + 1
+    got = {}
+    for r in quads:
+        got[r.label, r.other] = got.get((r.label, r.other), 0) + 1
+    assert got == faces
+
+
+def test_nested_balls_enclose_their_voxels(spark):
+    n = 19
+    z, y, x = np.indices((n, n, n)) - n // 2
+    d2 = x * x + y * y + z * z
+    label = np.where(d2 <= 16, 2, np.where(d2 <= 49, 1, 0))
+    quads = dual.label_surfaces(_label_volume(spark, label, n))
+    volume = {r.label: r.volume for r in dual.enclosed(quads).collect()}
+    assert volume[2] == pytest.approx((label == 2).sum(), rel=0.08) and volume[1] == pytest.approx((label == 1).sum(), rel=0.08)
+    pair = [r for r in quads.collect() if {r.label, r.other} == {1, 2}]
+    # The surface between both balls alone is closed too, seen from either side.
+    for own in _halves(pair).values():
+        assert len(set(own)) == len(own) and all((b, a) in set(own) for a, b in own)
+    box = np.zeros((14, 14, 14), int)
+    box[1:13, 1:12, 2:12] = 3
+    assert dual.enclosed(dual.label_surfaces(_label_volume(spark, box, 14))).first().volume == pytest.approx(12 * 11 * 10, rel=0.06)
+
+
+def test_patches_of_a_cell():
+    assert dual.patches(1) == [[0, 4, 8]] and dual.patches(0b11) == [[4, 5, 8, 9]]
+    assert sorted(map(len, dual.patches(0b10000001))) == [3, 3]  # opposite corners
+    assert sorted(map(len, dual.patches(0b1001))) == [3, 3]  # corners across a face stay apart
+    assert all(sum(map(len, dual.patches(c))) == sum((c >> dual.CORNERS.index(e[1]) & 1) != (c >> dual.CORNERS.index(dual._upper(e)) & 1) for e in dual.EDGES) for c in range(256))
