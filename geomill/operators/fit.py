@@ -100,6 +100,15 @@ def moments(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in AXES), *(F.covar_pop(a, b).alias(f"cov_{a}{b}") for a, b in pairs))
 
 
+def weighted_moments(points: DataFrame, weight: str) -> DataFrame:
+    """Count, weighted means and weighted population covariances of the coordinates. Sums are taken about a corner of the cloud's box, so that far clouds lose no digits."""
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    low = points.agg(*(F.min(c).alias(f"_{c}") for c in AXES))
+    near = points.join(F.broadcast(low)).select(F.col(weight).alias("_w"), *(F.col(f"_{c}") for c in AXES), *((F.col(c) - F.col(f"_{c}")).alias(c) for c in AXES))
+    mean = {c: F.sum(F.col("_w") * F.col(c)) / F.sum("_w") for c in AXES}
+    return near.agg(F.count(F.lit(1)).alias("n"), *((F.min(f"_{c}") + mean[c]).alias(f"mean_{c}") for c in AXES), *((F.sum(F.col("_w") * F.col(a) * F.col(b)) / F.sum("_w") - mean[a] * mean[b]).alias(f"cov_{a}{b}") for a, b in pairs))
+
+
 def principal_axes(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, eigenvalues (descending) and right-handed axes (columns)."""
     m = moments(points).first()

@@ -57,10 +57,20 @@ TILES = f"{VOLUME}, tiles AS (SELECT DISTINCT ((x // 8) + 10 * (y // 8) + 100 *
 EDGES = " UNION ALL ".join(f"SELECT tile, {', '.join((f'{a}0 AS a{a}, {a}1 AS b{a}' if a == c else f'{a}{(u, v)[o.index(a)]} AS a{a}, {a}{(u, v)[o.index(a)]} AS b{a}') for a in 'xyz')} FROM tiles" for c in "xyz" for o in [[a for a in "xyz" if a != c]] for u in "01" for v in "01")
 
 
-@query(f"WITH {TILES}, e AS ({EDGES}), s AS (SELECT *, ax + 2 * ay + az - 30.5 AS da, bx + 2 * by_ + bz - 30.5 AS db FROM (SELECT tile, ax, ay, az, bx, by AS by_, bz FROM e)) SELECT tile, count(*) AS corners, round(sum(ax + da / (da - db) * (bx - ax)), 6) AS px, round(sum(az + da / (da - db) * (bz - az)), 6) AS pz FROM s WHERE (da > 0) <> (db > 0) GROUP BY 1".replace("AS by,", 'AS "by",').replace("AS by ", 'AS "by" ').replace("by AS by_", '"by" AS by_'))
+#: The plane of normal (1, 2, 1) has the axes (5, -2, -1) and (0, 6, -12), both times 6, their lengths' squares 30 and 180.
+_CUT = """WITH {TILES}, e AS ({EDGES}), s AS (SELECT *, ax + 2 * ay + az - 30.5 AS da, bx + 2 * "by" + bz - 30.5 AS db FROM e),
+p AS (SELECT tile, ax + da / (da - db) * (bx - ax) AS x, ay + da / (da - db) * ("by" - ay) AS y, az + da / (da - db) * (bz - az) AS z FROM s WHERE (da > 0) <> (db > 0)),
+c AS (SELECT *, x - avg(x) OVER t AS cx, y - avg(y) OVER t AS cy, z - avg(z) OVER t AS cz FROM p WINDOW t AS (PARTITION BY tile)),
+f AS (SELECT *, (5 * cx - 2 * cy - cz) / sqrt(30) AS a, (cy - 2 * cz) / sqrt(5) AS b FROM c),
+n AS (SELECT *, coalesce(lead(a) OVER o, first(a) OVER o) AS na, coalesce(lead(b) OVER o, first(b) OVER o) AS nb FROM f WINDOW o AS (PARTITION BY tile ORDER BY atan2(b, a)))
+SELECT tile, count(*) AS corners, round(sum(x), 6) AS px, round(sum(y), 6) AS py, round(sum(z), 6) AS pz, round(abs(sum(a * nb - na * b)), 5) AS area2 FROM n GROUP BY tile"""
+
+
+@query(_CUT.replace("{TILES}", TILES).replace("{EDGES}", EDGES.replace(" AS by,", ' AS "by",').replace(" AS by ", ' AS "by" ')))
 def box_plane_polygons(spark: SparkSession, d: str) -> DataFrame:
-    p = rays.box_plane_points(_tiles(spark, d), "tile", (1, 2, 1), -30.5)
-    return p.groupBy("tile").agg(F.count(F.lit(1)).alias("corners"), F.round(F.sum("px"), 6).alias("px"), F.round(F.sum("pz"), 6).alias("pz"))
+    p = rays.box_plane_polygons(_tiles(spark, d), "tile", (1, 2, 1), -30.5)
+    total = lambda c: F.round(F.aggregate("polygon", F.lit(0.0), lambda s, e: s + e[c]), 6).alias(f"p{c}")
+    return p.select("tile", F.size("polygon").cast("long").alias("corners"), *map(total, "xyz"), F.round(rays.polygon_area2("polygon"), 5).alias("area2"))
 
 
 @query(f"WITH {TILES}, c AS (SELECT tile, 0.6 * a.x - 0.8 * b.y AS tx, 0.8 * a.x + 0.6 * b.y AS ty FROM (SELECT tile, unnest([x0, x1]) AS x FROM tiles) a JOIN (SELECT tile, unnest([y0, y1]) AS y FROM tiles) b USING (tile)) SELECT tile, round(least(greatest(min(tx), 0), 32), 4) AS min_x, round(least(greatest(max(tx), 0), 32), 4) AS max_x, round(least(greatest(min(ty), 0), 32), 4) AS min_y, round(least(greatest(max(ty), 0), 32), 4) AS max_y FROM c GROUP BY 1")
@@ -177,10 +187,12 @@ def concatenate_fields(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("point_id", "x", "y", "z").join(extra, "point_id")
 
 
-@query(f"WITH {CLOUD} SELECT count(*) AS n, round(sum(v * x) / sum(v), 4) AS x, round(sum(v * y) / sum(v), 4) AS y, round(sum(v * z) / sum(v), 4) AS z FROM cloud")
+@query(f"""WITH {CLOUD}, m AS (SELECT count(*) AS n, sum(v) AS w, {", ".join(f"sum(v * {c}) / sum(v) AS {c}" for c in "xyz")} FROM cloud),
+k AS (SELECT {", ".join(f"sum(v * (c.{a} - m.{a}) * (c.{b} - m.{b})) / any_value(m.w) AS cov_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM cloud c, m)
+SELECT n, {", ".join(f"round({c}, 4) AS {c}" for c in "xyz")}, {", ".join(f"round(cov_{p}, 2) AS cov_{p}" for p in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM m, k""")
 def weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    w = [F.round(F.sum(F.col("v") * F.col(c)) / F.sum("v"), 4).alias(c) for c in "xyz"]
-    return cloud(spark, d).agg(F.count(F.lit(1)).alias("n"), *w)
+    m = fit.weighted_moments(cloud(spark, d), "v")
+    return m.select("n", *(F.round(f"mean_{c}", 4).alias(c) for c in "xyz"), *(F.round(f"cov_{p}", 2).alias(f"cov_{p}") for p in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
 @query()

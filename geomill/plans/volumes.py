@@ -183,9 +183,9 @@ def sobel_gradient(spark: SparkSession, d: str) -> DataFrame:
     return stencil.sobel(volume(spark, d))
 
 
-@query(f"WITH {VOLUME} SELECT a.x, a.y, a.z, (c.gray - b.gray) / 2 AS dx FROM volume a LEFT JOIN volume b ON b.x = a.x - 1 AND b.y = a.y AND b.z = a.z LEFT JOIN volume c ON c.x = a.x + 1 AND c.y = a.y AND c.z = a.z")
+@query(f"WITH {VOLUME} SELECT v.x, v.y, v.z, {", ".join(f"(n{c}.gray - p{c}.gray) / 2 AS d{c}" for c in "xyz")} FROM volume v {" ".join(f"LEFT JOIN volume {t}{c} ON " + " AND ".join(f"{t}{c}.{o} = v.{o}" + (f" {sign} 1" if o == c else "") for o in "xyz") for c in "xyz" for t, sign in (("p", "-"), ("n", "+")))}")
 def central_difference(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.central_difference(volume(spark, d)).select("x", "y", "z", "dx")
+    return stencil.central_difference(volume(spark, d)).select("x", "y", "z", "dx", "dy", "dz")
 
 
 @query(_near("CASE WHEN v.gray < 300 THEN 0 WHEN min(s.gray) < 300 THEN 1 ELSE 2 END AS kind").replace("GROUP BY ALL", "GROUP BY s.x, s.y, s.z, v.gray"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geomill.operators import dual, mesh, stencil, surface, voxel
+from geomill.operators import dual, mesh, rays, stencil, surface, voxel
 from geomill.sources import volumes
 
 FACES = "face_id long, v0 long, v1 long, v2 long"
@@ -183,3 +183,15 @@ def test_patches_of_a_cell():
     assert sorted(map(len, dual.patches(0b10000001))) == [3, 3]  # opposite corners
     assert sorted(map(len, dual.patches(0b1001))) == [3, 3]  # corners across a face stay apart
     assert all(sum(map(len, dual.patches(c))) == sum((c >> dual.CORNERS.index(e[1]) & 1) != (c >> dual.CORNERS.index(dual._upper(e)) & 1) for e in dual.EDGES) for c in range(256))
+
+
+def test_box_polygons_are_in_order(spark):
+    boxes = spark.createDataFrame([(1, 0.0, 2.0, 0.0, 2.0, 0.0, 2.0), (2, 0.0, 2.0, 0.0, 2.0, -9.0, -8.0)], "tile int, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    got = rays.box_plane_polygons(boxes, "tile", (1, 1, 1), -3.0).withColumn("area2", rays.polygon_area2("polygon")).collect()
+    ring = [tuple(p) for p in got[0].polygon]
+    # A regular hexagon through the middles of six edges: neighbours are as near as can be.
+    assert [r.tile for r in got] == [1] and len(ring) == 6
+    assert all(math.dist(a, b) == pytest.approx(math.sqrt(2)) for a, b in zip(ring, ring[1:] + ring[:1]))
+    assert got[0].area2 == pytest.approx(6 * math.sqrt(3))
+    turn = np.cross(np.subtract(ring[1], ring[0]), np.subtract(ring[2], ring[1]))
+    assert turn @ [1, 1, 1] > 0
