@@ -28,10 +28,14 @@ from pyspark.sql import types as T
 from geomill.llm.text import pieces, thrifty
 
 
+#: Entries of a memo table at most, and characters of a match that is remembered from text to text: so a table holds some 40 MB whatever the texts.
+MEMO, REMEMBERED = 100_000, 64
+
+
 class TreeCodec:
-    """Encoder and decoder for one table of ranks; memo tables are emptied at `limit` entries."""
+    """Encoder and decoder for one table of ranks; memo tables are emptied at `limit` entries of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = MEMO):
         import regex
 
         self.ranks, self.limit = ranks, limit
@@ -143,7 +147,11 @@ class TreeCodec:
         for m in new:
             ids = self.encode_piece(m.encode())
             known[m] = ids[0].to_bytes(4, "little") if len(ids) == 1 else np.array(ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, found))
+        out = b"".join(map(known.__getitem__, found))
+        for m in new:
+            if len(m) > REMEMBERED:
+                del known[m]
+        return out
 
     def forget(self) -> None:
         """Empty the memo tables, which other stages' tasks of the same worker don't need."""

@@ -221,10 +221,14 @@ def load(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+#: Known pre-tokens at most, and characters of one that is remembered from text to text: some 50 MB whatever the texts.
+MEMO, REMEMBERED = 250_000, 64
+
+
 class Counter:
-    """Counts texts; the dictionary of known pre-tokens is emptied when it reaches `limit` entries."""
+    """Counts texts; the dictionary of known pre-tokens is emptied when it reaches `limit` entries, which are of bounded size."""
 
-    def __init__(self, model: PieceModel, limit: int = 400_000):
+    def __init__(self, model: PieceModel, limit: int = MEMO):
         self.model, self.limit, self.seen = model, limit, {}
 
     def __call__(self, texts: Iterable[str]) -> list[int]:
@@ -235,7 +239,11 @@ class Counter:
             new = list(set().union(*split))
         self.seen.update(zip(new, self.model.count(new).tolist()))
         get = self.seen.__getitem__
-        return [sum(map(get, s)) for s in split]
+        counts = [sum(map(get, s)) for s in split]
+        for token in new:
+            if len(token) > REMEMBERED:
+                del self.seen[token]
+        return counts
 
 
 _counters: dict[str, Counter] = {}
@@ -252,5 +260,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 counts = counter([piece.text(i).decode() for i in range(len(piece))])
                 size = np.diff(piece.offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(size), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])], names=schema.names)
+        counter.seen.clear()
 
     return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)

@@ -61,3 +61,17 @@ def test_round_trip_rows(odd, none):
     assert byte_bpe.bpe_round_trip(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     with pytest.raises(KeyError):
         codec.decode(np.array([10**6], "<u4").tobytes())
+
+
+def test_memo_tables_are_bounded():
+    codec = byte_bpe.TreeCodec(byte_bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks, P.PATTERN, limit=50)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    counter = token_count.Counter(token_count.load(P.path("piece_bpe_32k.model")), limit=50)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for i in range(30):
+        text = " ".join(f"w{i * 31 + j}x" for j in range(40)) + " " + "q" * 500 + str(i)
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == lib.encode_ordinary(text)
+        assert counter([text]) == [len(sp.encode(text))]
+        # Between texts no more than one text's distinct words over the limit, and none of them long.
+        for known in (codec.matches, counter.seen):
+            assert len(known) <= 100 and all(len(m) <= 64 for m in known)
