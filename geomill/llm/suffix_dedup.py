@@ -42,9 +42,11 @@ from geomill.llm.workspace import broadcast_if_small, let_go, written
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text in one bucket, about; numpy needs some 60 times as much.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
+#: Bytes of text whose runs a task finds at once, with some 60 bytes of arrays for each.
+RUN_BYTES = 1 << 19
 #: Differing runs of one anchor that a bucket may hold, about 2 MB of text on top of its own.
-MOST_RUNS = 8000
+MOST_RUNS = 2000
 
 
 def text_key(text: str) -> Column:
@@ -92,7 +94,7 @@ def all_runs(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(1)):
+            for piece in pieces(batch.column(1), RUN_BYTES):
                 row, anchor, name, first, count = runs(piece.data, piece.offsets, length, gram)
                 bounds = pa.array(np.searchsorted(row, np.arange(len(piece) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(v, kind)) for v, kind in ((anchor, pa.int64()), (name, pa.int64()), (first, pa.int32()), (count, pa.int32()))]
