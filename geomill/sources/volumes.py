@@ -19,7 +19,7 @@ def read_raw(spark: SparkSession, path: str, dims: tuple[int, int, int], offset:
     """Voxels of a raw volume, x fastest. Files go through Spark's binaryFile source, so any store that Spark reads will do.
 
     A file becomes a row of bytes once, is cut into slabs of `slices` slices, and the slabs
-    are dealt out before they are unfolded into voxels. For files beyond 2 GB use `read_slabs`.
+    are dealt out before they are unfolded into voxels. A file of over 2 GB doesn't fit such a row; cut it into files of some slices, or store it as a pyramid (`sources.pyramid`).
     """
     w, h, depth = dims
     size = np.dtype(dtype).itemsize

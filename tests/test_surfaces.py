@@ -195,3 +195,35 @@ def test_box_polygons_are_in_order(spark):
     assert got[0].area2 == pytest.approx(6 * math.sqrt(3))
     turn = np.cross(np.subtract(ring[1], ring[0]), np.subtract(ring[2], ring[1]))
     assert turn @ [1, 1, 1] > 0
+
+
+def test_labels_along_gradient_are_brute_force(spark):
+    rng = np.random.default_rng(15)
+    z, y, x = np.indices((16, 16, 16))
+    gray = np.clip(900 - 9 * ((x - 8) ** 2 + (y - 7) ** 2 + (z - 8) ** 2) + rng.integers(-40, 40, (16, 16, 16)), 0, None).astype(int)
+    materials, core = [(0, 150, 1), (150, 600, 2), (600, 1000, 3)], 60
+    label = lambda v: next((n for a, b, n in materials if a <= v < b), None)
+    sure = lambda v: any(a + core <= v < b - core for a, b, _ in materials)
+    slope, smooth = (1, 0, -1), (1, 2, 1)
+    weights = [np.einsum("i,j,k->kji", *(slope if c == a else smooth for c in range(3))) for a in range(3)]
+    step = {}
+    for k, j, i in np.ndindex(gray.shape):
+        v = gray[k, j, i]
+        if sure(v) or not all(1 <= c <= 14 for c in (i, j, k)):
+            continue
+        g = [int((w * gray[k - 1 : k + 2, j - 1 : j + 2, i - 1 : i + 2]).sum()) for w in weights]
+        most = max(map(abs, g))
+        t = tuple(p - (np.sign(c) if most and 2 * abs(c) >= most else 0) for p, c in zip((i, j, k), g))
+        if gray[t[2], t[1], t[0]] > v:
+            step[i, j, k] = t
+    want, longest = {}, 0
+    for k, j, i in np.ndindex(gray.shape):
+        p, n = (i, j, k), 0
+        while p in step:
+            p, n = step[p], n + 1
+        longest = max(longest, n)
+        want[i, j, k] = label(gray[p[2], p[1], p[0]])
+    rows = [(i, j, k, int(gray[k, j, i])) for k, j, i in np.ndindex(gray.shape)]
+    got = {(r.x, r.y, r.z): r.label for r in stencil.labels_along_gradient(spark.createDataFrame(rows, VOXELS), materials, core).collect()}
+    assert got == want and longest >= 2
+    assert any(want[i, j, k] != label(v) for i, j, k, v in rows)
