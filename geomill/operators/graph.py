@@ -21,21 +21,30 @@ def cut(df: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node connected with each node.
 
-    Labels move along edges and then jump to the label's own label, so a chain of n nodes
-    needs about log n rounds; each round is checkpointed, and rounds go on until no label changes.
+    The graph is contracted: each node with edges points to its neighbour of least hash, if that is
+    less than its own, so nodes point along falling hashes and short ways; two jumps follow four pointers. Edges
+    are renamed to where their ends point and those within one node go, so each round has a fraction of
+    the last one's edges, and nodes of finished components take no part. Hashes are new each round, so no
+    numbering of the nodes makes long ways. The rounds' pointers, checkpointed, are followed one after the other in the end.
     """
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
-    label = cut(nodes.select(F.col(node).alias("u"), F.col(node).alias("c")))
+    rounds: list[DataFrame] = []
     while not both.isEmpty():
-        near = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        low = label.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("m", "c")).alias("l"))
-        # Roots learn the least label any of their members saw, and members take their root's.
-        best = low.groupBy("c").agg(F.min("l").alias("b"))
-        nxt = cut(low.join(best, "c").select("u", F.least("l", "b").alias("n"), "c"))
-        roots = nxt.select(F.col("u").alias("r"), F.col("n").alias("rn"))
-        jumped = cut(nxt.join(roots, nxt["n"] == roots["r"], "left").select("u", F.least("n", F.coalesce("rn", "n")).alias("c"), F.col("c").alias("old")))
-        changed = jumped.filter("c <> old").limit(1).count()
-        label = jumped.select("u", "c")
-        if not changed:
-            break
-    return label.select(F.col("u").alias(node), F.col("c").alias("component"))
+        ranked = lambda c, n=len(rounds): F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("h"), F.col(c).alias("at"))
+        near = both.groupBy("u").agg(F.min(ranked("v")).alias("m"))
+        step = near.select("u", F.least("m", ranked("u"))["at"].alias("p"))
+        for _ in range(2):
+            step = step.join(step.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p"))
+        step = cut(step)
+        rounds.append(step)
+        to = lambda c: step.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))
+        both = cut(both.join(to("u"), "u").join(to("v"), "v").filter("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+    every = nodes.select(F.col(node).alias("u")).distinct()
+    if not rounds:
+        return every.select(F.col("u").alias(node), F.col("u").alias("component"))
+    label = rounds[-1]
+    for step in reversed(rounds[:-1]):
+        label = step.join(label.select(F.col("u").alias("p"), F.col("p").alias("q")), "p", "left").select("u", F.coalesce("q", "p").alias("p"))
+    label = cut(every.join(label, "u", "left").select("u", F.coalesce("p", "u").alias("p")))
+    least = label.groupBy("p").agg(F.min("u").alias("component"))
+    return label.join(least, "p").select(F.col("u").alias(node), "component")

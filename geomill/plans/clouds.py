@@ -174,9 +174,10 @@ def voxel_grid(spark: SparkSession, d: str) -> DataFrame:
     return voxel.voxel_grid(points(spark, d), 100, 5).select("cx", "cy", "cz", "n", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
-@query(f"WITH {POINTS} SELECT floor(x / 200)::BIGINT AS cx, floor(y / 200)::BIGINT AS cy, floor(z / 200)::BIGINT AS cz, count(*) AS n, {", ".join(f"round(covar_samp({a}, {b}), 3) AS cov_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM points GROUP BY 1, 2, 3 HAVING count(*) >= 6")
+@query(f"WITH {POINTS} SELECT floor(x / 200)::BIGINT AS cx, floor(y / 200)::BIGINT AS cy, floor(z / 200)::BIGINT AS cz, count(*) AS n, {", ".join(f"round(covar_samp({a}, {b}) * count(*) * (count(*) - 1)) AS scatter_{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM points GROUP BY 1, 2, 3 HAVING count(*) >= 6")
 def voxel_covariance(spark: SparkSession, d: str) -> DataFrame:
-    return voxel.voxel_covariance(points(spark, d), 200).select("cx", "cy", "cz", "n", *(F.round(f"cov_{c}", 3).alias(f"cov_{c}") for c in ("xx", "xy", "xz", "yy", "yz", "zz")))
+    # Of whole coordinates n (n - 1) times the covariance is a whole number, which both engines round to alike.
+    return voxel.voxel_covariance(points(spark, d), 200).select("cx", "cy", "cz", "n", *(F.round(F.col(f"cov_{c}") * F.col("n") * (F.col("n") - 1)).alias(f"scatter_{c}") for c in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
 @query(f"WITH {POINTS}, c AS (SELECT floor(x / 200)::BIGINT AS cx, floor(y / 200)::BIGINT AS cy, floor(z / 200)::BIGINT AS cz, v::BIGINT % 5 AS label, count(*) AS votes FROM points GROUP BY ALL), t AS (SELECT *, sum(votes) OVER (PARTITION BY cx, cy, cz) AS n, row_number() OVER (PARTITION BY cx, cy, cz ORDER BY votes DESC, label) AS r FROM c) SELECT cx, cy, cz, n::BIGINT AS n, label, votes FROM t WHERE r = 1")
