@@ -67,6 +67,12 @@ def vector_knn_exact(spark: SparkSession, d: str) -> DataFrame:
     return ann.exact_knn(e, e.filter("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("d2", 4).alias("d2"))
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(q, embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))) AS d2 FROM q, embeddings) SELECT query_id, vec_id, round(d2, 4) AS d2 FROM s WHERE d2 < 1.44")
+def vector_radius(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return ann.within(e, e.filter("vec_id % 20 = 0"), 1.2).select("query_id", "vec_id", F.round("d2", 4).alias("d2"))
+
+
 @query()
 def vector_knn_lsh(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")

@@ -102,3 +102,13 @@ def test_sampled_planes(cloud):
         assert abs(r.a * r.a + r.b * r.b + r.c * r.c - 1) < 1e-9
         assert scores[m].inliers == (off < 0.8).sum() and scores[m].msac == pytest.approx(np.minimum(off, 0.8).sum())
     assert fit.best_model(fit.score_models(df, fit.planes_through(df, 12), fit.plane_residual(), 0.8)).first().inliers == max(s.inliers for s in scores.values())
+
+
+def test_vectors_within_a_radius(spark):
+    x = np.random.default_rng(15).normal(size=(150, 5)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    for block in (1 << 20, 100):
+        got = {(r.query_id, r.vec_id): r.d2 for r in ann.within(df, df.filter("vec_id < 20"), 1.5, block_bytes=block).collect()}
+        want = {(i, j): ((x[i] - x[j]) ** 2).sum() for i in range(20) for j in range(150) if ((x[i] - x[j]) ** 2).sum() < 2.25}
+        assert got == pytest.approx(want) and len(want) > 40
+    assert ann.within(df, df.limit(0), 1.5).count() == 0

@@ -227,3 +227,16 @@ def test_labels_along_gradient_are_brute_force(spark):
     got = {(r.x, r.y, r.z): r.label for r in stencil.labels_along_gradient(spark.createDataFrame(rows, VOXELS), materials, core).collect()}
     assert got == want and longest >= 2
     assert any(want[i, j, k] != label(v) for i, j, k, v in rows)
+
+
+def test_rays_cross_a_sphere(spark):
+    v = volumes.implicit(spark, 25, "round(20000 - 100 * ((x - c) * (x - c) + (y - c) * (y - c) + (z - c) * (z - c)))")
+    rng = np.random.default_rng(16)
+    d = rng.normal(size=(20, 3))
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    rows = [(i, 12.0, 12.0, 12.0, *map(float, u), 14.0) for i, u in enumerate(d)] + [(50, 12.0, 12.0, 12.0, 1.0, 0.0, 0.0, 5.0)]
+    r = spark.createDataFrame(rows, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double, length double")
+    got = {r.ray_id: r for r in rays.iso_crossings_along(r, v, (25, 25, 25), 13600).collect()}
+    # gray 13600 lies 8 voxels from the middle; the ray of length 5 doesn't get there.
+    assert set(got) == set(range(20)) and all(abs(got[i].t - 8) < 0.1 for i in range(20))
+    assert all((got[i].px, got[i].py, got[i].pz) == pytest.approx(tuple(12 + got[i].t * d[i])) for i in range(20))
