@@ -97,9 +97,10 @@ def subsample(points: DataFrame, n: int, seed: int = 0, point_id: str = "point_i
 def adjacent_dedupe(points: DataFrame, tolerance: float = 1e-5, point_id: str = "point_id", slab: float = 64.0) -> DataFrame:
     """Drop each point that differs by at most the tolerance per axis from its predecessor in (x, y, z, id) order.
 
-    The order is cut into slabs of x that know the last point before them, so no task sees all points.
+    The order is cut into slabs of x that know the last point before them, so no task sees all points. Points
+    without a finite place stay.
     """
-    s = points.withColumn("_slab", F.floor(F.col("x") / slab))
+    s = points.filter(finite(*AXES)).withColumn("_slab", F.floor(F.col("x") / slab))
     key = F.struct(*AXES, point_id)
     ends = s.groupBy("_slab").agg(F.max(key).alias("end"))
     # One row for each slab: the previous slab's last point.
@@ -108,7 +109,7 @@ def adjacent_dedupe(points: DataFrame, tolerance: float = 1e-5, point_id: str =
     prev = F.coalesce(F.lag(key).over(w), F.col("carry"))
     marked = s.join(before, "_slab").withColumn("_prev", prev)
     same = reduce(and_, (F.abs(F.col(c) - F.col(f"_prev.{c}")) <= tolerance for c in AXES))
-    return marked.filter(~F.coalesce(same, F.lit(False))).select(points.columns)
+    return marked.filter(~F.coalesce(same, F.lit(False))).select(points.columns).unionByName(points.filter(~finite(*AXES)))
 
 
 def tiles_cut_by_plane(tiles: DataFrame, normal: tuple, offset: float, lows: tuple = ("x0", "y0", "z0"), highs: tuple = ("x1", "y1", "z1")) -> DataFrame:

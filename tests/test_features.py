@@ -112,3 +112,9 @@ def test_vectors_within_a_radius(spark):
         want = {(i, j): ((x[i] - x[j]) ** 2).sum() for i in range(20) for j in range(150) if ((x[i] - x[j]) ** 2).sum() < 2.25}
         assert got == pytest.approx(want) and len(want) > 40
     assert ann.within(df, df.limit(0), 1.5).count() == 0
+
+
+def test_tolerant_dedupe_keeps_points_without_a_place(spark):
+    rows = [(1, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 1.000001), (3, 1.0, 1.0, 2.0), (4, None, 1.0, 1.0), (5, None, 1.0, 1.0), (6, math.nan, 0.0, 0.0), (7, 64.0, math.inf, 0.0), (8, 1e6, 0.0, 0.0), (9, 1e6, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, POINTS)
+    assert sorted(r.point_id for r in filters.adjacent_dedupe(df).collect()) == [1, 3, 4, 5, 6, 7, 8]
