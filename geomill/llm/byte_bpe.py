@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from geomill.llm.text import pieces, thrifty
 
 
-#: Entries of a memo table at most, and characters of a match that is remembered from text to text: so a table holds some 40 MB whatever the texts.
-MEMO, REMEMBERED = 100_000, 64
+#: Entries of a memo table at most, and characters of a match that is remembered from text to text: so a table holds some 100 MB whatever the texts.
+MEMO, REMEMBERED = 250_000, 64
 
 
 class TreeCodec:
