@@ -68,13 +68,19 @@ def convolved(image: DataFrame, kernel: list[list[float]], by: tuple[str, ...] =
 
 
 def like_neighbours(image: DataFrame, k: int, within: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, x, y, n, top): neighbours of each pixel of an organised image in the (2 k + 1) square whose value differs by less than `within`, itself among them, and the largest of them."""
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1)))
-    sent = image.select(*by, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("gray").alias("g"), F.inline(offsets))
-    sent = sent.select(*by, (F.col("sx") + F.col("i")).alias("x"), (F.col("sy") + F.col("j")).alias("y"), "g")
-    key = [*by, "x", "y"]
-    near = sent.join(image.select(*key, "gray"), key).filter(F.abs(F.col("g") - F.col("gray")) < within)
-    return near.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("g").alias("top"))
+    """(by, x, y, n, top): neighbours of each pixel of an organised image in the (2 k + 1) square whose value differs by less than `within`, itself among them, and the largest of them.
+
+    Values go along their row first and meet as lists, which then go along the column: two group-bys of 2 k + 1
+    rows a pixel, without a join that could broadcast what was made many times as large.
+    """
+    key, steps = [*by, "x", "y"], F.explode(F.array(*map(F.lit, range(-k, k + 1)))).alias("i")
+    own = lambda c: F.when(F.col("i") == 0, F.col(c))
+    row = image.select(*key, "gray", steps).select(*by, (F.col("x") + F.col("i")).alias("x"), "y", "gray", own("gray").alias("own"))
+    row = row.groupBy(*key).agg(F.collect_list("gray").alias("near"), F.collect_list("own").alias("own"))
+    square = row.select(*key, "near", "own", steps).select(*by, "x", (F.col("y") + F.col("i")).alias("y"), "near", own("own").alias("own"))
+    square = square.groupBy(*key).agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("own")).alias("own"))
+    like = F.flatten(F.transform("own", lambda g: F.filter("near", lambda v: F.abs(v - g) < within)))
+    return square.select(*key, like.alias("like")).filter(F.size("like") > 0).select(*key, F.size("like").cast("long").alias("n"), F.array_max("like").alias("top"))
 
 
 def integral_image(image: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
