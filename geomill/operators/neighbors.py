@@ -84,12 +84,14 @@ def approximate_nearest(points: DataFrame, queries: DataFrame, size: float, poin
 
 
 def nearest_in_cone(points: DataFrame, queries: DataFrame, radius: float, axis: tuple[float, float, float], cosine: float, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, point_id, d2): the nearest point within the radius whose direction from the query is within the cone around the unit axis."""
-    near = radius_join(points, queries, radius, point_id=point_id, query_id=query_id)
-    both = near.join(points.select(point_id, *AXES), point_id).join(queries.select(query_id, *(F.col(c).alias(f"q{c}") for c in AXES)), query_id)
-    along = sum((F.col(c) - F.col(f"q{c}")) * a for c, a in zip(AXES, axis))
-    inside = both.filter((F.col("d2") > 0) & (along >= cosine * F.sqrt("d2")))
-    return inside.groupBy(query_id).agg(F.min(F.struct("d2", point_id)).alias("best")).select(query_id, F.col(f"best.{point_id}").alias(point_id), F.col("best.d2").alias("d2"))
+    """(query_id, point_id, d2): the nearest point within the radius whose direction from the query is within the cone around the unit axis. Tasks keep a query's best point and look no farther than it."""
+
+    def fits(q: np.ndarray, p: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        along = sum((p[None, :, i] - q[:, i, None]) * a for i, a in enumerate(axis))
+        return (d2 > 0) & (along >= cosine * np.sqrt(d2))
+
+    schema = T.StructType([queries.schema[query_id], points.schema[point_id], T.StructField("d2", T.DoubleType())])
+    return balls.meet(queries.select(query_id, *AXES), points.select(point_id, *AXES), radius, balls.nearest(radius, fits, query_id, point_id), schema)
 
 
 def farther_than(source: DataFrame, target: DataFrame, squared: float, point_id: str = "point_id") -> DataFrame:
