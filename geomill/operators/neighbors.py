@@ -70,10 +70,10 @@ def approximate_nearest(points: DataFrame, queries: DataFrame, size: float, poin
     def up(df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.floor(F.col(c) / 2).cast("long") for c in key})
 
+    part = _in_own_cell(held, left, point_id, query_id)
     while True:
-        part = best(left.join(held, key))
         done = part if done is None else done.unionByName(part)
-        left = cut(left.join(part, query_id, "left_anti"))
+        left = cut(left.hint("merge").join(part, query_id, "left_anti"))
         if left.isEmpty() or held.isEmpty():
             return done
         held = cut(held.groupBy(*key).agg(F.min(F.struct(point_id, *AXES)).alias("p")).select("p.*", *key))
@@ -81,6 +81,56 @@ def approximate_nearest(points: DataFrame, queries: DataFrame, size: float, poin
             # The root: its children never merge; they offer a point each to the queries outside.
             return done.unionByName(best(left.crossJoin(F.broadcast(held.select(point_id, *AXES)))))
         held, left = up(held), up(left)
+        part = best(left.hint("merge").join(held, key))
+
+
+def _in_own_cell(held: DataFrame, asked: DataFrame, point_id: str, query_id: str) -> DataFrame:
+    """(query_id, point_id, d2): the nearest point in the query's cell, ties by id. Cells are dealt in pieces of at most HELD points, and each piece searches
+    its points for the queries by buckets, so a pair is no row; a query sends a row for each piece of its cell."""
+    key = ["cx", "cy", "cz"]
+    points = held.join(asked.select(*key).distinct().hint("merge"), key, "left_semi")
+    parts = points.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("parts"))
+    p = points.join(parts.hint("merge"), key).select(*key, F.pmod(F.xxhash64(point_id), "parts").cast("int").alias("part"), F.lit(0).alias("side"), F.col(point_id).alias("p"), *AXES)
+    q = asked.join(parts.hint("merge"), key).select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col(query_id).alias("q"), *(F.col(f"q{c}").alias(c) for c in AXES))
+    schema = T.StructType([T.StructField(query_id, asked.schema[query_id].dataType), T.StructField(point_id, held.schema[point_id].dataType), T.StructField("d2", T.DoubleType())])
+    group = [*key, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are sorted by cell and piece, points first; pieces end within batches and go on in the next ones."""
+        here, kept, ready = None, [], None
+
+        def found(some: pa.Table, there: tuple) -> pa.RecordBatch:
+            ids, x = there
+            row, d2, _ = kd.search(x, balls.xyz(some), 1, np.full(some.num_rows, np.inf))
+            return pa.RecordBatch.from_arrays([some["q"].combine_chunks(), ids.take(pa.array(row[:, 0])), pa.array(d2[:, 0])], names=schema.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(c).to_numpy() for c in (*group, "side")], axis=1)
+            ends = np.append(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, len(at))
+            begin = 0
+            for end in ends.tolist():
+                some, own, side = pa.Table.from_batches([b.slice(begin, end - begin)]), tuple(at[begin, :4].tolist()), at[begin, 4]
+                begin = end
+                if own != here:
+                    here, kept, ready = own, [], None
+                if not side:
+                    kept.append(some)
+                    continue
+                if ready is None and kept:
+                    t = pa.concat_tables(kept).select(["p", *AXES]).sort_by("p").combine_chunks()
+                    ready, kept = (t["p"].combine_chunks(), balls.xyz(t)), []
+                if ready is not None:
+                    yield found(some, ready)
+
+    both = p.unionByName(q, allowMissingColumns=True)
+    spark = held.sparkSession
+    # These rows are few bytes but much work, so their tasks aren't left to sizes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    near = both.repartition(tasks, *group).sortWithinPartitions(*group, "side").mapInArrow(run, schema)
+    nearest = near.groupBy(query_id).agg(F.min(F.struct("d2", F.col(point_id).alias("point"))).alias("best"))
+    return cut(nearest.select(query_id, F.col("best.point").alias(point_id), F.col("best.d2").alias("d2")))
 
 
 def nearest_in_cone(points: DataFrame, queries: DataFrame, radius: float, axis: tuple[float, float, float], cosine: float, point_id: str = "point_id", query_id: str = "query_id") -> DataFrame:
